@@ -48,8 +48,7 @@ def mean(a) -> Column:
 
 
 def centred(a) -> Column:
-    m = mean(a)
-    return F.transform(col(a), lambda x: x.cast("double") - m)
+    return let(mean(a), lambda m: F.transform(col(a), lambda x: x.cast("double") - m))
 
 
 def cosine(a, b, centre: bool = True) -> Column:
@@ -59,13 +58,16 @@ def cosine(a, b, centre: bool = True) -> Column:
     return F.when(size > 1e-12, dot(x, y) / size).otherwise(F.lit(-1.0))
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once per row."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def softmax(arr, temperature=1.0) -> Column:
     t = F.greatest(temperature if isinstance(temperature, Column) else F.lit(float(temperature)), F.lit(1e-4))
-    z = F.transform(as_doubles(arr), lambda v: v / t)
-    top = F.array_max(z)
-    e = F.transform(z, lambda v: F.exp(v - top))
-    s = total(e)
-    return F.transform(e, lambda v: v / s)
+    return let(F.transform(as_doubles(arr), lambda v: v / t), lambda z: let(
+        F.array_max(z), lambda top: let(F.transform(z, lambda v: F.exp(v - top)), lambda e: let(
+            total(e), lambda s: F.transform(e, lambda v: v / s)))))
 
 
 def two_class(z) -> Column:

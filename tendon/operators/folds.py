@@ -1,12 +1,12 @@
 """Order-dependent state machines, split into chunks and still exact.
 
-`step(state, row) -> (state, outputs)` sees one row at a time; the state is a
-small JSON value. Every chunk of a key is first folded from the start state.
-Then each chunk is checked: if it did not begin with the state in which its
-predecessor ends, it is folded again from that state. The loop stops when all
-chunks agree; by induction from the first chunk the result equals one pass over
-the key. Machines of this kind forget their start quickly, so two rounds are
-usual, and each later round reads only the chunks that still differ.
+`run(state, rows) -> (state, output rows)` folds one ordered chunk; the state
+is a small JSON value. Every chunk of a key is first folded from the start
+state. Then each chunk is checked: if it did not begin with the state in which
+its predecessor ends, it is folded again from that state. The loop stops when
+all chunks agree; by induction from the first chunk the result equals one pass
+over the key. Machines of this kind forget their start quickly, so two rounds
+are usual, and each later round reads only the chunks that still differ.
 """
 
 from __future__ import annotations
@@ -22,53 +22,54 @@ from pyspark.sql import types as T
 from ..runtime import cut
 
 
-def _fold(step, state, pdf: pd.DataFrame, order, keep: bool):
-    pdf = pdf.sort_values(list(order), kind="stable")
-    outputs = []
-    for row in pdf.to_dict("records"):
-        state, made = step(state, row)
-        if keep:
-            outputs.extend(made)
-    return state, outputs
+def by_row(step: Callable, names) -> Callable:
+    """Lift `step(state, row) -> (state, [output tuple, ...])` to a chunk."""
+    def run(state, pdf):
+        made = []
+        for row in pdf.to_dict("records"):
+            state, out = step(state, row)
+            made.extend(out)
+        return state, pd.DataFrame(made, columns=list(names))
+    return run
 
 
-def chunked_fold(df: DataFrame, keys, order, chunk: str, step: Callable, start, schema: str) -> DataFrame:
-    """Outputs of `step` over each key in `order`; `schema` lists the output columns without the keys."""
-    keys = list(keys)
+def chunked_fold(df: DataFrame, keys, order, chunk: str, run: Callable, start, schema: str) -> DataFrame:
+    """Outputs of `run` over each key in `order`; `schema` lists the output columns without the keys."""
+    keys, order = list(keys), list(order)
     where = keys + [chunk]
-    rows = cut(df.repartition(*where))
+    kinds = {c: df.schema[c].dataType.simpleString() for c in where}
+    names = [f.name for f in T.StructType.fromDDL(schema).fields]
     blank = json.dumps(start)
-    key_types = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in where)
+
+    def fold(pdf: pd.DataFrame):
+        return run(json.loads(pdf["__entry"].iloc[0]), pdf.sort_values(order, kind="stable"))
 
     def ends(pdf: pd.DataFrame) -> pd.DataFrame:
-        entry = pdf["__entry"].iloc[0]
-        state, _ = _fold(step, json.loads(entry), pdf, order, keep=False)
-        return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in where}, "entry": [entry], "exit": [json.dumps(state)]})
+        state, _ = fold(pdf)
+        return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in where}, "entry": [pdf["__entry"].iloc[0]],
+                             "exit": [json.dumps(state)]})
 
     def emit(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, made = _fold(step, json.loads(pdf["__entry"].iloc[0]), pdf, order, keep=True)
-        out = pd.DataFrame(made, columns=names).astype(object).where(lambda x: x.notna(), None)
+        _, made = fold(pdf)
+        out = made[names].astype(object).where(made[names].notna(), None)
         for i, c in enumerate(keys):
             out.insert(i, c, pdf[c].iloc[0])
         return out
 
-    names = [f.name for f in T.StructType.fromDDL(schema).fields]
+    end_schema = ", ".join(f"`{c}` {t}" for c, t in kinds.items()) + ", entry string, exit string"
     by_key = Window.partitionBy(*keys).orderBy(chunk)
-    several = rows.groupBy(*keys).agg(F.countDistinct(chunk).alias("m")).where("m > 1").limit(1).count() > 0
-    if several:
-        known = cut(rows.withColumn("__entry", F.lit(blank)).groupBy(*where)
-                    .applyInPandas(ends, f"{key_types}, entry string, exit string"))
+    rows = cut(df)
+    several = rows.groupBy(*keys).agg(F.min(chunk).alias("a"), F.max(chunk).alias("b")).where("a < b")
+    if several.take(1):
+        known = cut(rows.withColumn("__entry", F.lit(blank)).groupBy(*where).applyInPandas(ends, end_schema))
         while True:
-            want = known.withColumn("__entry", F.coalesce(F.lag("exit").over(by_key), F.lit(blank)))
-            stale = want.where("__entry <> entry").select(*where, "__entry")
+            want = known.withColumn("__want", F.coalesce(F.lag("exit").over(by_key), F.lit(blank)))
+            stale = cut(want.where("__want <> entry").select(*where, F.col("__want").alias("__entry")))
             if not stale.take(1):
                 break
-            fresh = (rows.join(stale, where).groupBy(*where)
-                     .applyInPandas(ends, f"{key_types}, entry string, exit string"))
+            fresh = rows.join(stale, where).groupBy(*where).applyInPandas(ends, end_schema)
             known = cut(known.join(stale, where, "left_anti").unionByName(fresh))
-        entries = known.select(*where, F.col("entry").alias("__entry"))
-        rows = rows.join(entries, where)
+        rows = rows.join(known.select(*where, F.col("entry").alias("__entry")), where)
     else:
         rows = rows.withColumn("__entry", F.lit(blank))
-    key_only = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keys)
-    return rows.groupBy(*where).applyInPandas(emit, f"{key_only}, {schema}")
+    return rows.groupBy(*where).applyInPandas(emit, ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", " + schema)

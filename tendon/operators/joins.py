@@ -12,7 +12,7 @@ SMALL_SIDE_BYTES = 64 << 20
 
 def small(df: DataFrame, limit: int = SMALL_SIDE_BYTES) -> DataFrame:
     """Broadcast `df` only if the optimizer's own size estimate is under `limit`."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return F.broadcast(df) if size <= limit else df
 
 

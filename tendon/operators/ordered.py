@@ -120,9 +120,15 @@ def scan(df: DataFrame, keys, order, outputs: dict[str, Running], levels=()) ->
     return out.withColumns(final).drop(*inputs, *[o for *_, o in items])
 
 
+def micros(ts) -> Column:
+    """Microseconds since 1970 of a timestamp without zone."""
+    c = F.col(ts) if isinstance(ts, str) else ts
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c)
+
+
 def time_slot(ts, seconds: int = 86_400) -> Column:
     """Chunk column for a timestamp."""
-    return F.floor(F.unix_micros(ts) / F.lit(seconds * 1_000_000))
+    return F.floor(micros(ts) / F.lit(seconds * 1_000_000))
 
 
 def block(idx, rows: int = 65_536) -> Column:
@@ -173,7 +179,7 @@ def weighted_medians(df: DataFrame, keys, value: str, weight: str, name: str) ->
               .withColumn("__band", value_band(value)))
     ranked = scan(merged, keys, [value], {"__cum": running("sum", "__w")}, [["__band"]])
     total = merged.groupBy(*keys).agg(F.sum("__w").alias("__total"))
-    return (ranked.join(total, keys).where(F.col("__cum") >= F.lit(0.5) * F.col("__total") - F.lit(1e-9))
+    return (ranked.join(total, keys).where(F.col("__cum") >= F.lit(0.5) * F.col("__total"))
             .groupBy(*keys).agg(F.min(value).alias(name)))
 
 

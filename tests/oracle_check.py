@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import logging
 import math
 import os
 import sys
@@ -20,8 +21,9 @@ def session():
     from pyspark.sql import SparkSession
     spark = (SparkSession.builder.master("local[8]").appName("check")
              .config("spark.sql.shuffle.partitions", "8").config("spark.sql.session.timeZone", "UTC")
-             .config("spark.ui.enabled", "false").config("spark.driver.memory", "12g").getOrCreate())
-    spark.sparkContext.setLogLevel("ERROR")
+             .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "12g").getOrCreate())
+    spark.sparkContext.setLogLevel("OFF")
+    logging.disable(logging.CRITICAL)
     return spark
 
 
