@@ -96,10 +96,11 @@ def argmax(arr) -> Column:
 def circular_diagonals(matrix, size: int = 8, count: int = 4) -> Column:
     """Diagonals 0..count-1 of a row-major size x size array, wrapping round."""
     m = col(matrix)
-    return F.flatten(F.array(*[
-        F.transform(F.sequence(F.lit(0), F.lit(size - 1)),
-                    lambda i, o=o: F.get(m, (i * size + F.pmod(i + o, F.lit(size))).cast("int")))
-        for o in range(count)]))
+
+    def diagonal(o):
+        return F.transform(F.sequence(F.lit(0), F.lit(size - 1)),
+                           lambda i: F.get(m, (i * size + F.pmod(i + o, F.lit(size))).cast("int")))
+    return F.flatten(F.array(*[diagonal(o) for o in range(count)]))
 
 
 def log_grid(low: float, high: float, n: int) -> Column:

@@ -17,12 +17,12 @@ def join_calibration(rows: DataFrame, cal: DataFrame, key: str) -> tuple[DataFra
     return rows.join(side, key), missing
 
 
-def cue_columns(cues: DataFrame, trial="trial_id", name="name", order="cue_no", value="cue_ts") -> DataFrame:
+def cue_columns(cues: DataFrame, trial="trial_id", name="name", order=("cue_no", "cue_ts", "name"), value="cue_ts") -> DataFrame:
     """One row per trial: the last and the first arm and hand cue, and the release cue."""
     arm = F.col(name).startswith("arm:")
     hand = F.col(name).startswith("hand:") & (F.col(name) != "hand:release")
     rel = F.col(name) == "hand:release"
-    pick = lambda fn, cond: fn(F.struct(value, name), F.when(cond, F.col(order)))
+    pick = lambda fn, cond: fn(F.struct(value, name), F.when(cond, F.struct(*order)))
     return cues.groupBy(trial).agg(
         pick(F.max_by, arm).alias("arm_last"), pick(F.max_by, hand).alias("hand_last"),
         pick(F.min_by, arm).alias("arm_first"), pick(F.min_by, hand).alias("hand_first"), pick(F.max_by, rel).alias("release"))

@@ -28,10 +28,10 @@ def j01(spark, root):
 
 
 @query("j02_trial_cues", views="trials cues", sql="""
-SELECT t.trial_id, t.label, max_by(CASE WHEN c.name LIKE 'arm:%' THEN c.name END, CASE WHEN c.name LIKE 'arm:%' THEN cue_no END) AS arm_last,
- max_by(CASE WHEN c.name LIKE 'hand:%' THEN c.name END, CASE WHEN c.name LIKE 'hand:%' THEN cue_no END) AS hand_last,
- min_by(CASE WHEN c.name LIKE 'arm:%' THEN c.name END, CASE WHEN c.name LIKE 'arm:%' THEN cue_no END) AS arm_first,
- min_by(CASE WHEN c.name LIKE 'hand:%' THEN c.name END, CASE WHEN c.name LIKE 'hand:%' THEN cue_no END) AS hand_first
+SELECT t.trial_id, t.label, max_by(CASE WHEN c.name LIKE 'arm:%' THEN c.name END, CASE WHEN c.name LIKE 'arm:%' THEN (cue_no,cue_ts,c.name) END) AS arm_last,
+ max_by(CASE WHEN c.name LIKE 'hand:%' THEN c.name END, CASE WHEN c.name LIKE 'hand:%' THEN (cue_no,cue_ts,c.name) END) AS hand_last,
+ min_by(CASE WHEN c.name LIKE 'arm:%' THEN c.name END, CASE WHEN c.name LIKE 'arm:%' THEN (cue_no,cue_ts,c.name) END) AS arm_first,
+ min_by(CASE WHEN c.name LIKE 'hand:%' THEN c.name END, CASE WHEN c.name LIKE 'hand:%' THEN (cue_no,cue_ts,c.name) END) AS hand_first
 FROM trials t JOIN cues c USING (trial_id) GROUP BY 1,2""")
 def j02(spark, root):
     c = L.cue_columns(cues(spark, root))
@@ -167,7 +167,7 @@ def j15(spark, root):
     return L.leakage(p, "trial_id", "split")
 
 
-REVIEW_SQL = """rv AS (SELECT l_orderkey trial_id, l_linenumber event_no, CASE l_returnflag WHEN 'A' THEN 'accepted' WHEN 'N' THEN 'manually_adjusted' ELSE 'rejected' END status, l_suppkey*10 idx FROM lineitem)"""
+REVIEW_SQL = """rv AS (SELECT l_orderkey trial_id, l_linenumber event_no, CASE l_returnflag WHEN 'A' THEN 'accepted' WHEN 'N' THEN 'manually_adjusted' ELSE 'rejected' END status, l_suppkey*10 idx, row_number() OVER () rid FROM lineitem)"""
 
 
 def reviews(spark, root):
@@ -191,7 +191,7 @@ def j16(spark, root):
 WITH {REVIEW_SQL}, c AS (SELECT o_orderkey trial_id, 1 event_no, 'rejected' status, 999999::BIGINT idx, 2 no FROM orders WHERE o_orderkey%5=0
  UNION ALL SELECT o_orderkey, 1, 'accepted', -5, 3 FROM orders WHERE o_orderkey%10=0 UNION ALL SELECT o_orderkey, NULL, 'rejected', NULL, 1 FROM orders WHERE o_orderkey%7=0),
 x AS (SELECT rv.*, c.status cs, c.idx ci, c.no, c.event_no ce FROM rv LEFT JOIN c ON c.trial_id=rv.trial_id AND (c.event_no IS NULL OR c.event_no=rv.event_no))
-SELECT trial_id, event_no, coalesce(max_by(cs,no), any_value(status)) AS status, least(greatest(coalesce(max_by(ci,no) FILTER (WHERE ce IS NOT NULL), any_value(idx)),0),99999) AS "index" FROM x GROUP BY 1,2""")
+SELECT trial_id, event_no, coalesce(max_by(cs,no), any_value(status)) AS status, least(greatest(coalesce(max_by(ci,no) FILTER (WHERE ce IS NOT NULL), any_value(idx)),0),99999) AS "index" FROM x GROUP BY trial_id, event_no, rid""")
 def j17(spark, root):
     o = table(spark, root, "orders").select(F.col("o_orderkey").alias("trial_id"))
     make = lambda m, ev, st, ix, no: o.where(F.col("trial_id") % m == 0).select(
