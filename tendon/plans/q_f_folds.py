@@ -171,7 +171,7 @@ def control_frames(spark, root):
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
     g = F.when(F.col("value") / 300 < 0.1, 0).otherwise(F.floor(k / 34))
     return table(spark, root, "events").select("user_id", F.col("event_id").alias("id"), F.floor(micros("ts") / 1000).alias("t"), g.cast("int").alias("gesture"),
-                                               F.floor(micros("ts") / (24 * HOUR)).alias("slot"))
+                                               F.floor(micros("ts") / (360 * HOUR)).alias("slot"))
 
 
 @query("t09_input_timeout", sql=f"""
