@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
+from ..runtime import ship
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -57,7 +61,13 @@ def query(name: str, sql: str | None = None, views: str = "", recursive: bool =
     def add(fn):
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
-        QUERIES[name] = fn
+
+        @wraps(fn)
+        def run(spark, root):
+            ship(spark)
+            return fn(spark, root)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = with_views(views, sql, recursive)
         return fn
