@@ -88,10 +88,10 @@ def resample(df: DataFrame, keys, n: str, value: str, src: float, dst: float, na
     h = F.array(*[F.lit(float(t)) for t in taps])
     lo = F.greatest(F.lit(0), F.ceil((F.col(n) * up - half) / F.lit(down)))
     hi = F.floor((F.col(n) * up + half) / F.lit(down))
-    d = df.select(*keys, n, value, F.explode(F.sequence(lo.cast("bigint"), hi)).alias("i"))
-    tap = F.get(h, (F.col("i") * down - F.col(n) * up + half).cast("int"))
-    g = d.groupBy(*keys, "i").agg(F.sum(F.col(value) * tap).alias(name), F.max(n).alias("__top"))
-    return g.where(F.col("__top") >= F.floor(F.col("i") * down / F.lit(up))).drop("__top")
+    d = df.select(*keys, n, value, F.explode(F.sequence(lo.cast("bigint"), hi)).alias("__i"))
+    tap = F.get(h, (F.col("__i") * down - F.col(n) * up + half).cast("int"))
+    g = d.groupBy(*keys, "__i").agg(F.sum(F.col(value) * tap).alias(name), F.max(n).alias("__top"))
+    return g.where(F.col("__top") >= F.floor(F.col("__i") * down / F.lit(up))).withColumnRenamed("__i", "i").drop("__top")
 
 
 @dataclass(frozen=True)

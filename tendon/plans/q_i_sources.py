@@ -229,7 +229,7 @@ def s15(spark, root):
     e = F.col("event_id")
     h = lambda v, n: F.lpad(F.hex(v), n, "0")
     emg = F.concat(F.repeat(F.lit("000001"), 3), h((e * 7919) % 16_777_216, 6), F.repeat(F.lit("FFFFFF"), 4))
-    imu = F.concat(F.lit("00000001"), h((e * 31) % 65_536, 4), F.repeat(F.lit("0000"), 8))
+    imu = F.concat(F.lit("00000001"), h((e * 31) % 65_536, 4), F.repeat(F.lit("0000"), 9))
     sync = F.when(e % 7 == 0, "D2D2D1").otherwise("D2D2D2")
     frame = F.unhex(F.concat(sync, F.when(e % 2 == 0, "AA").otherwise("BB"), h(e % 256, 2), F.when(e % 2 == 0, emg).otherwise(imu)))
     d = S.decode_frames(table(spark, root, "events").select("event_id", frame.alias("frame")))
