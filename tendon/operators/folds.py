@@ -22,15 +22,52 @@ from pyspark.sql import types as T
 from ..runtime import cut
 
 
-def by_row(step: Callable, names) -> Callable:
-    """Lift `step(state, row) -> (state, [output tuple, ...])` to a chunk."""
-    def run(state, pdf):
+class RowFold:
+    """`step(state, row) -> (state, [output tuple, ...])` as a chunk function; also folds a sorted partition row by row."""
+
+    def __init__(self, step: Callable, names):
+        self.step, self.names = step, list(names)
+
+    def __call__(self, state, pdf):
         made = []
         for row in pdf.to_dict("records"):
-            state, out = step(state, row)
+            state, out = self.step(state, row)
             made.extend(out)
-        return state, pd.DataFrame(made, columns=list(names))
-    return run
+        return state, pd.DataFrame(made, columns=self.names)
+
+
+def by_row(step: Callable, names) -> RowFold:
+    return RowFold(step, names)
+
+
+def _clean(rows, columns) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=columns)
+    return out.astype(object).where(out.notna(), None)
+
+
+def grouped_rows(df: DataFrame, where, order, fn: Callable, names, schema: str) -> DataFrame:
+    """fn(list of row dicts) -> output tuples for each small group of a sorted partition.
+
+    Thousands of short groups share an Arrow batch; only one group is held at a time.
+    """
+    where = list(where)
+
+    def run(parts):
+        held, at = [], None
+        for pdf in parts:
+            made = []
+            for row in pdf.to_dict("records"):
+                key = tuple(row[c] for c in where)
+                if key != at and held:
+                    made.extend(fn(held))
+                    held = []
+                at = key
+                held.append(row)
+            yield _clean(made, names)
+        if held:
+            yield _clean(fn(held), names)
+
+    return df.repartition(*where).sortWithinPartitions(*where, *order).mapInPandas(run, schema)
 
 
 def chunked_fold(df: DataFrame, keys, order, chunk: str, run: Callable, start, schema: str) -> DataFrame:
@@ -40,36 +77,73 @@ def chunked_fold(df: DataFrame, keys, order, chunk: str, run: Callable, start, s
     kinds = {c: df.schema[c].dataType.simpleString() for c in where}
     names = [f.name for f in T.StructType.fromDDL(schema).fields]
     blank = json.dumps(start)
+    end_schema = ", ".join(f"`{c}` {t}" for c, t in kinds.items()) + ", entry string, exit string"
+    out_schema = ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", " + schema
+    pick = None
 
-    def fold(pdf: pd.DataFrame):
-        return run(json.loads(pdf["__entry"].iloc[0]), pdf.sort_values(order, kind="stable"))
+    if isinstance(run, RowFold):
+        step = run.step
+        pick = [run.names.index(n) for n in names]
 
-    def ends(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, _ = fold(pdf)
-        return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in where}, "entry": [pdf["__entry"].iloc[0]],
-                             "exit": [json.dumps(state)]})
+        def ends_of(parts):
+            at, entry, state = None, None, None
+            for pdf in parts:
+                made = []
+                for row in pdf.to_dict("records"):
+                    key = tuple(row[c] for c in where)
+                    if key != at:
+                        if at is not None:
+                            made.append((*at, entry, json.dumps(state)))
+                        at, entry = key, row["__entry"]
+                        state = json.loads(entry)
+                    state, _ = step(state, row)
+                yield pd.DataFrame(made, columns=[*where, "entry", "exit"])
+            if at is not None:
+                yield pd.DataFrame([(*at, entry, json.dumps(state))], columns=[*where, "entry", "exit"])
 
-    def emit(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, made = fold(pdf)
-        out = made[names].astype(object).where(made[names].notna(), None)
-        for i, c in enumerate(keys):
-            out.insert(i, c, pdf[c].iloc[0])
-        return out
+        def rows_of(parts):
+            at, state = None, None
+            for pdf in parts:
+                made = []
+                for row in pdf.to_dict("records"):
+                    key = tuple(row[c] for c in where)
+                    if key != at:
+                        at, state = key, json.loads(row["__entry"])
+                    state, out = step(state, row)
+                    made.extend((*key[:-1], *(o[i] for i in pick)) for o in out)
+                yield _clean(made, [*keys, *names])
 
-    end_schema = ", ".join(f"`{c}` {t}" for c, t in kinds.items()) + ", entry string, exit string"
-    by_key = Window.partitionBy(*keys).orderBy(chunk)
+        laid = lambda d: d.repartition(*where).sortWithinPartitions(*where, *order)
+        ends = lambda d: laid(d).mapInPandas(ends_of, end_schema)
+        emit = lambda d: laid(d).mapInPandas(rows_of, out_schema)
+    else:
+        def fold(pdf: pd.DataFrame):
+            return run(json.loads(pdf["__entry"].iloc[0]), pdf.sort_values(order, kind="stable"))
+
+        def chunk_ends(pdf: pd.DataFrame) -> pd.DataFrame:
+            state, _ = fold(pdf)
+            return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in where}, "entry": [pdf["__entry"].iloc[0]], "exit": [json.dumps(state)]})
+
+        def chunk_rows(pdf: pd.DataFrame) -> pd.DataFrame:
+            _, made = fold(pdf)
+            out = made[names].astype(object).where(made[names].notna(), None)
+            for i, c in enumerate(keys):
+                out.insert(i, c, pdf[c].iloc[0])
+            return out
+
+        ends = lambda d: d.groupBy(*where).applyInPandas(chunk_ends, end_schema)
+        emit = lambda d: d.groupBy(*where).applyInPandas(chunk_rows, out_schema)
+
+    by_key = Window.partitionBy(*keys).orderBy(chunk)  # one row per chunk
     rows = cut(df)
     several = rows.groupBy(*keys).agg(F.min(chunk).alias("a"), F.max(chunk).alias("b")).where("a < b")
-    if several.take(1):
-        known = cut(rows.withColumn("__entry", F.lit(blank)).groupBy(*where).applyInPandas(ends, end_schema))
-        while True:
-            want = known.withColumn("__want", F.coalesce(F.lag("exit").over(by_key), F.lit(blank)))
-            stale = cut(want.where("__want <> entry").select(*where, F.col("__want").alias("__entry")))
-            if not stale.take(1):
-                break
-            fresh = rows.join(stale, where).groupBy(*where).applyInPandas(ends, end_schema)
-            known = cut(known.join(stale, where, "left_anti").unionByName(fresh))
-        rows = rows.join(known.select(*where, F.col("entry").alias("__entry")), where)
-    else:
-        rows = rows.withColumn("__entry", F.lit(blank))
-    return rows.groupBy(*where).applyInPandas(emit, ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", " + schema)
+    if not several.take(1):
+        return emit(rows.withColumn("__entry", F.lit(blank)))
+    known = cut(ends(rows.withColumn("__entry", F.lit(blank))))
+    while True:
+        want = known.withColumn("__want", F.coalesce(F.lag("exit").over(by_key), F.lit(blank)))
+        stale = cut(want.where("__want <> entry").select(*where, F.col("__want").alias("__entry")))
+        if not stale.take(1):
+            break
+        known = cut(known.join(stale, where, "left_anti").unionByName(ends(rows.join(stale, where))))
+    return emit(rows.join(known.select(*where, F.col("entry").alias("__entry")), where))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..runtime import cut
+from .folds import grouped_rows
 from .ordered import index, running, scan
 from .sequences import overlap_groups
 
@@ -63,19 +64,18 @@ def stretch_pairs(pred: DataFrame, truth: DataFrame, key: str, slot_seconds=3600
     p = pred.select(key, "i", "name", "t", F.col("t").alias("a"), F.col("t").alias("b"), F.lit(1).alias("side"))
     g = truth.select(key, "i", "name", "t", (F.col("t") + tolerance[0]).alias("a"), (F.col("t") + tolerance[1]).alias("b"), F.lit(0).alias("side"))
     both = p.unionByName(g).withColumn("slot", F.floor(F.col("a") / slot_seconds))
-    both = cut(overlap_groups(both, [key], ["a", "side", "i"], "a", "b", [["slot"]]))
+    both = overlap_groups(both, [key], ["a", "side", "i"], "a", "b", [["slot"]])
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i", kind="stable")
-        side = {s: pdf[pdf["side"] == s] for s in (0, 1)}
-        ev = {s: list(zip(d["name"], d["t"], d["a"], d["b"])) for s, d in side.items()}
+    def one(rows):
+        side = {s: [r for r in rows if r["side"] == s] for s in (0, 1)}
+        if not side[0] or not side[1]:
+            return []
+        ev = {s: [(r["name"], r["t"], r["a"], r["b"]) for r in d] for s, d in side.items()}
         hits = _pairs(ev[1], ev[0]) if pred_left else [(b, a) for a, b in _pairs(ev[0], ev[1])]
-        pi, gi = side[1]["i"].to_numpy(), side[0]["i"].to_numpy()
-        return pd.DataFrame({key: [pdf[key].iloc[0]] * len(hits), "p": [pi[a] for a, _ in hits], "g": [gi[b] for _, b in hits]})
+        return [(rows[0][key], side[1][p]["i"], side[0][g]["i"]) for p, g in hits]
 
-    both_sides = both.groupBy(key, "grp").agg(F.countDistinct("side").alias("s")).where("s = 2").select(key, "grp")
-    work = both.join(both_sides, [key, "grp"], "left_semi")
-    return work.groupBy(key, "grp").applyInPandas(one, f"{key} {pred.schema[key].dataType.simpleString()}, p bigint, g bigint")
+    return grouped_rows(both.select(key, "grp", "side", "i", "name", "t", "a", "b"), [key, "grp"], ["i"], one, [key, "p", "g"],
+                        f"{key} {pred.schema[key].dataType.simpleString()}, p bigint, g bigint")
 
 
 def confusion(pred: DataFrame, truth: DataFrame, key: str, slot_seconds=3600.0, tolerance=TOLERANCE) -> DataFrame:

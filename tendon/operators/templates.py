@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import dot
 from ..runtime import cut
 from . import linking as L
+from .folds import grouped_rows
 from .joins import small
 from .sequences import overlap_groups, peak_quality
 
@@ -127,11 +128,11 @@ def place_events(scores: DataFrame, events: DataFrame, key: str, delays: tuple[i
         "s": F.transform(F.sequence(F.lit(delays[0]), F.lit(delays[1])), lambda d: F.try_element_at("m", d))})
     ev = overlap_groups(ev, [key], ["cue", "event_id"], "a", "b", [["slot"]]).select(key, "grp", "event_id", "cue", "s")
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["cue", "event_id"], kind="stable")
+    def one(rows):
         beams = [(0.0, -10 ** 12, None)]
-        for cue, row in zip(pdf["cue"], pdf["s"]):
-            s = np.array([np.nan if v is None else v for v in row], dtype=float)
+        for r in rows:
+            cue = r["cue"]
+            s = np.array([np.nan if v is None else v for v in r["s"]], dtype=float)
             pick = np.flatnonzero(np.isfinite(s))
             pick = pick if len(pick) else np.array([(n - 1) // 2])
             value = np.where(np.isfinite(s), s, -1.0)
@@ -140,13 +141,12 @@ def place_events(scores: DataFrame, events: DataFrame, key: str, delays: tuple[i
             beams = sorted(nxt, key=lambda t: -t[0])[:beam]
         path, best = [], beams[0][2]
         while best is not None:
-            path.append(int(best[0]))
+            path.append(delays[0] + int(best[0]))
             best = best[1]
-        return pd.DataFrame({key: pdf[key].to_numpy(), "event_id": pdf["event_id"].to_numpy(), "delay": [delays[0] + i for i in reversed(path)]})
+        return [(r[key], r["event_id"], d) for r, d in zip(rows, reversed(path))]
 
-    kt = events.schema[key].dataType.simpleString()
-    it = events.schema["event_id"].dataType.simpleString()
-    return ev.groupBy(key, "grp").applyInPandas(one, f"{key} {kt}, event_id {it}, delay int")
+    kt, it = (events.schema[c].dataType.simpleString() for c in (key, "event_id"))
+    return grouped_rows(ev, [key, "grp"], ["cue", "event_id"], one, [key, "event_id", "delay"], f"{key} {kt}, event_id {it}, delay int")
 
 
 def align_sessions(frames: DataFrame, events: DataFrame, key: str, offsets=(-10, 10), delays=(4, 60), first_delay=22, gap=2,

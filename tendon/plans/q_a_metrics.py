@@ -92,13 +92,13 @@ def a11(spark, root):
 
 @query("a12_latency_percentiles", views="samples", sql="""
 WITH g AS (SELECT session_no, (epoch_us(ts)-lag(epoch_us(ts)) OVER (PARTITION BY trial_id ORDER BY n))/1000.0 AS gap FROM samples)
-SELECT session_no, round(quantile_cont(gap,0.5),3) AS p50_ms, round(quantile_cont(gap,0.95),3) AS p95_ms FROM g WHERE gap IS NOT NULL GROUP BY 1""")
+SELECT session_no, round(quantile_cont(gap,0.5),4) AS p50_ms, round(quantile_cont(gap,0.95),4) AS p95_ms FROM g WHERE gap IS NOT NULL GROUP BY 1""")
 def a12(spark, root):
     s = samples(spark, root).withColumn("us", micros("ts"))
     s = scan(s, ["trial_id"], ["n"], {"prev": running("lag", "us")}, [["blk"]])
     s = s.withColumn("gap", (F.col("us") - F.col("prev")) / 1000.0)
     return exact_quantiles(s, ["session_no"], "gap", {"p50_ms": 0.5, "p95_ms": 0.95}).select(
-        "session_no", F.round("p50_ms", 3).alias("p50_ms"), F.round("p95_ms", 3).alias("p95_ms"))
+        "session_no", F.round("p50_ms", 4).alias("p50_ms"), F.round("p95_ms", 4).alias("p95_ms"))
 
 
 @query("a14_window_weights", views="pred", sql="""

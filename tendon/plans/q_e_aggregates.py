@@ -206,12 +206,12 @@ def a24(spark, root):
 
 @query("a25_rate_audit", views="samples", sql="""
 WITH d AS (SELECT trial_id, n, epoch_us(ts) us, abs(c0) a, (epoch_us(ts)-lag(epoch_us(ts)) OVER (PARTITION BY trial_id ORDER BY n))/1000.0 ms FROM samples), q AS (SELECT trial_id, median(ms) m, quantile_cont(ms,0.95) p FROM d GROUP BY 1)
-SELECT trial_id, round(regr_slope(n, (us-1700000000000000)/1e6),9) AS rate_hz, count(*) FILTER (WHERE ms<=0) AS not_positive, round(any_value(m),3) AS step_p50, round(any_value(p),3) AS step_p95, round(quantile_cont(a,0.99),6) AS amp_p99, count(*) FILTER (WHERE ms>2.5*m) AS gaps FROM d JOIN q USING (trial_id) GROUP BY 1""")
+SELECT trial_id, round(regr_slope(n, (us-1700000000000000)/1e6),9) AS rate_hz, count(*) FILTER (WHERE ms<=0) AS not_positive, round(any_value(m)/1000,3) AS step_p50_s, round(any_value(p)/1000,3) AS step_p95_s, round(quantile_cont(a,0.99),6) AS amp_p99, count(*) FILTER (WHERE ms>2.5*m) AS gaps FROM d JOIN q USING (trial_id) GROUP BY 1""")
 def a25(spark, root):
     s = samples(spark, root).withColumn("us", micros("ts") - 1_700_000_000_000_000)
     d = Q.rate_audit(s, "trial_id", "n", "us", "c0", BLK)
-    return d.select("trial_id", F.round("rate_hz", 9).alias("rate_hz"), "not_positive", F.round("step_p50", 3).alias("step_p50"),
-                    F.round("step_p95", 3).alias("step_p95"), r6("amp_p99", "amp_p99"), "gaps")
+    return d.select("trial_id", F.round("rate_hz", 9).alias("rate_hz"), "not_positive", F.round(F.col("step_p50") / 1000, 3).alias("step_p50_s"),
+                    F.round(F.col("step_p95") / 1000, 3).alias("step_p95_s"), r6("amp_p99", "amp_p99"), "gaps")
 
 
 @query("a26_offset_balance", views="trials cues", sql="""

@@ -100,14 +100,14 @@ fo AS (SELECT trial_id, list_reduce(l, lambda a, x: {'t': x.t, 'tr': x.tr, 'used
 SELECT trial_id, o.p AS pred_t, o.q AS truth_t FROM (SELECT trial_id, unnest(r.out) o FROM fo)""".replace("FREE", f"({FREE})"))
 def j10(spark, root):
     s = samples(spark, root).select("trial_id", "event_type", micros("ts").alias("us"))
-    return E.match_events(s.where("event_type = 'view'"), s.where("event_type = 'click'"), ["trial_id"], "us", 4 * HOUR, F.floor(F.col("t") / (24 * HOUR)))
+    return E.match_events(s.where("event_type = 'view'"), s.where("event_type = 'click'"), ["trial_id"], "us", 4 * HOUR, F.floor(F.col("t") / (360 * HOUR)))
 
 
 @query("a41_event_metrics")
 def a41(spark, root):
     s = samples(spark, root).select("trial_id", (F.col("k") % 3).alias("cls"), "event_type", micros("ts").alias("us"))
     p, t = s.where("event_type = 'view'"), s.where("event_type = 'click'")
-    m = E.match_events(p, t, ["trial_id", "cls"], "us", 12 * HOUR, F.floor(F.col("t") / (24 * HOUR)))
+    m = E.match_events(p, t, ["trial_id", "cls"], "us", 12 * HOUR, F.floor(F.col("t") / (360 * HOUR)))
     counts = E.match_counts(m, p, t, ["trial_id", "cls"])
     minutes = s.agg(((F.max("us") - F.min("us")) / 60e6).alias("minutes"))
     return E.event_metrics(counts, "cls", minutes)
