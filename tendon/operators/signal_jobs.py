@@ -126,21 +126,19 @@ def spectral_rows(x, s: SpectralSetup):
     depth, hop = s.window // s.fft_stride, s.stride // s.fft_stride
     frames = (len(spec) - depth) // hop + 1
     freq = np.abs(np.fft.fftfreq(s.fft, 1.0 / s.rate))[:spec.shape[1]]
+    c = np.arange(x.shape[1])
     out = []
-    for f in range(frames):
-        z = spec[f * hop:f * hop + depth].transpose(1, 2, 0)
-        power = np.abs(z @ z.conj().transpose(0, 2, 1) / depth) ** 2
-        row = []
-        for low, high in s.bands:
-            m = power[(freq > low) & (freq <= high)].mean(axis=0)
-            ev, vec = np.linalg.eigh(m)
-            with np.errstate(all="ignore"):
-                lg = np.nan_to_num(np.log(ev), nan=0.0, neginf=0.0) if s.nan_to_zero else np.log(np.maximum(ev, s.floor))
-            m = (vec * lg) @ vec.T
-            c = np.arange(len(m))
-            row += [m[c, (c + o) % len(m)] for o in range(s.diagonals)]
-        out.append(np.concatenate(row))
-    return np.array(out)
+    for first in range(0, frames, 128):
+        at = (np.arange(first, min(first + 128, frames)) * hop)[:, None] + np.arange(depth)[None, :]
+        z = spec[at].transpose(0, 2, 3, 1)
+        power = np.abs(z @ z.conj().swapaxes(-1, -2) / depth) ** 2
+        bands = np.stack([power[:, (freq > low) & (freq <= high)].mean(axis=1) for low, high in s.bands], axis=1)
+        ev, vec = np.linalg.eigh(bands)
+        with np.errstate(all="ignore"):
+            lg = np.nan_to_num(np.log(ev), nan=0.0, neginf=0.0) if s.nan_to_zero else np.log(np.maximum(ev, s.floor))
+        m = (vec * lg[..., None, :]) @ vec.swapaxes(-1, -2)
+        out.append(np.stack([m[..., c, (c + o) % len(c)] for o in range(s.diagonals)], axis=2).reshape(len(m), -1))
+    return np.concatenate(out) if out else np.zeros((0, len(s.bands) * s.diagonals * len(c)))
 
 
 def spectral_features(df: DataFrame, keys, n: str, channels, setup: SpectralSetup = SpectralSetup(), frames_per_block=4096) -> DataFrame:
@@ -156,7 +154,7 @@ def spectral_features(df: DataFrame, keys, n: str, channels, setup: SpectralSetu
         x = pdf[channels].to_numpy(dtype=float)
         f = spectral_rows(x, setup)[:frames_per_block] if len(x) > setup.context else []
         idx = first + np.arange(len(f))
-        out = pd.DataFrame({"frame": idx, "last_n": idx * setup.stride + setup.context, "features": [list(map(float, v)) for v in f]})
+        out = pd.DataFrame({"frame": idx, "last_n": idx * setup.stride + setup.context, "features": pd.Series([v.tolist() for v in f], dtype=object)})
         for i, c in enumerate(keys):
             out.insert(i, c, pdf[c].iloc[0])
         return out
