@@ -23,11 +23,11 @@ def evaluation_row(df: DataFrame, weight: Column, latency: DataFrame | None = No
     ]
     out = parts[0]
     for p in parts[1:]:
-        out = out.crossJoin(F.broadcast(p))
+        out = out.withColumns({c: p.select(c).scalar() for c in p.columns})
     if latency is None:
         out = out.withColumn("p95_latency_ms", F.lit(None).cast("double"))
     else:
-        out = out.crossJoin(F.broadcast(latency.select("p95_latency_ms")))
+        out = out.withColumn("p95_latency_ms", latency.select("p95_latency_ms").scalar())
     meets = ((F.col("f1_1") >= TARGET_F1) & (F.col("f1_2") >= TARGET_F1) & (F.col("joint_accuracy") >= TARGET_JOINT)
              & F.coalesce(F.col("p95_latency_ms") <= TARGET_P95_MS, F.lit(False)))
     return out.withColumn("meets_target", meets)

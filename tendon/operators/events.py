@@ -65,7 +65,7 @@ def event_metrics(counts: DataFrame, cls: str, minutes: DataFrame | None = None)
     whole = whole.withColumns({"f1": 2 * F.col("precision") * F.col("recall") / F.greatest(F.lit(1e-12), F.col("precision") + F.col("recall")),
                                "fnr": F.col("fn") / F.greatest(F.lit(1), F.col("tp") + F.col("fn")), cls: F.lit(None).cast(counts.schema[cls].dataType)})
     if minutes is not None:
-        whole = whole.crossJoin(F.broadcast(minutes)).withColumn("fp_per_minute", F.col("fp") / F.greatest(F.lit(1e-12), F.col("minutes"))).drop("minutes")
+        whole = whole.withColumn("fp_per_minute", F.col("fp") / F.greatest(F.lit(1e-12), minutes.select("minutes").scalar()))
         per = per.withColumn("fp_per_minute", F.lit(None).cast("double"))
     return per.withColumn("macro_f1", F.lit(None).cast("double")).unionByName(whole)
 

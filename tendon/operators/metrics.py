@@ -66,7 +66,7 @@ def risk_coverage(df: DataFrame, row_id: str, weight: Column, points=(1.0, 0.9,
     ranked = scan(kept, [], ["__nq", "__id"],
                   {"cw": running("sum", "__w"), "cb": running("sum", F.col("__w") * F.col("__bad"))},
                   [["__qb"], ["__qb", "__nq", "__ib"]])
-    ranked = ranked.crossJoin(F.broadcast(whole))  # one row
+    ranked = ranked.withColumns({c: whole.select(c).scalar() for c in ("__all", "__max")})
     target = [F.least(F.col("__max") / F.col("__all"), F.lit(p)) for p in points]
     hits = ranked.agg(*[F.min(F.when(F.col("cw") >= t * F.col("__all"),
                                      F.struct("__nq", "__id", "cw", "cb", t.alias("target"), "__all"))).alias(f"t{i}")
@@ -130,14 +130,13 @@ def fit_drift(df: DataFrame, score: str, weight: Column, truth="truth", pred="ra
                      (weight * (F.col(pred) != F.col(truth)).cast("double")).alias("bad"))
     merged = rows.groupBy("truth", "s").agg(F.sum("w").alias("w"), F.sum("bad").alias("bad"))
     merged = merged.withColumn("band", F.floor(F.col("s") * 1024))
-    totals = merged.groupBy("truth").agg(F.sum("w").alias("tw"))
-    per_class = scan(merged, ["truth"], ["s"], {"cw": running("sum", "w")}, [["band"]]).join(totals, "truth")
-    floor_class = (per_class.where(F.col("cw") >= F.lit(min_class) * F.col("tw")).groupBy("truth")
+    per_class = scan(merged, ["truth"], ["s"], {"cw": running("sum", "w"), "rest": running("sum_after", "w")}, [["band"]])
+    floor_class = (per_class.where(F.col("cw") >= F.lit(min_class) * (F.col("cw") + F.col("rest"))).groupBy("truth")
                    .agg(F.min("s").alias("s")).agg(F.max("s").alias("need")))
     flat = merged.groupBy("s", "band").agg(F.sum("w").alias("w"), F.sum("bad").alias("bad"))
     curve = scan(flat, [], ["s"], {"cw": running("sum", "w"), "cb": running("sum", "bad")}, [["band"]])
     whole = flat.agg(F.sum("w").alias("tw"), F.sum("bad").alias("tb"))
-    curve = curve.crossJoin(F.broadcast(whole)).crossJoin(F.broadcast(floor_class))
+    curve = curve.withColumns({"tw": whole.select("tw").scalar(), "tb": whole.select("tb").scalar(), "need": floor_class.scalar()})
     cand = curve.select("s", "cw", "cb", "tw", "tb", "need")
     ok = (F.col("cw") >= F.lit(min_coverage) * F.col("tw")) & (F.col("s") >= F.col("need"))
     key = F.struct(F.round(F.col("cb") / F.col("cw"), 12).alias("risk"),

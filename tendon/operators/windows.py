@@ -53,9 +53,8 @@ def window_weights(df: DataFrame, session="session_no", trial="trial_id", name="
     """Equal weight per session, then trial, then window; the mean is 1."""
     per_trial = df.groupBy(session, trial).agg(F.count(F.lit(1)).alias("__w"))
     per_session = per_trial.groupBy(session).agg(F.count(F.lit(1)).alias("__t"), F.sum("__w").alias("__sw"))
-    whole = per_session.agg(F.count(F.lit(1)).alias("__s"), F.sum("__sw").alias("__n"))
+    mean = per_session.agg((F.sum("__sw") / F.count(F.lit(1))).alias("m")).scalar()  # windows per session on average
     # one row per session: the share of a window of that session before the trial split
-    share = per_session.crossJoin(F.broadcast(whole)).select(
-        session, (F.col("__n") / (F.col("__s") * F.col("__t"))).alias("__share"))
+    share = per_session.select(session, (mean / F.col("__t")).alias("__share"))
     per_trial = per_trial.join(share, session).select(session, trial, (F.col("__share") / F.col("__w")).alias(name))
     return df.join(per_trial, [session, trial])

@@ -224,10 +224,8 @@ SELECT split, label, mon FROM g EXCEPT SELECT split, label, mon FROM p""")
 def u02(spark, root):
     from ..functions.labels import split_of
     t = trials(spark, root)
-    months = spark.range(1, 13).withColumnRenamed("id", "mon")
-    splits = spark.createDataFrame([("train",), ("validation",), ("test",)], "split string")
-    labels = t.select("label").distinct()  # vocabulary: one row per declared label
-    grid = labels.crossJoin(F.broadcast(splits)).crossJoin(F.broadcast(months))
+    splits = F.explode(F.array(*[F.lit(s) for s in ("train", "validation", "test")])).alias("split")
+    grid = t.select("label").distinct().select("label", splits).select("label", "split", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(12).cast("bigint"))).alias("mon"))
     seen = t.where("valid AND day(start_ts) = 1").select(
         split_of("session_no").alias("split"), "label", F.month("start_ts").cast("bigint").alias("mon")).distinct()
     return grid.join(seen, ["split", "label", "mon"], "left_anti").select("split", "label", "mon")

@@ -22,7 +22,7 @@ def j01(spark, root):
     cal = p.where("session_no < 4").groupBy("session_no").agg(F.max("q").alias("scale"))
     rows, missing = L.join_calibration(p, cal, "session_no")
     good = rows.groupBy("session_no").agg(F.count(F.lit(1)).alias("rows"), r6(F.max("scale"), "scale"), F.lit(False).alias("missing"))
-    bad = p.join(F.broadcast(missing), "session_no").groupBy("session_no").agg(  # at most one row per session
+    bad = p.join(J.small(missing), "session_no").groupBy("session_no").agg(
         F.count(F.lit(1)).alias("rows"), F.lit(None).cast("double").alias("scale"), F.lit(True).alias("missing"))
     return good.unionByName(bad)
 

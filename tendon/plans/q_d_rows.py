@@ -8,6 +8,7 @@ from ..functions import text as X
 from ..functions.columns import r6
 from ..operators import transforms as T
 from ..operators import windows as W
+from ..operators.joins import small
 from ..operators.linking import cue_columns
 from ..operators.ordered import micros, running, scan
 from .q_b_ordered import BLK, day
@@ -170,7 +171,7 @@ def p12(spark, root):
     ch = ("c0", "c1", "c2", "c3")
     cal = s.groupBy("session_no").agg(F.array(*[F.avg(c) for c in ch]).alias("center"), F.array(*[F.max(F.abs(F.col(c))) for c in ch]).alias("scale"))
     cal = cal.withColumn("mode", F.when(F.col("session_no") == 2, "global").otherwise("per_channel"))
-    d = s.join(F.broadcast(cal), "session_no")  # one calibration per session
+    d = s.join(small(cal), "session_no")
     v = T.calibrate_emg(F.array(*ch), "center", "scale", F.col("session_no").cast("int"), "mode", F.get("scale", F.lit(0)))
     return d.select("trial_id", "n", v.alias("v")).select("trial_id", "n", *[r6(F.get("v", F.lit(i)), f"x{i}") for i in range(4)])
 
@@ -182,7 +183,7 @@ def p13(spark, root):
     s = samples(spark, root)
     cal = s.groupBy("session_no").agg(F.array(F.avg("c0"), F.avg("c1"), F.avg("c2")).alias("gravity"))
     cal = cal.withColumn("rot", F.array(*[F.array(*[F.lit(x) for x in r]) for r in ((0.8, -0.6, 0.0), (0.6, 0.8, 0.0), (0.0, 0.0, 1.0))]))
-    d = s.join(F.broadcast(cal), "session_no").select("trial_id", "n", T.rotate(F.array("c0", "c1", "c2"), "gravity", "rot", F.lit(2.5)).alias("v"))
+    d = s.join(small(cal), "session_no").select("trial_id", "n", T.rotate(F.array("c0", "c1", "c2"), "gravity", "rot", F.lit(2.5)).alias("v"))
     return d.select("trial_id", "n", *[r6(F.get("v", F.lit(i)), f"x{i}") for i in range(3)])
 
 

@@ -9,6 +9,7 @@ from ..operators import calibration as K
 from ..operators import quality as Q
 from ..operators import reports as R
 from ..operators import windows as W
+from ..operators.joins import small
 from ..operators.ordered import block, exact_quantiles, micros, number_rows, time_slot
 from .q_b_ordered import BLK, day
 from .registry import VIEWS, query
@@ -136,8 +137,8 @@ WITH g AS (SELECT u.user_id, t.event_type FROM (SELECT DISTINCT user_id FROM eve
 SELECT g.user_id, g.event_type, coalesce(c,0) AS repetitions FROM g LEFT JOIN c USING (user_id, event_type) WHERE coalesce(c,0) NOT BETWEEN 9 AND 16""")
 def a18(spark, root):
     e = table(spark, root, "events").select("user_id", "event_type")
-    kinds = e.select("event_type").distinct().agg(F.collect_set("event_type").alias("k"))  # five event types
-    grid = e.select("user_id").distinct().crossJoin(F.broadcast(kinds)).select("user_id", F.explode("k").alias("event_type"))
+    kinds = e.agg(F.collect_set("event_type").alias("k")).scalar()  # the event vocabulary
+    grid = e.select("user_id").distinct().select("user_id", F.explode(kinds).alias("event_type"))
     return R.repetition_check(e, grid, ["user_id", "event_type"])
 
 
@@ -168,7 +169,7 @@ k AS (SELECT session, blk, q.q, sum(y*cos(2*pi()*q.q*i/200.0)) re, sum(y*sin(2*p
 SELECT session, blk AS block, round(sum(pw) FILTER (WHERE q BETWEEN 45 AND 55)/greatest(sum(pw),1e-12),6) AS mains_ratio,
  round(10*log10((avg(pw) FILTER (WHERE q BETWEEN 49 AND 51)+1e-12)/(avg(pw) FILTER (WHERE q BETWEEN 44 AND 47 OR q BETWEEN 53 AND 56)+1e-12)),5) AS line_db FROM p GROUP BY 1,2""")
 def a21(spark, root):
-    e = table(spark, root, "events").select((F.col("user_id") % 4).alias("session"), "ts", "event_id", F.col("value").alias("x"), time_slot("ts").alias("slot"))
+    e = table(spark, root, "events").select((F.col("user_id") % 4).alias("session"), "ts", "event_id", F.col("value").alias("x"), time_slot("ts", 86_400).alias("slot"))
     e = number_rows(e, ["session"], ["ts", "event_id"], "n", [["slot"]])
     e = e.select("session", F.floor(F.col("n") / 200).alias("block"), (F.col("n") % 200).alias("i"), "x")
     d = Q.band_power(e, ["session", "block"], "i", "x", 200, 200.0)
@@ -256,7 +257,7 @@ def a34b(spark, root):
     s = samples(spark, root)
     med = exact_quantiles(long_samples(spark, root, CH[:3]).where("event_type = 'view'"), ["session_no", "ch"], "x", {"m": 0.5})
     wide = med.groupBy("session_no").agg(*[F.max(F.when(F.col("ch") == i, F.col("m"))).alias(f"g{i}") for i in range(3)])
-    d = s.where("event_type <> 'view'").join(F.broadcast(wide), "session_no").withColumn("r", F.sqrt(sum(  # a row per session
+    d = s.where("event_type <> 'view'").join(small(wide), "session_no").withColumn("r", F.sqrt(sum(
         (F.col(f"c{i}") - F.col(f"g{i}")) * (F.col(f"c{i}") - F.col(f"g{i}")) for i in range(3))))
     q = exact_quantiles(d, ["session_no"], "r", {"p": 0.95}).join(wide, "session_no")
     return q.select("session_no", *[r6(f"g{i}", f"g{i}") for i in range(3)], r6(F.greatest("p", F.lit(1e-6)), "motion_scale"))

@@ -17,7 +17,7 @@ TAPS, HALF = resample_taps(4, 5)
 def long_trials(spark, root):
     """Four long trials (sessions) instead of many short ones."""
     e = table(spark, root, "events").select((F.col("user_id") % 4).alias("trial"), "ts", "event_id", "value", F.regexp_extract("props", "([0-9]+)", 1).cast("int").alias("k"),
-                                            time_slot("ts").alias("slot"))
+                                            time_slot("ts", 86_400).alias("slot"))
     e = number_rows(e, ["trial"], ["ts", "event_id"], "n", [["slot"]])
     v = F.col("value") - 50.0
     return e.select("trial", "n", block("n", 1024).alias("blk"), v.alias("c0"), (v * (F.col("k") % 7 - 3) / 3.0).alias("c1"),

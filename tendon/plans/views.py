@@ -17,7 +17,7 @@ def samples(spark, root) -> DataFrame:
     e = table(spark, root, "events").select(
         F.col("user_id").alias("trial_id"), (F.col("user_id") % 4 + 1).alias("session_no"), "event_id", "ts",
         "event_type", "value", F.regexp_extract("props", "([0-9]+)", 1).cast("int").alias("k"),
-        time_slot("ts").alias("slot"))
+        time_slot("ts", 86_400).alias("slot"))
     e = number_rows(e, ["trial_id"], ["ts", "event_id"], "n", [["slot"]])
     v, k = F.col("value") - 50.0, F.col("k")
     return e.select(
