@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import filters as K
-from .folds import chunked_fold
+from .folds import chunked_fold, grouped_rows
 from .ordered import exact_quantiles
 from .joins import small
 from .sequences import halo
@@ -186,9 +186,8 @@ def review_envelope(snips: DataFrame, keys, order: str, channels, rate: float) -
     kinds = ", ".join(f"`{c}` {snips.schema[c].dataType.simpleString()}" for c in keys)
     width = max(3, round(0.025 * rate))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        x = pdf[channels].to_numpy(dtype=float)
+    def one(rows):
+        x = np.array([[r[c] for c in channels] for r in rows], dtype=float)
         spec = np.fft.rfft(x - np.median(x, axis=0), axis=0)
         f = np.fft.rfftfreq(len(x), 1.0 / rate)
         mains = np.arange(50.0, min(450.0, rate / 2) + 0.1, 50.0)
@@ -198,12 +197,10 @@ def review_envelope(snips: DataFrame, keys, order: str, channels, rate: float) -
         w = min(width, len(power))
         pad = np.pad(power, (w // 2, w - 1 - w // 2), mode="edge")
         y = np.sqrt(np.maximum(np.convolve(pad, np.ones(w) / w, "valid"), 0.0))
-        out = pd.DataFrame({order: pdf[order].to_numpy(), "activity": y})
-        for i, c in enumerate(keys):
-            out.insert(i, c, pdf[c].iloc[0])
-        return out
+        return [(*(r[k] for k in keys), r[order], float(v)) for r, v in zip(rows, y)]
 
-    return snips.groupBy(*keys).applyInPandas(one, f"{kinds}, {order} {snips.schema[order].dataType.simpleString()}, activity double")
+    kind = snips.schema[order].dataType.simpleString()
+    return grouped_rows(snips.select(*keys, order, *channels), keys, [order], one, [*keys, order, "activity"], f"{kinds}, {order} {kind}, activity double")
 
 
 def examples(samples: DataFrame, prompts: DataFrame, keys, n: str, value: str, first: str, last: str, left: int, right: int, prompt_id: str, width: int) -> DataFrame:

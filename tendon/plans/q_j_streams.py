@@ -30,6 +30,14 @@ def stream(spark, d, name):
     return spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 64).parquet(path)
 
 
+def live(spark, d, name, summarise):
+    """Running aggregate over a stream; its latest snapshot."""
+    path = scratch(spark, name)
+    Z.snapshots(stream(spark, d, f"{name}-in"), path, summarise)
+    s = spark.read.parquet(path)
+    return s.where(F.col("batch") == s.agg(F.max("batch")).scalar()).drop("batch")
+
+
 def clock(d):
     return d.withColumn("at", F.timestamp_micros(micros("ts")))
 
@@ -59,6 +67,22 @@ def t03(spark, root):
     return d.select("user_id", F.unix_micros(F.col("w.start")).alias("start_us"), "last_us", "rows")
 
 
+@query("t01_hop_stream_live", sql=ORACLES["t01_hop_stream"])
+def t01s(spark, root):
+    e = clock(table(spark, root, "events")).select("at", "event_type", "value")
+    d = live(spark, e, "hop", lambda s: Z.hop_windows(s, "at", ["event_type"], "24 hours", "6 hours", [
+        F.count(F.lit(1)).alias("rows"), F.round(F.sum("value"), 4).alias("total")], late="1 hour"))
+    return d.select("event_type", F.unix_micros(F.col("w.start")).alias("start_us"), "rows", "total")
+
+
+@query("t03_gap_sessions_live", sql=ORACLES["t03_gap_sessions"])
+def t03s(spark, root):
+    e = clock(table(spark, root, "events")).select("at", "user_id")
+    d = live(spark, e, "gap", lambda s: Z.gap_sessions(s, "at", ["user_id"], "4 hours", [
+        F.count(F.lit(1)).alias("rows"), F.max(F.unix_micros("at")).alias("last_us")], late="1 hour"))
+    return d.select("user_id", F.unix_micros(F.col("w.start")).alias("start_us"), "last_us", "rows")
+
+
 @query("t04_drop_late", sql="""
 WITH e AS (SELECT user_id, event_id id, epoch_us(ts)//1000 - CASE WHEN event_id%13=0 THEN 7200000*3 ELSE 0 END t FROM events)
 SELECT user_id, t, id FROM (SELECT *, max(t) OVER (PARTITION BY user_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) m FROM e) WHERE m IS NULL OR t>m""")
@@ -170,11 +194,8 @@ SELECT user_id%4 AS run, count(*) AS states, round(avg((event_id%11=0)::INT),6)
 def t18(spark, root):
     e = table(spark, root, "events").select((F.col("user_id") % 4).alias("run"), F.when(F.col("event_id") % 11 == 0, -1).otherwise(1).alias("d"),
                                             F.when(F.col("event_id") % 7 == 0, -1).otherwise(1).alias("g"), "event_id")
-    path = scratch(spark, "health")
-    Z.health_stream(stream(spark, e, "health-in"), path, lambda s: R.health(s, "run", "event_id", "d", "g", N.FLAGS[:2]))
-    d = spark.read.parquet(path)
-    last = d.agg(F.max("batch").alias("batch"))
-    return d.join(F.broadcast(last), "batch").select("run", "states", r6("direction_unknown", "direction_unknown"), r6("gesture_unknown", "gesture_unknown"))
+    d = live(spark, e, "health", lambda s: R.health(s, "run", "event_id", "d", "g", N.FLAGS[:2]))
+    return d.select("run", "states", r6("direction_unknown", "direction_unknown"), r6("gesture_unknown", "gesture_unknown"))
 
 
 @query("t20_audit_split", sql="""

@@ -185,6 +185,6 @@ def audit_split(stream: DataFrame, path: str, is_ok) -> None:
     batch_sink(stream, "audit-split", write)
 
 
-def health_stream(stream: DataFrame, path: str, summarise: Callable) -> None:
-    """Running summary per run; each update replaces the snapshot of its batch, the last batch is the current state."""
-    batch_sink(summarise(stream), "health", lambda b, i: b.write.mode("overwrite").parquet(f"{path}/batch={i}"), "complete")
+def snapshots(stream: DataFrame, path: str, summarise: Callable) -> None:
+    """Running aggregate; each batch writes its own snapshot, so a retried batch overwrites itself and the last one is current."""
+    batch_sink(summarise(stream), "snapshots", lambda b, i: b.write.mode("overwrite").parquet(f"{path}/batch={i}"), "complete")
