@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..runtime import ship
 from .common import table
 from .exact_dedup import exact_dedup
+from .line_dedup import dedup_lines
+from .packing import pack
 from .simhash import near_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +34,26 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op3_line_dedup", r"""
+WITH lines AS (
+  SELECT doc_id, unnest(generate_series(1, len(parts))) AS i, unnest(parts) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents) d),
+keyed AS (
+  SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+shared AS (SELECT key, min(doc_id) AS first FROM keyed WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1),
+told AS (SELECT k.*, coalesce(k.doc_id > s.first, false) AS gone FROM keyed k LEFT JOIN shared s ON k.key = s.key)
+SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(gone AS INT)) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM told GROUP BY doc_id""")
+def op3(spark, root):
+    done = dedup_lines(table(spark, root, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op4_pack_windows")
+def op4(spark, root):
+    return pack(table(spark, root, "documents"))
+
+
 @query("op5_simhash_groups")
 def op5(spark, root):
     return near_dedup(table(spark, root, "documents"))
