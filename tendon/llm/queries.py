@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from ..runtime import ship
 from .common import table
 from .exact_dedup import exact_dedup
+from .language_id import fit, held_out, predict
 from .line_dedup import dedup_lines
 from .packing import pack
 from .simhash import near_dedup
+from .token_rollup import count_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,3 +67,15 @@ FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ',
 WINDOW w AS (PARTITION BY t)""")
 def op9(spark, root):
     return exact_dedup(table(spark, root, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query("op8_language_id")
+def op8(spark, root):
+    docs = table(spark, root, "documents")
+    found = predict(docs.select("doc_id", "text"), fit(docs))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query("op10_token_rollup")
+def op10(spark, root):
+    return count_documents(table(spark, root, "documents"))
