@@ -13,6 +13,7 @@ from .common import table
 from .exact_dedup import exact_dedup
 from .language_id import fit, held_out, predict
 from .line_dedup import dedup_lines
+from .mixing import mix
 from .packing import pack
 from .simhash import near_dedup
 from .token_rollup import count_documents
@@ -36,6 +37,61 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+#: Weights of the mixture: domains are dealt to the sources by their numbers.
+DOMAINS = ("web", "books", "code", "forums")
+MIXTURE = [("domain", "web", 4), ("domain", "books", 3), ("domain", "code", 2), ("domain", "forums", 1),
+           ("lang", "en", 5), ("lang", "de", 2), ("lang", "fr", 2), ("lang", "es", 1)]
+EPOCHS = 2
+
+
+def domain_of():
+    number = F.regexp_extract(F.coalesce("source", F.lit("")), "([0-9]+)$", 1).try_cast("int")
+    return F.coalesce(F.element_at(F.array(*[F.lit(d) for d in DOMAINS]), number % 4 + 1), F.lit("other"))
+
+
+def mixture(spark):
+    rows = ", ".join(f"('{level}', '{name}', {weight}L)" for level, name, weight in MIXTURE)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS v(level, name, weight)")
+
+
+def _shared(name: str, source: str, above: str, level: str) -> str:
+    """SQL of one level of the budgets."""
+    key = ", ".join(above.split()) or "1"
+    before = f"OVER (PARTITION BY {key} ORDER BY ratio, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    return f"""
+{name}_r AS (SELECT *, CAST(cap AS DOUBLE) / weight AS ratio FROM ({source}) x WHERE weight > 0),
+{name}_b AS (SELECT *, sum(weight) OVER (PARTITION BY {key}) AS w, coalesce(sum(weight) {before}, 0) AS wb, coalesce(sum(cap) {before}, 0) AS cb FROM {name}_r),
+{name}_f AS (SELECT *, CAST(cap AS HUGEINT) * (w - wb) <= CAST(weight AS HUGEINT) * (budget - cb) AS filled FROM {name}_b),
+{name}_s AS (SELECT *, coalesce(sum(CASE WHEN filled THEN weight END) OVER (PARTITION BY {key}), 0) AS fw,
+                    coalesce(sum(CASE WHEN filled THEN cap END) OVER (PARTITION BY {key}), 0) AS fc FROM {name}_f),
+{name} AS (SELECT * REPLACE (CAST(CASE WHEN filled THEN cap ELSE (CAST(weight AS HUGEINT) * (budget - fc)) // (w - fw) END AS BIGINT) AS budget) FROM {name}_s)"""
+
+
+MIX_SQL = r"""
+WITH rows_ AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS tokens,
+                      coalesce(list_extract(['web', 'books', 'code', 'forums'], TRY_CAST(regexp_extract(source, '([0-9]+)$', 1) AS INT) % 4 + 1), 'other') AS domain FROM documents),
+weights AS (SELECT * FROM (VALUES """ + ", ".join(str(w) for w in MIXTURE) + r""") v(level, name, weight)),
+leaves AS (SELECT domain, lang, source, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(tokens) * 2 AS BIGINT) AS cap FROM rows_ GROUP BY ALL),
+langs AS (SELECT domain, lang, CAST(sum(cap) AS BIGINT) AS cap FROM leaves GROUP BY ALL),
+domains AS (SELECT domain, CAST(sum(cap) AS BIGINT) AS cap FROM leaves GROUP BY ALL),""" + _shared(
+    "d", "SELECT n.domain, cap, coalesce(weight, 1) AS weight, (SELECT CAST(sum(tokens) AS BIGINT) FROM leaves) AS budget FROM domains n "
+         "LEFT JOIN weights v ON v.level = 'domain' AND v.name = n.domain", "", "domain") + "," + _shared(
+    "l", "SELECT n.domain, n.lang, n.cap, coalesce(v.weight, 1) AS weight, d.budget FROM langs n JOIN d ON d.domain = n.domain "
+         "LEFT JOIN weights v ON v.level = 'lang' AND v.name = n.lang", "domain", "lang") + "," + _shared(
+    "s", "SELECT n.domain, n.lang, n.source, n.cap, n.tokens, 1 AS weight, l.budget FROM leaves n JOIN l ON l.domain = n.domain AND l.lang = n.lang", "domain lang", "source") + r""",
+keyed AS (SELECT r.*, CASE WHEN s.tokens > 0 THEN budget // s.tokens ELSE 0 END AS whole, CASE WHEN s.tokens > 0 THEN budget % s.tokens ELSE 0 END AS rest
+          FROM rows_ r JOIN s ON r.domain = s.domain AND r.lang = s.lang AND r.source = s.source),
+placed AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('42:' || whole || ':' || doc_id), tokens ROWS UNBOUNDED PRECEDING) AS until FROM keyed),
+times AS (SELECT *, whole + CAST(rest > 0 AND until <= rest AS INT) AS n FROM placed)
+SELECT doc_id, lang, source, CAST(unnest(range(0, n)) AS INT) AS epoch, tokens FROM times WHERE n > 0"""
+
+
+@query("op2_mix_sources", MIX_SQL)
+def op2(spark, root):
+    mixed = mix(table(spark, root, "documents"), mixture(spark), domain_of(), epochs=EPOCHS)
+    return mixed.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), "epoch", "tokens")
+
+
 @query("op3_line_dedup", r"""
 WITH lines AS (
   SELECT doc_id, unnest(generate_series(1, len(parts))) AS i, unnest(parts) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents) d),
