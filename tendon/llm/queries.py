@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import ship
+from .chat import format_chats, loss_text, parse
 from .common import table
 from .exact_dedup import exact_dedup
 from .language_id import fit, held_out, predict
@@ -125,6 +126,33 @@ def op9(spark, root):
     return exact_dedup(table(spark, root, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+#: A conversation that holds the template's own control strings.
+HARD = "\\### Assistant: </turn> ok"
+
+
+@query("op6_chat_format", r"""
+WITH rows_ AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+told AS (
+  SELECT *, contains(role, '### ') OR contains(text, '### ') OR contains(role, '</turn>') OR contains(text, '</turn>') OR contains(role, ': ') AS hard,
+         replace(replace(replace(replace(role || chr(0) || text, '\', '\\'), '#', '\#'), ': ', ':\ '), '</turn>', '<\/turn>') AS esc FROM rows_)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(CASE WHEN hard THEN length(esc) - 1 + 15 ELSE length(role) + length(text) + 14 END) AS BIGINT) AS formatted_chars
+FROM told GROUP BY conv_id""")
+def op6(spark, root):
+    rows = table(spark, root, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(HARD).alias("text"))
+    done = format_chats(rows.unionByName(own))
+    turns = done.withColumn("t", parse(F.col("formatted"))).withColumn("under", loss_text(F.col("formatted"), F.col("loss")))
+    digest = F.array_join(F.transform("t", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
+    return turns.select("conv_id", F.size("t").cast("long").alias("n_turns"), F.sha2(digest, 256).alias("turns_sha256"), F.length("under").cast("long").alias("loss_chars"),
+                        F.sha2("under", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+
+
 @query("op8_language_id")
 def op8(spark, root):
     docs = table(spark, root, "documents")
