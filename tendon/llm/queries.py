@@ -15,6 +15,7 @@ from .exact_dedup import exact_dedup
 from .language_id import fit, held_out, predict
 from .line_dedup import dedup_lines
 from .mixing import mix
+from .neighbours import nearest
 from .packing import pack
 from .simhash import near_dedup
 from .token_rollup import count_documents
@@ -153,6 +154,12 @@ def op6(spark, root):
                         F.sha2("under", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+@query("op7_nearest_vectors")
+def op7(spark, root):
+    rows = table(spark, root, "embeddings")
+    return nearest(rows, rows.where("vec_id % 20 = 0"))
+
+
 @query("op8_language_id")
 def op8(spark, root):
     docs = table(spark, root, "documents")
