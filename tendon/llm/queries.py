@@ -13,6 +13,8 @@ from .chat import format_chats, loss_text, parse
 from .common import table
 from .exact_dedup import exact_dedup
 from .language_id import fit, held_out, predict
+from .license_scan import scan
+from .license_texts import NOTICES
 from .line_dedup import dedup_lines
 from .mixing import mix
 from .neighbours import nearest
@@ -39,6 +41,31 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def notices(spark):
+    rows = ", ".join(f"({i}, {_quoted(name)}, {_quoted(text)})" for i, (name, text) in enumerate(NOTICES))
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS v(template, license, text)")
+
+
+@query("op1_license_scan", r"""
+WITH notices AS (SELECT * FROM (VALUES """ + ", ".join(f"({i}, {_quoted(n)}, {_quoted(t)})" for i, (n, t) in enumerate(NOTICES)) + r""") v(template, license, text)),
+tw AS (SELECT template, license, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM notices),
+ts AS (SELECT DISTINCT template, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT template, w, unnest(range(1, len(w) - 3)) AS i FROM tw) x),
+tn AS (SELECT template, count(*) AS n FROM ts GROUP BY template),
+dw AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+ds AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM dw) x),
+occ AS (SELECT doc_id, ts.template, i, ds.s, n FROM ds JOIN ts ON ds.s = ts.s JOIN tn ON tn.template = ts.template),
+best AS (SELECT a.doc_id, a.template, a.i, a.n, count(DISTINCT b.s) AS m FROM occ a JOIN occ b
+         ON a.doc_id = b.doc_id AND a.template = b.template AND b.i >= a.i AND b.i < a.i + ceil((5 * a.n) / CAST(4 AS DOUBLE)) GROUP BY ALL),
+top AS (SELECT *, row_number() OVER (PARTITION BY doc_id, template ORDER BY m DESC, i) AS r FROM best WHERE 5 * m >= 4 * n)
+SELECT doc_id, top.template, license, m / CAST(n AS DOUBLE) AS containment, i - 1 AS start_word FROM top JOIN notices ON notices.template = top.template WHERE r = 1""")
+def op1(spark, root):
+    return scan(table(spark, root, "documents"), notices(spark))
+
+
 #: Weights of the mixture: domains are dealt to the sources by their numbers.
 DOMAINS = ("web", "books", "code", "forums")
 MIXTURE = [("domain", "web", 4), ("domain", "books", 3), ("domain", "code", 2), ("domain", "forums", 1),
