@@ -77,8 +77,7 @@ class TokenRollup:
         found = self._committed("totals")
         if not found:
             return None, set()
-        path = f"{self.path}/totals/{found[-1]}"
-        return path, {r[0] for r in self.spark.read.parquet(f"{path}-batches").collect()}
+        return f"{self.path}/totals/{found[-1]}", {r[0] for r in self.spark.read.parquet(f"{self.path}/covered/{found[-1]}").collect()}
 
     def batches(self) -> set[str]:
         return set(self._committed("batches")) | self._snapshot()[1]
@@ -103,9 +102,9 @@ class TokenRollup:
     def compact(self) -> None:
         """Write the totals as a snapshot, which stands for the batches in it; their folders may then be deleted."""
         names = sorted(self.batches())
-        target = f"{self.path}/totals/{len(self._committed('totals')):08d}"
-        self.spark.createDataFrame([(n,) for n in names], "batch string").coalesce(1).write.mode("overwrite").parquet(f"{target}-batches")
-        self.totals().write.mode("overwrite").parquet(target)
+        number = f"{len(self._committed('totals')):08d}"
+        self.spark.createDataFrame([(n,) for n in names], "batch string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/covered/{number}")
+        self.totals().write.mode("overwrite").parquet(f"{self.path}/totals/{number}")  # its _SUCCESS file makes the snapshot valid
 
 
 def count_documents(docs: DataFrame, tokenizer: str = "byte_bpe_50k", path: str | None = None, rollup: TokenRollup | None = None, name: str = "documents") -> DataFrame:
