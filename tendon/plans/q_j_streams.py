@@ -27,7 +27,7 @@ def stream(spark, d, name):
     """A derived table as a file stream: written once to the shared folder, read as a stream."""
     path = scratch(spark, name)
     d.write.parquet(path)
-    return spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 64).parquet(path)
+    return spark.readStream.schema(d.schema).parquet(path)
 
 
 def live(spark, d, name, summarise):
@@ -88,7 +88,8 @@ WITH e AS (SELECT user_id, event_id id, epoch_us(ts)//1000 - CASE WHEN event_id%
 SELECT user_id, t, id FROM (SELECT *, max(t) OVER (PARTITION BY user_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) m FROM e) WHERE m IS NULL OR t>m""")
 def t04(spark, root):
     e = table(spark, root, "events").select("user_id", F.col("event_id").alias("id"), (F.floor(micros("ts") / 1000) - F.when(F.col("event_id") % 13 == 0, 7_200_000 * 3).otherwise(0)).alias("t"))
-    return Z.to_table(Z.accepted(stream(spark, e, "late"), ["user_id"]), "t04")
+    r = Z.Replay(spark, e, "late", "id")  # arrival order is the id
+    return Z.to_table(Z.accepted(r.stream, ["user_id"]), "t04", r)
 
 
 def tiny_model(emg, imu):
@@ -112,23 +113,25 @@ def t05(spark, root):
 
 @query("t05_state_estimates_stream")
 def t05s(spark, root):
-    s = stream(spark, device_rows(spark, root), "devices")
-    return Z.to_table(Z.stateful(s, ["trial"], ["t"], RUN, None, SCHEMA), "t05")
+    r = Z.Replay(spark, device_rows(spark, root), "devices", "t")
+    return Z.to_table(Z.stateful(r.stream, ["trial"], ["t"], RUN, None, SCHEMA), "t05", r)
 
 
-def named_stream(spark, root):
+def named_replay(spark, root):
     d = samples(spark, root).select("trial_id", N.lookup(NAMES, F.col("event_type")).alias("name"), micros("ts").alias("t"))
-    return stream(spark, d, "named")
+    return Z.Replay(spark, d, "named", "t", "micros")
 
 
 @query("t07_debounce_stream")
 def t07s(spark, root):
-    return Z.to_table(Z.debounced(named_stream(spark, root), ["trial_id"], 6 * HOUR), "debounce")
+    r = named_replay(spark, root)
+    return Z.to_table(Z.debounced(r.stream, ["trial_id"], 6 * HOUR), "debounce", r)
 
 
 @query("t11_press_release_stream")
 def t11s(spark, root):
-    return Z.to_table(Z.press_release(named_stream(spark, root), ["trial_id"], 3 * HOUR), "press")
+    r = named_replay(spark, root)
+    return Z.to_table(Z.press_release(r.stream, ["trial_id"], 3 * HOUR), "press", r)
 
 
 ORACLES["t07_debounce_stream"] = ORACLES["w07_debounce"]
@@ -138,27 +141,30 @@ ORACLES["t11_press_release_stream"] = ORACLES["t11_press_release"]
 @query("t06_phases_stream", sql=ORACLES["t06_phases"])
 def t06s(spark, root):
     from .q_f_folds import label_frames
-    return Z.to_table(Z.phases(stream(spark, label_frames(spark, root).drop("blk"), "labels"), ["trial_id"]), "phases")
+    r = Z.Replay(spark, label_frames(spark, root).drop("blk"), "labels", "n")
+    return Z.to_table(Z.phases(r.stream, ["trial_id"]), "phases", r)
 
 
 @query("t08_gesture_events_stream", sql=ORACLES["t08_gesture_events"])
 def t08s(spark, root):
     from .q_f_folds import control_frames
-    return Z.to_table(Z.gestures(stream(spark, control_frames(spark, root).drop("slot"), "frames"), ["user_id"], 14_400_000), "gestures")
+    r = Z.Replay(spark, control_frames(spark, root).drop("slot"), "frames", "t")
+    return Z.to_table(Z.gestures(r.stream, ["user_id"], 14_400_000), "gestures", r)
 
 
 @query("t09_timeout_stream")
 def t09s(spark, root):
     from .q_f_folds import control_frames
-    d = control_frames(spark, root).drop("slot").withColumn("at", F.timestamp_millis("t"))
-    return Z.to_table(Z.gestures_with_timeout(stream(spark, d, "timeout"), ["user_id"], "at", 28_800_000, "1 day"), "timeouts")
+    r = Z.Replay(spark, control_frames(spark, root).drop("slot"), "timeout", "t")
+    return Z.to_table(Z.gestures_with_timeout(r.stream, ["user_id"], 28_800_000), "timeouts", r)
 
 
 @query("t10_threshold_events_stream", sql=ORACLES["t10_threshold_events"])
 def t10s(spark, root):
     k, n = F.col("k"), F.col("n")
     d = samples(spark, root).select("trial_id", "n", (k / 100.0).alias("index_press"), ((k * 7) % 100 / 100.0).alias("index_release"), ((k * 13 + n) % 100 / 100.0).alias("thumb_up"))
-    return Z.to_table(Z.threshold_events(stream(spark, d, "probs"), ["trial_id"], ("index_press", "index_release", "thumb_up"), (0.55, 0.55, 0.55), 3), "t10")
+    r = Z.Replay(spark, d, "probs", "n")
+    return Z.to_table(Z.threshold_events(r.stream, ["trial_id"], ("index_press", "index_release", "thumb_up"), (0.55, 0.55, 0.55), 3), "t10", r)
 
 
 @query("t14_quality_alerts", views="samples win", sql="""WITH w2 AS (SELECT trial_id, j, max(t_ms) t, bool_or(abs(c0)>=60) clip FROM win GROUP BY 1,2), """ + fold_sql(
@@ -186,7 +192,8 @@ def t15(spark, root):
 @query("t15_calibrate_run_stream", views="samples", sql=CAL_SQL)
 def t15s(spark, root):
     d = samples(spark, root).select("trial_id", "n", "c0", "c1")
-    return Z.to_table(Z.calibrate_run(stream(spark, d, "cal"), ["trial_id"], 20, ("c0", "c1")), "t15").select("trial_id", "n", r6("c0", "c0"), r6("c1", "c1"))
+    r = Z.Replay(spark, d, "cal", "n")
+    return Z.to_table(Z.calibrate_run(r.stream, ["trial_id"], 20, ("c0", "c1")), "t15", r).select("trial_id", "n", r6("c0", "c0"), r6("c1", "c1"))
 
 
 @query("t18_health_stream", sql="""
@@ -211,7 +218,7 @@ def t20(spark, root):
 def s10(spark, root):
     path = scratch(spark, "raw")
     d = samples(spark, root).select("session_no", "event_id", "n", "c0")
-    Z.batch_sink(stream(spark, d, "raw-in"), "append", lambda b, i: Z.append_session(b, "emg", path))
+    Z.batch_sink(stream(spark, d, "raw-in"), "append", lambda b, i: Z.append_session(b, "emg", path, i))
     return spark.read.parquet(f"{path}/emg").groupBy(F.col("session_no").cast("bigint").alias("session_no")).agg(
         F.count(F.lit(1)).alias("rows"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
 

@@ -8,6 +8,7 @@ their key before the fold.
 from __future__ import annotations
 
 import json
+import pickle
 from collections.abc import Callable
 
 import pandas as pd
@@ -18,35 +19,120 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators import steps
 from ..operators.folds import by_row
-from ..runtime import scratch
+from ..runtime import cut, scratch
 
 
-def stateful(stream: DataFrame, keys, order, run: Callable, start, schema: str) -> DataFrame:
-    """Fold a stream per key with `run(state, rows) -> (state, output rows)`."""
+AT = "__us"  # event time of a row in microseconds
+
+
+def timed(stream: DataFrame, column: str, late: int, unit: str = "millis", shift: int = 0) -> DataFrame:
+    """Give a stream its event time from an integer column; rows may come `late` units behind later ones.
+
+    A stream's watermark begins at 1970, and rows up to it count as late: `shift` is added to counters that begin at zero or below.
+    """
+    at = {"millis": F.timestamp_millis, "micros": F.timestamp_micros}[unit](F.col(column).cast("long") + shift)
+    return stream.withColumn("__at", at).withColumn(AT, F.unix_micros("__at")).withWatermark("__at", f"{late} {'milliseconds' if unit == 'millis' else 'microseconds'}")
+
+
+def stateful(stream: DataFrame, keys, order, run: Callable, start, schema: str, idle: Callable | None = None) -> DataFrame:
+    """Fold a stream (made by `timed`) per key with `run(state, rows) -> (state, output rows)`.
+
+    Rows wait in the state until the watermark has passed them and are then folded in event-time order, so neither the order of
+    files nor the cut into micro-batches shows in the result. The state holds the machine's state and the rows of one key that are
+    younger than the watermark. `idle(state, watermark) -> (state, output rows, next deadline)` is asked when no row waits (times in microseconds).
+    """
     keys, order = list(keys), list(order)
     names = [f.name for f in T.StructType.fromDDL(schema).fields]
     kinds = ", ".join(f"`{c}` {stream.schema[c].dataType.simpleString()}" for c in keys)
     blank = json.dumps(start)
 
     def step(key, parts, state):
-        pdf = pd.concat(list(parts), ignore_index=True).sort_values(order, kind="stable")
-        now, out = run(json.loads(state.get[0] if state.exists else blank), pdf)
-        state.update((json.dumps(now),))
-        out = out[names].astype(object).where(out[names].notna(), None)
-        for i, c in enumerate(keys):
-            out.insert(i, c, key[i])
-        yield out
-
-    return stream.groupBy(*keys).applyInPandasWithState(step, f"{kinds}, {schema}", "state string", "append", GroupStateTimeout.NoTimeout)
-
-
-def to_table(stream: DataFrame, name: str, mode="append") -> DataFrame:
-    """Run all available input into a Parquet table of the shared folder and read it back."""
+        now, held = state.get if state.exists else (blank, None)
+        frames = [pickle.loads(held)] if held else []
+        if not state.hasTimedOut:
+            frames += list(parts)
+        pdf = pd.concat(frames, ignore_index=True) if frames else None
+        mark = state.getCurrentWatermarkMs() * 1000
+        made, deadline, named = [], None, not any(pd.isna(k) for k in key)  # a row without key only moves the watermark
+        if pdf is not None:
+            due = pdf[AT] <= mark
+            ready, pdf = pdf[due], pdf[~due]
+            if len(ready) and named:
+                fresh, out = run(json.loads(now), ready.sort_values(order, kind="stable").reset_index(drop=True))
+                now = json.dumps(fresh)
+                made.append(out)
+            if len(pdf):
+                deadline = int(pdf[AT].min())
+        if idle and deadline is None and named:
+            fresh, out, deadline = idle(json.loads(now), mark)
+            now = json.dumps(fresh)
+            made.append(pd.DataFrame(out, columns=names))
+        state.update((now, pickle.dumps(pdf) if pdf is not None and len(pdf) else None))
+        if deadline is not None:
+            state.setTimeoutTimestamp(max(-(-deadline // 1000), mark // 1000 + 1))
+        for out in made:
+            out = out[names].astype(object).where(out[names].notna(), None)
+            for i, c in enumerate(keys):
+                out.insert(i, c, key[i])
+            yield out
+
+    return stream.groupBy(*keys).applyInPandasWithState(step, f"{kinds}, {schema}", "state string, held binary", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+class Replay:
+    """A table as a stream of files in the shared folder.
+
+    The table is written once, in `slices` of event time; the slices are moved into the stream's folder one after the other. Rows
+    are in no order inside a slice, so they come at most one slice late, and the watermark follows by that much.
+    """
+
+    def __init__(self, spark, d: DataFrame, name: str, order: str, unit: str = "millis", slices: int = 4, files: int | None = None):
+        self.spark, self.order, self.path, self.staged = spark, order, scratch(spark, name), scratch(spark, f"{name}-staged")
+        d = cut(d)
+        low, high = d.agg(F.min(order), F.max(order)).first()
+        self.low, self.high = (low, high) if low is not None else (0, 0)
+        width = max(1, -(-(self.high - self.low + 1) // slices))
+        self.late = width + 1
+        self.slices = slices
+        d.withColumn("__slice", F.floor((F.col(order) - self.low) / width)).write.partitionBy("__slice").parquet(self.staged)
+        self._fs().mkdirs(self._at(self.path))
+        source = spark.readStream.schema(d.schema)
+        self.stream = timed((source.option("maxFilesPerTrigger", files) if files else source).parquet(self.path), order, self.late, unit, max(0, 1000 - self.low))
+        self.columns = d.schema
+
+    def _at(self, path: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
+
+    def _fs(self):
+        return self._at(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def feed(self, query) -> None:
+        """Move the slices in, then two rows without key far ahead, which let the watermark pass all that waits."""
+        for k in range(self.slices):
+            folder = self._at(f"{self.staged}/__slice={k}")
+            if self._fs().exists(folder):
+                for f in self._fs().listStatus(folder):
+                    self._fs().rename(f.getPath(), self._at(f"{self.path}/{k:03d}-{f.getPath().getName()}"))
+                query.processAllAvailable()
+        for k in (4, 8):
+            end = self.spark.range(1).select(*[F.lit(self.high + k * self.late + 10_000_000_000 if f.name == self.order else None).cast(f.dataType).alias(f.name) for f in self.columns])
+            end.write.mode("append").parquet(self.path)
+            query.processAllAvailable()
+
+
+def to_table(stream: DataFrame, name: str, replay: Replay | None = None, mode="append") -> DataFrame:
+    """Run all input into a Parquet table of the shared folder and read it back."""
     spark = stream.sparkSession
     path = scratch(spark, name)
-    q = (stream.writeStream.outputMode(mode).format("parquet").option("path", path)
-         .option("checkpointLocation", scratch(spark, f"{name}-ckpt")).trigger(availableNow=True).start())
-    q.awaitTermination()
+    w = stream.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", scratch(spark, f"{name}-ckpt"))
+    if replay is None:
+        w.trigger(availableNow=True).start().awaitTermination()
+    else:
+        q = w.start()
+        try:
+            replay.feed(q)
+        finally:
+            q.stop()
     return spark.read.schema(stream.schema).parquet(path)
 
 
@@ -113,35 +199,32 @@ def calibrate_run(stream, keys, first_rows: int, channels, target=16.0) -> DataF
     return stateful(stream, keys, ["n"], run, [None, []], "n bigint, " + ", ".join(f"{c} double" for c in channels))
 
 
-def gestures_with_timeout(stream, keys, ts: str, limit_ms=1000, late="10 seconds") -> DataFrame:
+def gestures_with_timeout(stream, keys, limit_ms=1000) -> DataFrame:
     """Stable gesture per device; silence of `limit_ms` of event time forces none."""
-    keys = list(keys)
-    kinds = ", ".join(f"`{c}` {stream.schema[c].dataType.simpleString()}" for c in keys)
     step = steps.gesture_frames(0)
+    names = ("t", "kind", "gesture")
 
-    def run(key, parts, state):
+    def run(state, pdf):
+        now, last = state
         out = []
-        if state.hasTimedOut:
-            now, last = json.loads(state.get[0])
-            if now[0] != 0:
+        for r in pdf.to_dict("records"):
+            if now[0] != 0 and last and r["t"] - last >= limit_ms:
                 out.append((last + limit_ms, "forced", 0))
-            state.remove()
-        else:
-            now, last = json.loads(state.get[0]) if state.exists else (steps.GESTURE_START, 0)
-            pdf = pd.concat(list(parts), ignore_index=True).sort_values(["t", "id"], kind="stable")
-            for r in pdf.to_dict("records"):
-                if now[0] != 0 and last and r["t"] - last >= limit_ms:
-                    out.append((last + limit_ms, "forced", 0))
-                    now = list(steps.GESTURE_START)
-                now, made = step(now, r)
-                out += [(t, "frame", g) for t, _, g, _ in made]
-                last = int(r["t"])
-            state.update((json.dumps([now, last]),))
-            state.setTimeoutTimestamp(max(last + limit_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame([(*key, *o) for o in out], columns=[*keys, "t", "kind", "gesture"])
-
-    return (stream.withWatermark(ts, late).groupBy(*keys)
-            .applyInPandasWithState(run, f"{kinds}, t bigint, kind string, gesture int", "state string", "append", GroupStateTimeout.EventTimeTimeout))
+                now = list(steps.GESTURE_START)
+            now, made = step(now, r)
+            out += [(t, "frame", g) for t, _, g, _ in made]
+            last = int(r["t"])
+        return [now, last], pd.DataFrame(out, columns=names)
+
+    def idle(state, mark):
+        now, last = state
+        if now[0] == 0 or not last:
+            return state, [], None
+        if (last + limit_ms) * 1000 > mark:
+            return state, [], (last + limit_ms) * 1000
+        return [list(steps.GESTURE_START), last], [(last + limit_ms, "forced", 0)], None
+
+    return stateful(stream, keys, ["t", "id"], run, [list(steps.GESTURE_START), 0], "t bigint, kind string, gesture int", idle)
 
 
 def hop_windows(d: DataFrame, ts: str, keys, size: str, hop: str, aggs, late: str | None = None) -> DataFrame:
@@ -162,9 +245,9 @@ def gap_sessions(d: DataFrame, ts: str, keys, gap: str, aggs, late: str | None =
     return d.groupBy(*keys, F.session_window(ts, gap).alias("w")).agg(*aggs)
 
 
-def append_session(batch: DataFrame, kind: str, path: str) -> None:
-    """Append one micro-batch of raw rows; the order is in sample_index, not in the files."""
-    batch.write.mode("append").partitionBy("session_no").parquet(f"{path}/{kind}")
+def append_session(batch: DataFrame, kind: str, path: str, number: int) -> None:
+    """Append one micro-batch of raw rows; the order is in sample_index, not in the files. A batch that is tried again overwrites itself."""
+    batch.write.mode("overwrite").partitionBy("session_no").parquet(f"{path}/{kind}/batch={number}")
 
 
 def batch_sink(stream: DataFrame, name: str, write: Callable, mode="append") -> None:

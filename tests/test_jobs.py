@@ -208,15 +208,11 @@ def test_cue_onset_finds_the_rise(spark):
 def test_stream_equals_batch(spark):
     from tendon.operators.folds import chunked_fold
     from tendon.plans.q_j_streams import RUN, SCHEMA
-    from tendon.runtime import scratch
     x = RNG.normal(scale=40, size=(500, 4))
     d = spark.createDataFrame(pd.DataFrame({"trial": np.arange(500) % 2, "t": np.arange(500) * 5, "blk": np.arange(500) // 120, **{f"c{i}": x[:, i] for i in range(4)}}))
     batch = sorted(map(tuple, chunked_fold(d, ["trial"], ["t"], "blk", RUN, None, SCHEMA).collect()))
-    path = scratch(spark, "dev")
-    for i in range(4):  # four micro-batches in order
-        d.where((F.col("blk") >= i * 2) & (F.col("blk") < i * 2 + 2)).coalesce(1).write.mode("append").parquet(path)
-    s = spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    live = sorted(map(tuple, Z.to_table(Z.stateful(s, ["trial"], ["t"], RUN, None, SCHEMA), "x").collect()))
+    r = Z.Replay(spark, d.repartition(12), "dev", "t", slices=3, files=1)  # at least six micro-batches, rows of every file mixed inside a slice
+    live = sorted(map(tuple, Z.to_table(Z.stateful(r.stream, ["trial"], ["t"], RUN, None, SCHEMA), "x", r).collect()))
     assert [r[:7] for r in live] == [r[:7] for r in batch]
     np.testing.assert_allclose([r[7:] for r in live], [r[7:] for r in batch], atol=1e-9)
 
@@ -238,3 +234,30 @@ def test_missing_fields_are_named(spark):
     spark.createDataFrame([("s", "t")], "session_id string, trial_id string").write.parquet(path)
     with pytest.raises(ValueError, match="accel, direction, emg"):
         read_samples(spark, path)
+
+
+def test_shuffled_files_one_per_batch_change_nothing(spark):
+    """The whole table out of order, a file per micro-batch: rows wait for the watermark."""
+    from tendon.runtime import scratch
+    rng = np.random.default_rng(4)
+    rows = [(int(k), int(t), str(rng.choice(["index_press", "index_release", "thumb_up"]))) for k in range(3) for t in rng.choice(5000, 60, replace=False)]
+    d = spark.createDataFrame(rows, "k int, t bigint, name string")
+    want, kept = [], {}
+    from tendon.operators import steps
+    step = steps.debounce(70)
+    for k, t, name in sorted(rows):
+        kept[k], out = step(kept.get(k), {"name": name, "t": t})
+        want += [(k, *o) for o in out]
+    path = scratch(spark, "shuffled")
+    rng.shuffle(rows)
+    for i in range(5):
+        spark.createDataFrame(rows[i::5], d.schema).coalesce(1).write.mode("append").parquet(path)
+    s = Z.timed(spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(path), "t", 6000, shift=1000)
+    out = scratch(spark, "out")
+    q = Z.debounced(s, ["k"], 70).writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch(spark, "ck")).start()
+    q.processAllAvailable()
+    for t in (10**6, 2 * 10**6):
+        spark.createDataFrame([(None, t, None)], d.schema).coalesce(1).write.mode("append").parquet(path)
+        q.processAllAvailable()
+    q.stop()
+    assert sorted(map(tuple, spark.read.parquet(out).select("k", "t", "name").collect())) == sorted(want)
