@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import clamp01
 from . import sequences as S
 from . import steps
-from .folds import by_row, chunked_fold
+from .folds import blended, by_row, chunked_fold
 from .joins import small
 from .ordered import running, scan
 
@@ -82,9 +82,17 @@ def threshold_events(frames: DataFrame, keys, frame: str, cls: str, p: str, thre
 
 
 def press_release(events: DataFrame, keys, chunk: str, minimum) -> DataFrame:
-    run = by_row(steps.press_release(minimum), ("t", "name", "synthetic", "held", "hold_ok"))
-    return chunked_fold(events.select(*keys, chunk, "t", "name"), keys, ["t", "name"], chunk, run, None,
-                        "t bigint, name string, synthetic boolean, held bigint, hold_ok boolean")
+    """Presses paired with releases. Only the row before matters: a press there is closed by its own release or, by any other event, with a synthetic one."""
+    keys = list(keys)
+    d = scan(events.select(*keys, chunk, "t", "name"), keys, ["t", "name"], {"__p": running("lag", F.struct("name", "t"))}, [[chunk]])
+    press, release = lambda c: c.isin(*steps.PRESS_TO_RELEASE), F.col("name").isin(*steps.RELEASES)
+    want = F.element_at(F.create_map(*[F.lit(x) for p in steps.PRESS_TO_RELEASE.items() for x in p]), F.when(press(F.col("__p.name")), F.col("__p.name")))
+    held = F.greatest(F.lit(0).cast("bigint"), F.col("t") - F.col("__p.t"))
+    row = lambda name, synthetic, h, ok: F.struct(F.col("t"), name.alias("name"), F.lit(synthetic).alias("synthetic"), h.cast("bigint").alias("held"), ok.cast("boolean").alias("hold_ok"))
+    closed = F.when(want.isNotNull() & (F.col("name") == want), row(F.col("name"), False, held, held >= minimum)).when(
+        want.isNotNull(), row(want, True, held, F.lit(False)))
+    own = F.when(~release, row(F.col("name"), False, F.lit(None), F.lit(None)))
+    return d.select(*keys, F.explode(F.filter(F.array(closed, own), lambda x: x.isNotNull())).alias("o")).select(*keys, "o.*")
 
 
 def phases(frames: DataFrame, keys, chunk: str, open_label: int | None = None, **kw) -> DataFrame:
@@ -155,8 +163,9 @@ def activity(df: DataFrame, keys, n: str, t: str, energy: str, chunk: str, basel
 
 def motion_track(df: DataFrame, keys, n: str, chunk: str, batch: int = 8) -> DataFrame:
     """Motion 0..1 per batch of IMU rows: gravity removed, scores blended, asymmetric smoothing. Reads x, y, z, gx, gy, gz."""
-    run = by_row(steps.gravity(), ("n", "linear"))
-    lin = chunked_fold(df.select(*keys, chunk, F.col(n).alias("n"), "x", "y", "z"), keys, ["n"], chunk, run, None, "n bigint, linear double")
+    axes = ("x", "y", "z")
+    g = blended(df.select(*keys, chunk, F.col(n).alias("n"), *axes), keys, "n", chunk, axes, steps.GRAVITY_WEIGHT)
+    lin = g.select(*keys, "n", F.sqrt(sum((F.col(c) - F.col(f"{c}_mean")) ** 2 for c in axes)).alias("linear"))
     rot = df.select(*keys, F.col(n).alias("n"), (F.col("gx") ** 2 + F.col("gy") ** 2 + F.col("gz") ** 2).alias("g2"))
     b = lin.join(rot, [*keys, "n"]).groupBy(*keys, F.floor(F.col("n") / batch).alias("b")).agg(
         F.sqrt(F.avg(F.col("linear") ** 2)).alias("l"), F.sqrt(F.avg("g2")).alias("r"))

@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -147,3 +148,73 @@ def chunked_fold(df: DataFrame, keys, order, chunk: str, run: Callable, start, s
             break
         known = cut(known.join(stale, where, "left_anti").unionByName(ends(rows.join(stale, where))))
     return emit(rows.join(known.select(*where, F.col("entry").alias("__entry")), where))
+
+
+def blended(df: DataFrame, keys, order: str, chunk: str, columns, weight: float) -> DataFrame:
+    """`df` with `<column>_mean`: (1 - weight) x the mean before + weight x the row, from the first row of a key on.
+
+    The recurrence is linear, so a chunk maps its entry y to (1 - weight)^rows x y + its own end from zero. One pass takes these ends, one row per
+    chunk is chained over the key, and a second pass fills in the rows: three shuffles whatever the number of chunks.
+    """
+    keys, columns = list(keys), list(columns)
+    where = keys + [chunk]
+    keep = 1.0 - weight
+    kinds = {c: df.schema[c].dataType.simpleString() for c in df.columns}
+    zero = np.zeros(len(columns))
+    numbers = ", ".join(f"`__{kind}{i}` double" for kind in ("first", "end") for i in range(len(columns)))
+
+    def pieces(parts):
+        """(frame, key, rows of one chunk in this frame), in order."""
+        for pdf in parts:
+            at = (pdf[where] != pdf[where].shift()).any(axis=1).to_numpy().nonzero()[0]
+            yield pdf, [(tuple(pdf[c].iat[lo] for c in where), slice(lo, hi)) for lo, hi in zip(at, [*at[1:], len(pdf)])]
+
+    def run(y, x):
+        out = np.empty_like(x)
+        for i, row in enumerate(x):
+            y = keep * y + weight * row
+            out[i] = y
+        return out
+
+    def ends(parts):
+        now = None
+        for pdf, found in pieces(parts):
+            made, x = [], pdf[columns].to_numpy(dtype=float)
+            for key, rows in found:
+                if now is None or now[0] != key:
+                    if now:
+                        made.append((*now[0], now[1], *now[2], *now[3]))
+                    now = [key, 0, x[rows.start], zero]
+                out = run(now[3], x[rows])
+                now[1], now[3] = now[1] + len(out), out[-1]
+            yield pd.DataFrame(made, columns=names)
+        if now:
+            yield pd.DataFrame([(*now[0], now[1], *now[2], *now[3])], columns=names)
+
+    def chain(pdf):
+        pdf = pdf.sort_values(chunk)
+        first, end = (pdf[[f"__{k}{i}" for i in range(len(columns))]].to_numpy(dtype=float) for k in ("first", "end"))
+        y, entry = first[0], []
+        for n, e in zip(pdf["__rows"], end):
+            entry.append(list(map(float, y)))
+            y = keep ** n * y + e
+        return pdf[where].assign(__entry=entry)
+
+    def fill(parts):
+        now = None
+        for pdf, found in pieces(parts):
+            x = pdf[columns].to_numpy(dtype=float)
+            out = np.empty_like(x)
+            for key, rows in found:
+                y = now[1] if now and now[0] == key else np.array(pdf["__entry"].iat[rows.start])
+                out[rows] = run(y, x[rows])
+                now = key, out[rows.stop - 1]
+            yield pdf.drop(columns="__entry").assign(**{f"{c}_mean": out[:, i] for i, c in enumerate(columns)})
+
+    names = [*where, "__rows", *[f"__{k}{i}" for k in ("first", "end") for i in range(len(columns))]]
+    at = ", ".join(f"`{c}` {kinds[c]}" for c in where)
+    laid = lambda d: d.repartition(*where).sortWithinPartitions(*where, order)
+    rows = laid(df.select(*where, order, *columns)).mapInPandas(ends, f"{at}, __rows bigint, {numbers}")
+    entries = rows.groupBy(*keys).applyInPandas(chain, f"{at}, __entry array<double>")
+    out = ", ".join([*[f"`{c}` {kinds[c]}" for c in df.columns], *[f"`{c}_mean` double" for c in columns]])
+    return laid(df.join(entries, where).select(*df.columns, "__entry")).mapInPandas(fill, out)

@@ -250,11 +250,4 @@ def profile(weights=PROFILE_WEIGHTS):
 PROFILE_START = [0.5, 0.5, 450, False]
 
 
-def gravity(weight=0.035):
-    """Running gravity estimate of three axes and the length of what is left."""
-    def step(g, r):
-        v = (r["x"], r["y"], r["z"])
-        g = list(v) if g is None else list(g)
-        g = [a + weight * (b - a) for a, b in zip(g, v)]
-        return g, [(r["n"], sum((b - a) ** 2 for a, b in zip(g, v)) ** 0.5)]
-    return step
+GRAVITY_WEIGHT = 0.035  # fixed value: weight of a new row in the running gravity estimate

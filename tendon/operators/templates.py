@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -16,8 +18,8 @@ from .folds import grouped_rows
 from .joins import small
 from .sequences import overlap_groups, peak_quality
 
-# fixed values: ridge 1e-3, at least 3 events, beam 64, at most 8 rounds and 2 settling rounds
-RIDGE, MIN_EVENTS, BEAM, ROUNDS, SETTLE = 1e-3, 3, 64, 8, 2
+# fixed values: ridge 1e-3, at least 3 events
+RIDGE, MIN_EVENTS = 1e-3, 3
 
 
 def global_template(sessions: DataFrame, participant: str, gesture: str, pos: str, value: str, minimum=2) -> DataFrame:
@@ -114,14 +116,47 @@ def centre_templates(templates: DataFrame, keys) -> DataFrame:
     return templates.join(small(mean), list(keys)).withColumn("tpl", F.zip_with("tpl", "__m", lambda a, b: a - b)).drop("__m")
 
 
-def place_events(scores: DataFrame, events: DataFrame, key: str, delays: tuple[int, int], gap: int, beam=BEAM) -> DataFrame:
+def best_path(cues, scores: np.ndarray, first: int, gap: int) -> list[int]:
+    """Delays (from `first` on) of one group of events in cue order, with the largest total score and each event at least `gap` frames behind the one before.
+
+    scores: [events, delays], NaN where there is none. best[j] is the largest total of a placement of all events so far whose
+    last one has delay j; the next event may follow any that ends early enough, so it looks up a running maximum. Ties take the
+    earlier frame. An event without any score stands at the middle delay for -1; one that no placement leaves room for takes the first delay
+    and binds nobody.
+    """
+    n = scores.shape[1]
+    steps, best, low = [], None, 0  # `best` runs over frames from `low`
+    for i, cue in enumerate(cues):
+        value = scores[i].copy()
+        if not np.isfinite(value).any():
+            value[(n - 1) // 2] = -1.0
+        value[~np.isfinite(value)] = -np.inf
+        start = cue + first
+        if best is None:
+            total, back = value, np.full(n, -1)
+        else:
+            top = np.maximum.accumulate(best)
+            which = np.maximum.accumulate(np.where(np.r_[True, best[1:] > top[:-1]], np.arange(n), 0))
+            reach = np.minimum(start + np.arange(n) - gap - low, n - 1)
+            total = np.where(reach >= 0, value + top[np.maximum(reach, 0)], -np.inf)
+            back = which[np.maximum(reach, 0)]
+        if np.isfinite(total).any():
+            steps.append((i, back))
+            best, low = total, start
+    out = [first] * len(cues)
+    at = int(np.argmax(best)) if best is not None else 0
+    for i, back in reversed(steps):
+        out[i] = first + at
+        at = int(back[at])
+    return out
+
+
+def place_events(scores: DataFrame, events: DataFrame, key: str, delays: tuple[int, int], gap: int) -> DataFrame:
     """(session, event_id, delay): delays with the largest total score, in order and at least `gap` frames apart.
 
-    Groups of events whose search ranges touch are placed together by a beam
-    search; a pause longer than the search range ends a group, so a group is one
-    stretch of prompts, not a session.
+    Groups of events whose search ranges touch are placed together by `best_path`, exactly and in time linear in the group; a pause
+    longer than the search range ends a group, so a group is one stretch of prompts, not a session.
     """
-    n = delays[1] - delays[0] + 1
     rows = scores.groupBy(key, "event_id").agg(F.map_from_entries(F.collect_list(F.struct("delay", "score"))).alias("m"))
     ev = events.select(key, "event_id", "cue").join(rows, [key, "event_id"], "left").withColumns({
         "a": F.col("cue") + delays[0], "b": F.col("cue") + delays[1], "slot": F.floor(F.col("cue") / 65_536),
@@ -129,53 +164,45 @@ def place_events(scores: DataFrame, events: DataFrame, key: str, delays: tuple[i
     ev = overlap_groups(ev, [key], ["cue", "event_id"], "a", "b", [["slot"]]).select(key, "grp", "event_id", "cue", "s")
 
     def one(rows):
-        beams = [(0.0, -10 ** 12, None)]
-        for r in rows:
-            cue = r["cue"]
-            s = np.array([np.nan if v is None else v for v in r["s"]], dtype=float)
-            pick = np.flatnonzero(np.isfinite(s))
-            pick = pick if len(pick) else np.array([(n - 1) // 2])
-            value = np.where(np.isfinite(s), s, -1.0)
-            nxt = [(total + value[i], cue + delays[0] + i, (i, path)) for total, last, path in beams for i in pick if cue + delays[0] + i >= last + gap]
-            nxt = nxt or [(total - 1.0, max(last + gap, cue + delays[0]), (0, path)) for total, last, path in beams]
-            beams = sorted(nxt, key=lambda t: -t[0])[:beam]
-        path, best = [], beams[0][2]
-        while best is not None:
-            path.append(delays[0] + int(best[0]))
-            best = best[1]
-        return [(r[key], r["event_id"], d) for r, d in zip(rows, reversed(path))]
+        table = np.array([[np.nan if v is None else v for v in r["s"]] for r in rows], dtype=float)
+        return [(r[key], r["event_id"], d) for r, d in zip(rows, best_path([r["cue"] for r in rows], table, delays[0], gap))]
 
     kt, it = (events.schema[c].dataType.simpleString() for c in (key, "event_id"))
     return grouped_rows(ev, [key, "grp"], ["cue", "event_id"], one, [key, "event_id", "delay"], f"{key} {kt}, event_id {it}, delay int")
 
 
 def align_sessions(frames: DataFrame, events: DataFrame, key: str, offsets=(-10, 10), delays=(4, 60), first_delay=22, gap=2,
-                   tolerance=0, rounds=ROUNDS, settle=SETTLE) -> DataFrame:
-    """All sessions at once: templates, scores and placement repeated until delays stop moving.
+                   tolerance=0, limit=50) -> DataFrame:
+    """All sessions at once: templates, scores and placement repeated for each session until its delays stop moving.
 
-    Only the delay per event is carried between rounds; it is written to the
-    shared folder, so the plan stays short and survives lost executors.
-    Returns (session, event_id, class, cue, delay, score, confidence columns).
+    A session whose delays moved by at most `tolerance` is done and leaves the rounds, so a slow one holds back no other. `converged` is
+    false for sessions that still moved after `limit` rounds; their last placement is returned. Only the delay per event is
+    carried between rounds; it is written to the shared folder, so the plan stays short and survives lost executors.
+    Returns (session, event_id, class, cue, delay, score, confidence columns, converged).
     """
     frames = cut(frames.select(key, "frame", "x"))
     events = cut(events.select(key, "event_id", "class", "cue"))
     width = offsets[1] - offsets[0] + 1
-
-    def pass_over(delay):
-        centers = events.join(delay, [key, "event_id"]).withColumn("center", F.col("cue") + F.col("delay"))
-        tpl = centre_templates(fit_templates(frames, centers, key, offsets), [key, "class"])
-        scores = cut(score_own_session(events, frames, tpl, key, width, delays))
-        return cut(place_events(scores, events, key, delays, gap)), scores
-
     delay = events.select(key, "event_id", F.lit(first_delay).alias("delay"))
-    for i in range(rounds + settle):
-        fresh, scores = pass_over(delay)
-        move = fresh.join(delay.withColumnRenamed("delay", "old"), [key, "event_id"]).agg(F.max(F.abs(F.col("delay") - F.col("old")))).first()[0]
-        delay = fresh
-        if (move or 0) <= tolerance:
+    open_events, open_frames, done = events, frames, []
+    for i in range(limit):
+        centers = open_events.join(delay, [key, "event_id"]).withColumn("center", F.col("cue") + F.col("delay"))
+        tpl = centre_templates(fit_templates(open_frames, centers, key, offsets), [key, "class"])
+        scores = cut(score_own_session(open_events, open_frames, tpl, key, width, delays))
+        fresh = cut(place_events(scores, open_events, key, delays, gap))
+        moved = cut(fresh.join(delay.withColumnRenamed("delay", "old"), [key, "event_id"]).groupBy(key)
+                    .agg((F.max(F.abs(F.col("delay") - F.col("old"))) > tolerance).alias("open")))
+        last = i == limit - 1
+        settled = moved if last else moved.where("NOT open")
+        took = scores.groupBy(key, "event_id").agg(F.map_from_entries(F.collect_list(F.struct("delay", "score"))).alias("m"))
+        done.append(fresh.join(small(settled), key).join(took, [key, "event_id"], "left").withColumn("converged", ~F.col("open")).drop("open"))
+        still = moved.where("open").select(key)
+        if last or still.isEmpty():
             break
-    rows = scores.groupBy(key, "event_id").agg(F.map_from_entries(F.collect_list(F.struct("delay", "score"))).alias("m"))
-    d = events.join(delay, [key, "event_id"]).join(rows, [key, "event_id"], "left").withColumn(
+        open_events = cut(open_events.join(small(still), key, "left_semi"))
+        open_frames = open_frames.join(small(still), key, "left_semi")
+        delay = fresh.join(small(still), key, "left_semi")
+    d = events.join(reduce(DataFrame.unionByName, done), [key, "event_id"]).withColumn(
         "scores", F.transform(F.sequence(F.lit(delays[0]), F.lit(delays[1])), lambda x: F.coalesce(F.try_element_at("m", x), F.lit(-1.0))))
     return peak_quality(d, "scores").drop("m", "scores")
 

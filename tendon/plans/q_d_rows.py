@@ -205,7 +205,9 @@ def p15(spark, root):
 
 @query("p16_augment")
 def p16(spark, root):
-    e = table(spark, root, "embeddings").select("vec_id", F.slice(C.as_doubles("embedding"), 1, 8).alias("x"))
+    x = C.as_doubles("embedding")
+    e = table(spark, root, "embeddings").select("vec_id", F.posexplode(F.array(*[F.slice(x, 8 * i + 1, 8) for i in range(8)])).alias("part", "x"))
+    e = e.select((F.col("vec_id") * 8 + F.col("part")).alias("vec_id"), "x")  # eight windows of eight channels to a row
     return T.augment(e, "vec_id", "x", seed=7).select("vec_id", *[F.get("augmented", F.lit(i)).alias(f"a{i}") for i in range(8)])
 
 
@@ -237,9 +239,10 @@ def p19(spark, root):
 
 
 @query("p20_effort", views="samples", sql="""
-SELECT trial_id, n, round(least(greatest((c0+40)/((k+10.0+40)/0.85),0),1),6) AS effort FROM samples""")
+SELECT trial_id, n, floor(least(greatest((c0+40)/((CAST(k AS DOUBLE)+10+40)/CAST(0.85 AS DOUBLE)),0),1)*1000000+0.5)/1000000 AS effort FROM samples""")
 def p20(spark, root):
-    return samples(spark, root).select("trial_id", "n", r6(T.effort("c0", F.lit(-40.0), F.col("k") + 10.0), "effort"))
+    e = T.effort("c0", F.lit(-40.0), F.col("k") + 10.0)
+    return samples(spark, root).select("trial_id", "n", (F.floor(e * 1_000_000 + 0.5) / 1_000_000).alias("effort"))
 
 
 @query("p21_clean_frames", sql="""
@@ -318,9 +321,9 @@ def x05(spark, root):
 
 
 @query("x06_roll", sql="""
-SELECT vec_id, round(embedding[(0-vec_id%8+8)%8+1]::DOUBLE,6) AS r0, round(embedding[(5-vec_id%8+8)%8+1]::DOUBLE,6) AS r5 FROM embeddings""")
+SELECT vec_id, round(embedding[(0-vec_id%8+64)%64+1]::DOUBLE,6) AS r0, round(embedding[(5-vec_id%8+64)%64+1]::DOUBLE,6) AS r5 FROM embeddings""")
 def x06(spark, root):
-    e = table(spark, root, "embeddings").select("vec_id", C.roll(F.slice(C.as_doubles("embedding"), 1, 8), (F.col("vec_id") % 8).cast("int")).alias("r"))
+    e = table(spark, root, "embeddings").select("vec_id", C.roll(C.as_doubles("embedding"), (F.col("vec_id") % 8).cast("int")).alias("r"))
     return e.select("vec_id", r6(F.get("r", F.lit(0)), "r0"), r6(F.get("r", F.lit(5)), "r5"))
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import clamp01, r6
 from ..operators import events as E
 from ..operators import steps
-from ..operators.folds import by_row, chunked_fold
+from ..operators.folds import blended, by_row, chunked_fold
 from ..operators.ordered import block, micros, number_rows
 from .registry import query
 from .views import packets, samples, table
@@ -86,7 +86,7 @@ def u06(spark, root):
     "[{'n': x.n, 'y': CASE WHEN a.y IS NULL THEN x.x ELSE 0.72::DOUBLE*a.y+0.28::DOUBLE*x.x END}]", "STRUCT(n BIGINT, y DOUBLE)", "o.n AS n, round(o.y,6) AS y"))
 def w26(spark, root):
     s = samples(spark, root).select("trial_id", "blk", "n", F.col("c0").alias("x"))
-    return chunked_fold(s, ["trial_id"], ["n"], "blk", by_row(steps.blend(0.28), ("n", "y")), None, "n bigint, y double").select("trial_id", "n", r6("y", "y"))
+    return blended(s, ["trial_id"], "n", "blk", ["x"], 0.28).select("trial_id", "n", r6("x_mean", "y"))
 
 
 FREE = """list_sort(list_filter(list_transform(range(1, len(x.tr)+1), lambda i: {'d': abs(x.t-x.tr[i]), 'i': i}), lambda s: s.d<=3600000000*4 AND NOT list_contains(a.used, s.i)))[1]"""

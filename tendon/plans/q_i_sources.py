@@ -1,6 +1,6 @@
 """Scans, sinks and import checks; files are derived from the driver tables in the shared folder."""
 
-import os
+import io
 
 import numpy as np
 import pandas as pd
@@ -41,17 +41,21 @@ def s02(spark, root):
     path = scratch(spark, "npz")
 
     def save(pdf):  # one archive per trial, as the reader expects
+        from pyarrow.fs import FileSystem
         pdf = pdf.sort_values("n")
-        folder = os.path.join(path, str(pdf["session_id"].iloc[0]))
-        os.makedirs(folder, exist_ok=True)
-        np.savez(os.path.join(folder, f"{pdf['trial_id'].iloc[0]}.npz"), **{c: np.stack(pdf[c].to_numpy()) for c in ("emg", "accel", "gyro")},
+        store, base = FileSystem.from_uri(path if "://" in path or path.startswith("/") else f"file:///{path.removeprefix('file:').lstrip('/')}")
+        folder = f"{base}/{pdf['session_id'].iloc[0]}"
+        store.create_dir(folder, recursive=True)
+        made = io.BytesIO()
+        np.savez(made, **{c: np.stack(pdf[c].to_numpy()) for c in ("emg", "accel", "gyro")},
                  timestamp_ms=pdf["timestamp_ms"].to_numpy(), direction=pdf["direction"].to_numpy(), gesture=pdf["gesture"].to_numpy(),
                  session_id=np.array(pdf["session_id"].iloc[0]), trial_id=np.array(pdf["trial_id"].iloc[0]))
+        with store.open_output_stream(f"{folder}/{pdf['trial_id'].iloc[0]}.npz") as f:
+            f.write(made.getvalue())
         return pd.DataFrame({"rows": [len(pdf)]})
 
     trial_rows(spark, root).groupBy("session_id", "trial_id").applyInPandas(save, "rows bigint").agg(F.sum("rows")).collect()
-    npz.register(spark)
-    d = spark.read.format("trial_npz").load(path)
+    d = npz.read_trials(spark, path)
     return d.groupBy("trial_id").agg(F.count(F.lit(1)).alias("rows"), r6(F.sum(F.get("emg", F.lit(0))), "total"), F.max("timestamp_ms").alias("last_ms"))
 
 
@@ -147,7 +151,7 @@ def session_root(spark, root):
     made = {
         "emg_samples": s.select(F.col("n").alias("sample_index"), (F.col("n") % 256).cast("smallint").alias("packet_seq"), (micros("ts") * 1000).alias("pc_received_ns"),
                                 (F.col("n") * 4_000_000).alias("sample_time_ns"), F.array(*[F.col(f"c{i}").cast("int") for i in range(4)]).alias("raw"), pid, sid),
-        "imu_samples": s.where("n % 2 = 0").select((F.col("n") * 4_000_000).alias("sample_time_ns"), F.col("n").alias("emg_sample_index"),
+        "imu_samples": s.select((F.col("n") * 4_000_000).alias("sample_time_ns"), F.col("n").alias("emg_sample_index"),
                                                    F.array(F.col("c0").cast("float")).alias("accel"), F.array(F.col("c3").cast("float")).alias("gyro"), pid, sid),
         "events": s.select("event_id", F.col("n").alias("sample_index"), "trial_id", "event_type", pid, sid),
         "packet_audit": s.select(F.lit(1).cast("smallint").alias("packet_type"), F.when(F.col("k") == 0, 1).otherwise(0).alias("lost_before"), F.lit(False).alias("duplicate"), pid, sid),
@@ -162,7 +166,7 @@ def session_root(spark, root):
 
 
 @query("s09_session_tables", views="samples trials cues", sql="""
-SELECT 'emg_samples' AS "table", count(*) AS rows, count(DISTINCT session_no) AS sessions FROM samples UNION ALL SELECT 'imu_samples', count(*), count(DISTINCT session_no) FROM samples WHERE n%2=0
+SELECT 'emg_samples' AS "table", count(*) AS rows, count(DISTINCT session_no) AS sessions FROM samples UNION ALL SELECT 'imu_samples', count(*), count(DISTINCT session_no) FROM samples
 UNION ALL SELECT 'events', count(*), count(DISTINCT session_no) FROM samples UNION ALL SELECT 'packet_audit', count(*), count(DISTINCT session_no) FROM samples
 UNION ALL SELECT 'trials', count(*), count(DISTINCT session_no) FROM trials UNION ALL SELECT 'cue_events', count(*), count(DISTINCT trial_id%4) FROM cues
 UNION ALL SELECT 'calibration_blocks', count(*), count(DISTINCT session_no) FROM samples WHERE k=1 UNION ALL SELECT 'meta', count(DISTINCT session_no), count(DISTINCT session_no) FROM samples""")
@@ -193,7 +197,8 @@ def s11b(spark, root):
 
 
 @query("s12_fingerprint", sql="""
-SELECT sha256(string_agg(p || chr(0) || h, '' ORDER BY p)) AS fingerprint FROM (SELECT CAST(doc_id AS VARCHAR) p, sha256(text) h FROM documents)""")
+SELECT sha256(string_agg(g || chr(0) || d, '' ORDER BY g)) AS fingerprint FROM (
+SELECT substr(sha256(p), 1, 3) g, sha256(string_agg(p || chr(0) || h, '' ORDER BY p)) d FROM (SELECT CAST(doc_id AS VARCHAR) p, sha256(text) h FROM documents) GROUP BY 1)""")
 def s12(spark, root):
     return S.fingerprint(table(spark, root, "documents"), "doc_id", "text")
 
@@ -247,7 +252,7 @@ def s16(spark, root):
 @query("s16_legacy_import")
 def s16b(spark, root):
     s = samples(spark, root)
-    imu = s.where("n % 2 = 0").select("trial_id", "n", F.col("c3").alias("v"))
+    imu = s.select("trial_id", "n", F.col("c3").alias("v"))
     tr = s.where("n % 20 = 0").select("trial_id", F.col("event_id").alias("tid"), F.col("n").alias("rest_start"), (F.col("n") + 6).alias("prompt_start"), (F.col("n") + 20).alias("prompt_end"))
     d = S.import_legacy(s.select(F.col("trial_id").alias("sid"), "n", "c0"), imu.withColumnRenamed("trial_id", "sid"),
                         tr.withColumnRenamed("trial_id", "sid").withColumnRenamed("tid", "trial_id"), "sid", "c0")

@@ -112,11 +112,20 @@ def trial_slices(samples: DataFrame, trials: DataFrame, keys, t: str, start: str
     return interval_join(samples, spans, keys, t, "__a", "__b", width)
 
 
-def fingerprint(files: DataFrame, path: str, content: str) -> DataFrame:
-    """SHA-256 over (path, NUL, content SHA-256) in path order. Contents are hashed where they lie; only one line per file is ordered."""
+def fingerprint(files: DataFrame, path: str, content: str, digits: int = 3) -> DataFrame:
+    """Two-level fingerprint of a set of files. Contents are hashed where they lie.
+
+    A file gives the line (path, NUL, content SHA-256). Lines go to groups by the first `digits` hex digits of the path's SHA-256; a group's digest is the
+    SHA-256 of its lines in path order, and the fingerprint that of (group, NUL, digest) in group order. So no task holds more than 16^-digits of the lines.
+    """
+    nul = F.decode(F.unhex(F.lit("00")), "UTF-8")
+
+    def digest(name: str, value: str):
+        return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(name, value))), lambda s: F.concat(s[name], nul, s[value])), ""), 256)
+
     line = files.select(F.col(path).cast("string").alias("p"), F.sha2(F.col(content).cast("binary"), 256).alias("h"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "h"))), lambda s: F.concat(s["p"], F.decode(F.unhex(F.lit("00")), "UTF-8"), s["h"])), "")
-    return line.agg(F.sha2(text, 256).alias("fingerprint"))
+    groups = line.groupBy(F.substring(F.sha2("p", 256), 1, digits).alias("g")).agg(digest("p", "h").alias("d"))
+    return groups.agg(digest("g", "d").alias("fingerprint"))
 
 
 def file_fingerprint(spark: SparkSession, root: str) -> DataFrame:

@@ -125,3 +125,41 @@ def test_weights_and_halo(spark):
     d = spark.createDataFrame(pd.DataFrame({"k": 0, "n": np.arange(100), "x": x}))
     got = S.smooth(d, ["k"], "n", "x", 7, rows=9).orderBy("n").toPandas()["smooth"]
     np.testing.assert_allclose(got, np.convolve(np.pad(x, (3, 3), mode="edge"), np.ones(7) / 7, "valid"))
+
+
+def test_placement_is_the_best_there_is():
+    from itertools import product
+
+    from tendon.operators.templates import best_path
+    rng = np.random.default_rng(0)
+    for _ in range(400):
+        m, n, gap, first = (int(rng.integers(*r)) for r in ((1, 5), (2, 6), (1, 4), (0, 3)))
+        cues, scores = sorted(map(int, rng.integers(0, 8, m))), np.round(rng.uniform(-1, 1, (m, n)), 2)
+        scores[rng.random((m, n)) < 0.2] = np.nan
+        value = scores.copy()
+        value[~np.isfinite(scores).any(1), (n - 1) // 2] = -1.0
+
+        def total(path):
+            at = [c + d for c, d in zip(cues, path)]
+            if any(b < a + gap for a, b in zip(at, at[1:])) or not all(np.isfinite(value[i, d]) for i, d in enumerate(path)):
+                return None
+            return sum(value[i, d] for i, d in enumerate(path))
+
+        best = max((t for t in map(total, product(range(n), repeat=m)) if t is not None), default=None)
+        got = [d - first for d in best_path(cues, scores, first, gap)]
+        assert best is None or abs(total(got) - best) < 1e-9
+
+
+def test_blend_composes_over_many_chunks(spark):
+    from tendon.operators.folds import blended
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(2, 50 * 40, 2))
+    d = spark.createDataFrame([(k, n, n // 40, float(x[k, n, 0]), float(x[k, n, 1])) for k in range(2) for n in range(2000)], "k int, n int, blk int, a double, b double").repartition(7)
+    made = blended(d, ["k"], "n", "blk", ["a", "b"], 0.035)
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 4  # whatever the number of chunks
+    got = {(r.k, r.n): (r.a_mean, r.b_mean) for r in made.collect()}
+    for k in range(2):
+        y = x[k, 0]
+        for n in range(2000):
+            y = 0.965 * y + 0.035 * x[k, n]
+            np.testing.assert_allclose(got[k, n], y, atol=1e-12)
