@@ -10,30 +10,27 @@ from pyspark.sql import functions as F
 
 from .columns import col
 
-# ---- fixed values: ordered vocabulary and replacements ----
-VOCABULARY = string.ascii_letters + string.digits + string.punctuation + "⌫⏎ ⇧🤏"
-REPLACED = ("\n\r\b’“”—", "⏎⏎⌫'\"\"-")
-# key symbols that are understood but name other keys
-KEY_SYMBOLS = ("→←↑⇡", "_⌫⇧⇧")  # shown arrows and the keys they stand for
-# -----------------------------------------------------------
+# ---- fixed values: ordered vocabulary, replacements, and letters and signs without a decomposition ----
+VOCABULARY = [*string.ascii_letters, *string.digits, *string.punctuation, "⌫", "⏎", " ", "⇧", "🤏"]
+REPLACED = {"\n": "⏎", "\r": "⏎", "\b": "⌫", "’": "'", "“": '"', "”": '"', "—": "-"}
+PLAIN = {"Ø": "O", "ø": "o", "Ł": "L", "ł": "l", "Đ": "D", "đ": "d", "‘": "'", "–": "-", "‐": "-", "\u00a0": " "}
+KEY_SYMBOLS = {"→": "_", "←": "⌫", "↑": "⇧", "⇡": "⇧"}  # shown arrows and the keys they stand for
+# -------------------------------------------------------------------------------------------------------
 
 
-def _folding() -> tuple[str, str]:
-    """Marked Latin letters and the plain letter under each, from the Unicode decomposition."""
-    pairs = [(chr(n), unicodedata.normalize("NFD", chr(n))[0]) for n in range(0xC0, 0x250)]
-    pairs = [(a, b) for a, b in pairs if b in string.ascii_letters]
-    # letters and signs that do not decompose
-    return "".join(a for a, _ in pairs) + "ØøŁłĐđ‘–‐\u00a0", "".join(b for _, b in pairs) + "OoLlDd'-- "
+def _folding() -> dict[str, str]:
+    """What each character becomes: marked Latin letters the plain letter under them, by the Unicode decomposition, and the fixed replacements."""
+    marked = {chr(n): unicodedata.normalize("NFD", chr(n))[0] for n in range(0xC0, 0x2000)}
+    return {a: b for a, b in marked.items() if b in string.ascii_letters} | PLAIN | REPLACED | KEY_SYMBOLS
 
 
 FOLDED = _folding()
 
 
 def clean_text(c) -> Column:
-    """Replace, fold, then drop every character outside the vocabulary."""
-    x = F.translate(F.translate(F.translate(col(c), *REPLACED), *FOLDED), *KEY_SYMBOLS)
+    """Replace and fold in one pass, then drop every character outside the vocabulary."""
     keep = "".join("\\" + ch if ch in string.punctuation else ch for ch in VOCABULARY)
-    return F.regexp_replace(x, f"[^{keep}]", "")
+    return F.regexp_replace(F.translate(col(c), "".join(FOLDED), "".join(FOLDED.values())), f"[^{keep}]", "")
 
 
 def characters(c) -> Column:
@@ -42,14 +39,12 @@ def characters(c) -> Column:
 
 def encode_text(c) -> Column:
     """Positions of the characters in the vocabulary (cleaned text)."""
-    chars = [*string.ascii_letters, *string.digits, *string.punctuation, "⌫", "⏎", " ", "⇧", "🤏"]
-    ids = F.create_map(*[F.lit(x) for i, ch in enumerate(chars) for x in (ch, i)])
+    ids = F.create_map(*[F.lit(x) for i, ch in enumerate(VOCABULARY) for x in (ch, i)])
     return F.transform(characters(c), lambda x: F.try_element_at(ids, x))
 
 
 def decode_text(ids) -> Column:
-    chars = F.array(*[F.lit(ch) for ch in
-                      [*string.ascii_letters, *string.digits, *string.punctuation, "⌫", "⏎", " ", "⇧", "🤏"]])
+    chars = F.array(*[F.lit(ch) for ch in VOCABULARY])
     return F.array_join(F.transform(col(ids), lambda i: F.get(chars, i.cast("int"))), "")
 
 

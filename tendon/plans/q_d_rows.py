@@ -288,7 +288,7 @@ def q_lit(s):
 
 def _cleaned():
     x = "text"
-    for a, b in (X.REPLACED, X.FOLDED, X.KEY_SYMBOLS):
+    for a, b in (("".join(X.FOLDED), "".join(X.FOLDED.values())),):
         x = f"translate({x}, {q_lit(a)}, {q_lit(b)})"
     keep = "".join("\\" + c if c in "[]\\^-" else c for c in X.VOCABULARY)
     return f"regexp_replace({x}, {q_lit('[^' + keep + ']')}, '', 'g')"
@@ -302,7 +302,7 @@ def x01(spark, root):
 @query("x02_text_labels", sql=f"""
 WITH c AS (SELECT doc_id, {_cleaned()} AS clean FROM documents), u AS (SELECT doc_id, unnest(string_split(clean,'')) ch FROM c)
 SELECT c.doc_id, coalesce(any_value(s.n),0) AS n, coalesce(any_value(s.t),0) AS total, true AS same FROM c LEFT JOIN
- (SELECT doc_id, count(*) n, CAST(sum(instr({q_lit(X.VOCABULARY)}, ch)-1) AS BIGINT) t FROM u WHERE ch<>'' GROUP BY 1) s USING (doc_id) GROUP BY 1""")
+ (SELECT doc_id, count(*) n, CAST(sum(instr({q_lit(''.join(X.VOCABULARY))}, ch)-1) AS BIGINT) t FROM u WHERE ch<>'' GROUP BY 1) s USING (doc_id) GROUP BY 1""")
 def x02(spark, root):
     d = table(spark, root, "documents").select("doc_id", X.clean_text("text").alias("clean"))
     d = d.withColumn("ids", X.encode_text("clean"))
