@@ -36,6 +36,25 @@ def counted(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+#: A group that holds more than one row in so many is hot; there can be no more hot groups than that.
+HOT_SHARE = 1000
+
+
+def with_groups(rows: DataFrame, groups: DataFrame, key: list[str], values: list[str], size: str, total: int, spread: str) -> DataFrame:
+    """`rows` with the `values` of their group, null where there is none. `groups` has one row per `key` and, in `size`, at most `total` rows of `rows` altogether.
+
+    Hot groups are at most HOT_SHARE in number, whatever the table, so they are broadcast; their rows go on under a key of their own, made from
+    the column `spread`, and do not meet. All other groups are small and joined by a shuffle.
+    """
+    hot = (groups.where(F.col(size) > total // HOT_SHARE).select(*[F.col(k).alias(f"__hot_{k}") for k in key], *[F.col(v).alias(f"__hot_{v}") for v in values]))
+    cold = groups.where(F.col(size) <= total // HOT_SHARE).select(*[F.col(k).alias(f"__cold_{k}") for k in key], *[F.col(v).alias(f"__cold_{v}") for v in values])
+    marked = rows.join(F.broadcast(hot), [F.col(k) == F.col(f"__hot_{k}") for k in key], "left")
+    own = F.xxhash64(F.lit(91), spread)
+    dealt = marked.withColumns({f"__own_{k}": F.when(F.col(f"__hot_{key[0]}").isNull(), F.col(k)).otherwise(own.cast(rows.schema[k].dataType)) for k in key})
+    met = dealt.join(cold, [F.col(f"__own_{k}") == F.col(f"__cold_{k}") for k in key], "left")
+    return met.select(*rows.columns, *[F.when(F.col(f"__hot_{key[0]}").isNotNull(), F.col(f"__hot_{v}")).otherwise(F.col(f"__cold_{v}")).alias(v) for v in values])
+
+
 def without(df: DataFrame, *names: str) -> list[str]:
     """Columns of `df` but those called `names` in any case: an input column gives way to a result of the same name."""
     gone = {n.lower() for n in names}

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import cut
-from .common import SPACE, text_of, without
+from .common import SPACE, text_of, with_groups, without
 
 #: Bits in one block of the filter; Spark's bitmap functions use blocks of this size.
 BLOCK = 32768
@@ -68,9 +68,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             .withColumn("__maybe", F.coalesce(F.expr(" AND ".join(_test(i) for i in range(hashes))), F.lit(False)))
             .withColumn("text_sha256", F.sha2("__text", 256)))
     maybe = told.where("__maybe")
-    groups = (maybe.groupBy("text_sha256").agg(F.min(id_col).alias("__keep"), F.count(F.lit(1)).alias("__n"))
-              .withColumnRenamed("text_sha256", "__sha"))
-    held = (maybe.select(*names, "text_sha256").join(groups, F.col("text_sha256") == F.col("__sha"))
+    groups = cut(maybe.groupBy("text_sha256").agg(F.min(id_col).alias("__keep"), F.count(F.lit(1)).alias("__n")))
+    held = (with_groups(maybe.select(*names, "text_sha256"), groups, ["text_sha256"], ["__keep", "__n"], "__n", rows, id_col)
             .select(*names, F.col("__keep").alias("keep_id"), F.col("__n").alias("group_size"),
                     F.col(id_col).eqNullSafe(F.col("__keep")).alias("kept"), "text_sha256"))
     single = told.where("NOT __maybe").select(*names, F.col(id_col).alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
