@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import cut
-from .common import saved
+from .common import saved, with_groups
 from .components import components
 from .words import shingles
 
@@ -144,12 +144,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     component_id is null where a component has no other. Other columns are not looked at.
     """
     each = saved(fingerprints(docs, id_col, text_col, width, seed), "fingerprints")
-    fps = cut(each.groupBy("fp").agg(F.min("__id").alias("least")))
+    fps = cut(each.groupBy("fp").agg(F.min("__id").alias("least"), F.count(F.lit(1)).alias("rows")))
     labels = components(links(fps.select("fp"), bits))
     named = cut(fps.join(labels.withColumnRenamed("node", "fp"), "fp"))
     least = named.groupBy("label").agg(F.min("least").alias("c"))
-    reached = fps.join(named.join(least, "label").select("fp", "c"), "fp", "left").select("fp", F.coalesce("c", "least").alias("component_id"))
-    return each.join(reached, "fp").select(F.col("__id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    reached = cut(fps.join(named.join(least, "label").select("fp", "c"), "fp", "left").select("fp", "rows", F.coalesce("c", "least").alias("component_id")))
+    return with_groups(each, reached, ["fp"], ["component_id"], "rows", each.count(), "__id").select(F.col("__id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
