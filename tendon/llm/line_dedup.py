@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import scratch
-from .common import without
+from .common import with_groups, without
 from .cuckoo import Cuckoo
 
 _GAPS = b" \t\n\x0b\x0c\r"
@@ -143,9 +143,10 @@ class LineStore:
     def drops(self) -> DataFrame:
         """(doc_id, keys): for each document the keys whose lines it loses to one with a smaller id."""
         suspects = self._read(self.suspects).distinct()
-        rows = self.live().join(suspects, KEY, "left_semi")
-        first = rows.groupBy(*KEY).agg(F.min("doc_id").alias("first"))
-        return (rows.join(first, KEY).where("doc_id > first").groupBy("doc_id")
+        rows = self.live().select(*KEY, "doc_id")
+        shared = rows.groupBy(*KEY).agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("docs")).where("docs > 1")
+        shared = self._read(self._write(shared.join(suspects, KEY, "left_semi"), "shared"))
+        return (with_groups(rows, shared, KEY, ["first"], "docs", rows.count(), "doc_id").where("doc_id > first").groupBy("doc_id")
                 .agg(F.collect_list(F.struct(*KEY)).alias("keys")))  # at most the lines of one document
 
     def dedup(self, docs: DataFrame) -> DataFrame:
