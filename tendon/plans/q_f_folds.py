@@ -103,14 +103,29 @@ def j10(spark, root):
     return E.match_events(s.where("event_type = 'view'"), s.where("event_type = 'click'"), ["trial_id"], "us", 4 * HOUR, F.floor(F.col("t") / (360 * HOUR)))
 
 
-@query("a41_event_metrics")
+@query("a41_event_metrics", views="samples", sql="""
+WITH s AS (SELECT trial_id, k%3 AS cls, event_type, epoch_us(ts) us FROM samples),
+tr AS (SELECT trial_id, cls, list(us ORDER BY us) tr FROM s WHERE event_type='click' GROUP BY 1,2),
+li AS (SELECT p.trial_id, p.cls, list({'t': p.us, 'tr': coalesce(tr.tr, CAST([] AS BIGINT[])), 'used': CAST([] AS BIGINT[]), 'out': CAST([] AS BIGINT[])} ORDER BY p.us) l
+ FROM s p LEFT JOIN tr ON tr.trial_id=p.trial_id AND tr.cls=p.cls WHERE event_type='view' GROUP BY 1,2),
+fo AS (SELECT cls, list_reduce(l, lambda a, x: {'t': x.t, 'tr': x.tr, 'used': CASE WHEN FREE IS NULL THEN a.used ELSE list_append(a.used, FREE.i) END,
+  'out': list_append(a.out, x.tr[FREE.i])}, {'t': NULL, 'tr': NULL, 'used': CAST([] AS BIGINT[]), 'out': CAST([] AS BIGINT[])}) r FROM li),
+m AS (SELECT cls, count(q) tp, count(*)-count(q) fp FROM (SELECT cls, unnest(r.out) q FROM fo) x GROUP BY 1),
+n AS (SELECT cls, count(*) truths FROM s WHERE event_type='click' GROUP BY 1),
+c AS (SELECT coalesce(m.cls, n.cls) cls, CAST(coalesce(tp,0) AS BIGINT) tp, CAST(coalesce(fp,0) AS BIGINT) fp, CAST(coalesce(truths,0)-coalesce(tp,0) AS BIGINT) fn FROM m FULL JOIN n ON m.cls=n.cls),
+a AS (SELECT cls, tp, fp, fn FROM c UNION ALL SELECT NULL, CAST(sum(tp) AS BIGINT), CAST(sum(fp) AS BIGINT), CAST(sum(fn) AS BIGINT) FROM c),
+v AS (SELECT *, tp/greatest(1,tp+fp)::DOUBLE p, tp/greatest(1,tp+fn)::DOUBLE r, fn/greatest(1,tp+fn)::DOUBLE nr FROM a), f AS (SELECT *, 2*p*r/greatest(1e-12,p+r) f1 FROM v)
+SELECT cls, tp, fp, fn, round(p,6) AS precision, round(r,6) AS recall, round(nr,6) AS fnr, round(f1,6) AS f1,
+ CASE WHEN cls IS NULL THEN round((SELECT avg(f1) FROM f WHERE cls IS NOT NULL),6) END AS macro_f1,
+ CASE WHEN cls IS NULL THEN round(fp/((SELECT max(us)-min(us) FROM s)/60e6),6) END AS fp_per_minute FROM f""".replace("FREE", f"({FREE})".replace("*4 AND", "*12 AND")))
 def a41(spark, root):
     s = samples(spark, root).select("trial_id", (F.col("k") % 3).alias("cls"), "event_type", micros("ts").alias("us"))
     p, t = s.where("event_type = 'view'"), s.where("event_type = 'click'")
     m = E.match_events(p, t, ["trial_id", "cls"], "us", 12 * HOUR, F.floor(F.col("t") / (360 * HOUR)))
     counts = E.match_counts(m, p, t, ["trial_id", "cls"])
     minutes = s.agg(((F.max("us") - F.min("us")) / 60e6).alias("minutes"))
-    return E.event_metrics(counts, "cls", minutes)
+    d = E.event_metrics(counts, "cls", minutes)
+    return d.select("cls", "tp", "fp", "fn", *[r6(F.col(c), c) for c in ("precision", "recall", "fnr", "f1", "macro_f1", "fp_per_minute")])
 
 
 PH = {"st": "CAST(0 AS BIGINT)", "ca": "CAST(0 AS BIGINT)", "se": "CAST(0 AS BIGINT)", "sf": "CAST(0 AS BIGINT)"}

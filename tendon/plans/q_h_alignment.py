@@ -217,7 +217,8 @@ def f10(spark, root):
     return E.threshold_events(fr, ["trial"], "n", "cls", "p", F.lit(0.5), 12, levels=[["slot"]], order_of=F.col("o"))
 
 
-@query("d01_model_callable")
+@query("d01_model_callable", sql="""
+SELECT vec_id, CAST(list_position(e, list_max(e))-1 AS INT) AS guess, round(list_max(e)::DOUBLE,6) AS q FROM (SELECT vec_id, embedding[1:10] AS e FROM embeddings) x""")
 def d01(spark, root):
     e = table(spark, root, "embeddings").select("vec_id", "embedding")
 
