@@ -62,10 +62,10 @@ def risk_coverage(df: DataFrame, row_id: str, weight: Column, points=(1.0, 0.9,
                      F.col(pred).alias("__p"), (F.col(pred) != F.col(truth)).cast("double").alias("__bad"))
     whole = base.agg(F.sum("__w").alias("__all"), F.sum(F.when(F.col("__p") >= 0, F.col("__w"))).alias("__max"))
     kept = base.where("__p >= 0").withColumns({
-        "__qb": F.floor(F.col("__nq") * 1024), "__ib": F.floor(F.col("__id") / id_block)})
+        "__qb": F.floor(F.col("__nq") * 1024), "__qf": F.floor(F.col("__nq") * (1 << 20)), "__ib": F.floor(F.col("__id") / id_block)})
     ranked = scan(kept, [], ["__nq", "__id"],
                   {"cw": running("sum", "__w"), "cb": running("sum", F.col("__w") * F.col("__bad"))},
-                  [["__qb"], ["__qb", "__nq", "__ib"]])
+                  [["__qb"], ["__qb", "__qf"], ["__qb", "__qf", "__nq", "__ib"]])
     ranked = ranked.withColumns({c: whole.select(c).scalar() for c in ("__all", "__max")})
     target = [F.least(F.col("__max") / F.col("__all"), F.lit(p)) for p in points]
     hits = ranked.agg(*[F.min(F.when(F.col("cw") >= t * F.col("__all"),
@@ -129,12 +129,13 @@ def fit_drift(df: DataFrame, score: str, weight: Column, truth="truth", pred="ra
     rows = df.select(F.col(truth).alias("truth"), F.col(score).alias("s"), weight.alias("w"),
                      (weight * (F.col(pred) != F.col(truth)).cast("double")).alias("bad"))
     merged = rows.groupBy("truth", "s").agg(F.sum("w").alias("w"), F.sum("bad").alias("bad"))
-    merged = merged.withColumn("band", F.floor(F.col("s") * 1024))
-    per_class = scan(merged, ["truth"], ["s"], {"cw": running("sum", "w"), "rest": running("sum_after", "w")}, [["band"]])
+    merged = merged.withColumns({"band": F.floor(F.col("s") * 1024), "fine": F.floor(F.col("s") * (1 << 20))})
+    levels = [["band"], ["band", "fine"]]
+    per_class = scan(merged, ["truth"], ["s"], {"cw": running("sum", "w"), "rest": running("sum_after", "w")}, levels)
     floor_class = (per_class.where(F.col("cw") >= F.lit(min_class) * (F.col("cw") + F.col("rest"))).groupBy("truth")
                    .agg(F.min("s").alias("s")).agg(F.max("s").alias("need")))
-    flat = merged.groupBy("s", "band").agg(F.sum("w").alias("w"), F.sum("bad").alias("bad"))
-    curve = scan(flat, [], ["s"], {"cw": running("sum", "w"), "cb": running("sum", "bad")}, [["band"]])
+    flat = merged.groupBy("s", "band", "fine").agg(F.sum("w").alias("w"), F.sum("bad").alias("bad"))
+    curve = scan(flat, [], ["s"], {"cw": running("sum", "w"), "cb": running("sum", "bad")}, levels)
     whole = flat.agg(F.sum("w").alias("tw"), F.sum("bad").alias("tb"))
     curve = curve.withColumns({"tw": whole.select("tw").scalar(), "tb": whole.select("tb").scalar(), "need": floor_class.scalar()})
     cand = curve.select("s", "cw", "cb", "tw", "tb", "need")

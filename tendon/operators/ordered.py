@@ -136,10 +136,13 @@ def block(idx, rows: int = 65_536) -> Column:
     return F.floor(F.col(idx) / F.lit(rows))
 
 
-def value_band(v) -> Column:
-    """Order-keeping band of a double: sign and 1/16 octaves of its size."""
+def value_band(v, parts: int = 1024) -> Column:
+    """Order-keeping band of a finite double: sign and 1/`parts` octaves of its size.
+
+    A key has at most `parts` bands per octave, so the summary over its bands stays small while its rows spread over many of them.
+    """
     c = F.col(v) if isinstance(v, str) else v
-    size = F.floor(F.log2(F.greatest(F.abs(c), F.lit(1e-300))) * 16) + F.lit(20_000)
+    size = F.floor(F.log2(F.greatest(F.abs(c), F.lit(1e-300))) * parts) + F.lit(1_250 * parts)
     return F.when(c == 0, F.lit(0)).otherwise(F.signum(c).cast("bigint") * size)
 
 
