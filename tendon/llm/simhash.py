@@ -130,6 +130,15 @@ def links(fps: DataFrame, bits: int, crowd: int = CROWD) -> DataFrame:
     return found.where("v IS NOT NULL").union(near.distinct())
 
 
+def with_components(each: DataFrame, fps: DataFrame, found: DataFrame) -> DataFrame:
+    """`each` (__id, fp) with the smallest id, component_id, that its fingerprint reaches over the links `found`; `fps` holds each fp with its `least` id and `rows`."""
+    labels = components(found)
+    named = cut(fps.select("fp", "least").join(labels.withColumnRenamed("node", "fp"), "fp"))
+    least = named.groupBy("label").agg(F.min("least").alias("c"))
+    reached = cut(fps.select("fp", "least", "rows").join(named.join(least, "label").select("fp", "c"), "fp", "left").select("fp", "rows", F.coalesce("c", "least").alias("component_id")))
+    return with_groups(each, reached, ["fp"], ["component_id"], "rows", each.count(), "__id")
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, bits: int = 2, seed: int = 42) -> DataFrame:
     """The id, fingerprint (16 hex digits) and component_id of every row of `docs`.
 
@@ -145,11 +154,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     each = saved(fingerprints(docs, id_col, text_col, width, seed), "fingerprints")
     fps = cut(each.groupBy("fp").agg(F.min("__id").alias("least"), F.count(F.lit(1)).alias("rows")))
-    labels = components(links(fps.select("fp"), bits))
-    named = cut(fps.join(labels.withColumnRenamed("node", "fp"), "fp"))
-    least = named.groupBy("label").agg(F.min("least").alias("c"))
-    reached = cut(fps.join(named.join(least, "label").select("fp", "c"), "fp", "left").select("fp", "rows", F.coalesce("c", "least").alias("component_id")))
-    return with_groups(each, reached, ["fp"], ["component_id"], "rows", each.count(), "__id").select(F.col("__id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return with_components(each, fps, links(fps.select("fp"), bits)).select(F.col("__id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
