@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import scratch
-from .tokens import encode, vocabulary_path
+from .tokens import ids_of, vocabulary_path
 
 GROUP = ["source", "lang", "tokenizer"]
 
@@ -21,7 +21,7 @@ def token_count(text: Column, path: str | None = None) -> Column:
     @F.pandas_udf("long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([len(encode(t, path)) for t in texts], dtype="int64")
+            yield pd.Series([len(ids_of(t, path)) for t in texts], dtype="int64")
 
     return count(text)
 
