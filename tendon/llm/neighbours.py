@@ -24,6 +24,10 @@ PROBES = 1024
 SAMPLE = 200
 #: Share of the sample's true neighbours that must lie in visited buckets.
 RECALL = 0.96
+#: A query whose expected recall, from the distances of what it found, is below this is answered exactly over all rows.
+FLOOR = 0.9
+#: Queries that meet one group of vectors in an exact answer.
+BLOCK = 5_000
 #: Vectors of one table that meet in one group.
 GROUP = 50_000
 _CELL = 6  # bits of a cell number in a bucket's code
@@ -101,6 +105,28 @@ class Hashes:
         return self._code(cell.astype(np.int64))[:, None] + step @ sets.T
 
 
+    def chances(self, q: np.ndarray, cosines: np.ndarray, sets: np.ndarray) -> np.ndarray:
+        """For a prepared query, the chance over random lines that a point at each of `cosines` lies in a bucket it visits."""
+        cosines = np.clip(cosines, -1, 1)[:, None]
+        wide = np.maximum(np.sqrt(1 - cosines * cosines), 1e-9)
+        missed = np.ones(len(cosines))
+        for t in range(TABLES):
+            own = q @ self.lines[t]
+            low = np.floor((own + self.shift[t]) / WIDTH) * WIDTH - self.shift[t]
+            edges = [_below((low + i * WIDTH - cosines * own) / wide) for i in (-1, 0, 1, 2)]
+            down, here, up = (np.log(np.maximum(b - a, 1e-300)) for a, b in zip(edges, edges[1:], strict=False))
+            away = (own - low) / WIDTH
+            side = np.argsort(np.r_[away, 1 - away], kind="stable")
+            gain = np.concatenate([down - here, up - here], 1)[:, side]
+            missed *= 1 - np.minimum(1, np.exp(here.sum(1)[:, None] + gain @ sets.T).sum(1))
+        return 1 - missed
+
+
+def _below(z: np.ndarray) -> np.ndarray:
+    """Normal distribution function."""
+    return 0.5 + 0.5 * np.frompyfunc(math.erf, 1, 1)(z / math.sqrt(2)).astype(np.float64)
+
+
 def _matrix(column) -> np.ndarray:
     return np.array(list(column), np.float64).reshape(len(column), -1)
 
@@ -181,7 +207,8 @@ def nearest(rows: DataFrame, asked: DataFrame, count: int = 20, id_col: str = "v
 
     Equal vectors are one entry of the index and one query, with their count + 1 smallest ids, which is all that an answer can
     hold. Each vector stands in one bucket of each table; a query visits buckets in estimated success order and
-    scores what it finds exactly; answers are merged over tables. Buckets of a table are dealt to groups of about GROUP vectors,
+    scores what it finds exactly; answers are merged over tables. A query that finds too little, or whose expected recall is under FLOOR,
+    is scored against all vectors instead. Buckets of a table are dealt to groups of about GROUP vectors,
     and a group that holds more is cut by id, so no group grows with the table.
     """
     most = count + 1
@@ -223,6 +250,9 @@ def nearest(rows: DataFrame, asked: DataFrame, count: int = 20, id_col: str = "v
     hits = (stored.select(*keys, "code", "id", "v").groupBy(*keys).cogroup(going.select(*keys, "codes", "id", "v").groupBy(*keys))
             .applyInPandas(lambda p, q: _search(p, q, most), "query long, id long, score double"))
     merged = cut(_top(hits.groupBy("query", "id").agg(F.max("score").alias("score")), "query", "id", most))
+    doubtful = cut(in_doubt(wanted, merged, h, sets, min(most, total)))
+    if not doubtful.isEmpty():
+        merged = cut(merged.join(doubtful, F.col("query") == F.col("rep"), "left_anti").unionByName(exact(points, wanted.join(doubtful, "rep", "left_semi"), doubtful.count(), total, most)))
     spelled = _top(merged.join(points.select("rep", "ids"), F.col("id") == F.col("rep")).select("query", "score", F.explode("ids").alias("vec_id")), "query", "vec_id", most)
     answers = spelled.groupBy("query").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))).alias("found"))
     others = F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("query_id")), 1, count)
@@ -230,6 +260,51 @@ def nearest(rows: DataFrame, asked: DataFrame, count: int = 20, id_col: str = "v
             .select("query_id", (F.col("n") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.s")).alias("score")))
 
 
+def in_doubt(wanted: DataFrame, merged: DataFrame, h: Hashes, sets: np.ndarray, least: int) -> DataFrame:
+    """(rep) of the queries that found fewer than `least` vectors, or whose expected recall is under FLOOR.
+
+    Each hit that had the chance p to be found stands for 1/p vectors like it.
+    """
+    found = merged.groupBy("query").agg(F.collect_list(F.when(F.col("id") != F.col("query"), F.col("score"))).alias("scores"), F.count(F.lit(1)).alias("n"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            v = _matrix(f["v"])
+            x, norm = h.queries(v), np.sqrt((v * v).sum(1))
+            out = []
+            for i, (rep, scores, n) in enumerate(zip(f["rep"], f["scores"], f["n"], strict=True)):
+                if not n >= least:
+                    out.append(rep)
+                elif len(scores):
+                    p = h.chances(x[i], np.asarray(scores, np.float64) / (h.scale * norm[i]), sets)
+                    if len(p) < FLOOR * (1 / np.maximum(p, 1e-12)).sum():
+                        out.append(rep)
+            yield pd.DataFrame({"rep": np.array(out, np.int64)})
+
+    return wanted.join(found, F.col("rep") == F.col("query"), "left").select("rep", "v", "scores", "n").mapInPandas(run, "rep long")
+
+
+def exact(points: DataFrame, queries: DataFrame, asked: int, total: int, most: int) -> DataFrame:
+    """(query, id, score): the best `most` of all `points` for each of `queries` (rep, v), in blocks of bounded size on both sides."""
+    rows, columns = -(-total // GROUP), -(-asked // BLOCK)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    stored = points.select(F.pmod(F.xxhash64("rep"), F.lit(rows)).cast("int").alias("g"), "rep", "v").withColumn("b", every(columns))
+    going = queries.select(F.pmod(F.xxhash64("rep"), F.lit(columns)).cast("int").alias("b"), "rep", "v").withColumn("g", every(rows))
+    hits = stored.groupBy("g", "b").cogroup(going.groupBy("g", "b")).applyInPandas(lambda p, q: _score_all(p, q, most), "query long, id long, score double")
+    return _top(hits, "query", "id", most)
+
+
+def _score_all(points: pd.DataFrame, queries: pd.DataFrame, most: int) -> pd.DataFrame:
+    out = [pd.DataFrame({"query": [], "id": [], "score": []}).astype({"query": "int64", "id": "int64"})]
+    if len(points) and len(queries):
+        ids, x, q = points["rep"].to_numpy(), _matrix(points["v"]), _matrix(queries["v"])
+        for at in range(0, len(q), 64):
+            for name, score in zip(queries["rep"][at:at + 64], q[at:at + 64] @ x.T, strict=True):
+                best = _best(ids, score, most)
+                out.append(pd.DataFrame({"query": name, "id": ids[best], "score": score[best]}))
+    return pd.concat(out[1:] or out)
+
+
 def _top(df: DataFrame, query: str, id_: str, most: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), id_))
     return df.withColumn("__n", rank).where(F.col("__n") <= most).drop("__n")
