@@ -8,6 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ordered import number_rows
 from ..runtime import ship
 from .chat import format_chats, loss_text, parse
 from .common import table
@@ -19,8 +20,13 @@ from .line_dedup import dedup_lines
 from .mixing import mix
 from .neighbours import nearest
 from .packing import pack
+from .pii import BASE, KINDS, LEAST, NEAR, PATTERNS, POINTS, WORD_POINTS, WORDS, find_spans
+from .prefix_trie import prefix_trie
+from .repair import digests, repair
+from .ropes import AUDIT, LAST, SYMBOLS, symbol
 from .simhash import near_dedup
 from .token_rollup import count_documents
+from .turns import in_order
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -197,3 +203,143 @@ def op8(spark, root):
 @query("op10_token_rollup")
 def op10(spark, root):
     return count_documents(table(spark, root, "documents"))
+
+
+#: SQL of the crc32 of a string's ASCII characters, in place of {}.
+CRC32 = ("xor(4294967295, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split({}, ''), lambda ch: CAST(ascii(ch) AS BIGINT))), lambda crc, byte: "
+         "list_reduce(list_concat([xor(crc, byte)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda reg, bit: xor(reg >> 1, (reg & 1) * 3988292384))))")
+
+
+def _proposed(kind: str) -> str:
+    """SQL of the matches of one kind, with the gaps before them."""
+    p = PATTERNS[kind]
+    return (f"SELECT doc_id, t, {KINDS.index(kind)} AS k, '{kind}' AS kind, unnest(range(1, len(hits) + 1)) AS i, unnest(hits) AS hit, unnest(gaps[1:len(hits)]) AS gap "
+            f"FROM (SELECT *, regexp_extract_all(t, '{p}') AS hits, string_split_regex(t, '{p}') AS gaps FROM docs) x")
+
+
+def _digits(text: str) -> str:
+    return f"list_transform(regexp_extract_all({text}, '[0-9]'), lambda d: CAST(d AS INT))"
+
+
+LUHN = f"list_sum(list_transform(list_reverse({_digits('hit')}), lambda d, j: CASE WHEN j % 2 = 1 THEN d WHEN d > 4 THEN 2 * d - 9 ELSE 2 * d END)) % 10 = 0"
+MOD97 = ("list_reduce(list_concat([0], list_transform(string_split(replace(hit, ' ', '')[5:] || hit[1:4], ''), lambda ch: CAST(CASE WHEN ch <= '9' THEN ascii(ch) - 48 ELSE ascii(ch) - 55 END AS INT))), "
+         "lambda r, v: (r * CASE WHEN v > 9 THEN 100 ELSE 10 END + v) % 97) = 1")
+PII_SQL = "WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),\nproposed AS (" + " UNION ALL ".join(map(_proposed, KINDS)) + f"""),
+placed AS (SELECT *, CAST(sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id, k ORDER BY i) AS BIGINT) AS e FROM proposed),
+checked AS (SELECT *, e - length(hit) AS s FROM placed WHERE CASE kind
+  WHEN 'ip' THEN list_bool_and(list_transform(string_split(hit, '.'), lambda p: length(ltrim(p, '0')) < 4 AND CAST('0' || right(p, 3) AS INT) < 256))
+  WHEN 'card' THEN len({_digits('hit')}) BETWEEN 12 AND 19 AND {LUHN}
+  WHEN 'phone' THEN len({_digits('hit')}) BETWEEN 9 AND 15
+  WHEN 'iban' THEN {MOD97}
+  WHEN 'ssn' THEN left(hit, 3) NOT IN ('000', '666') AND hit[1] <> '9' AND hit[5:6] <> '00' AND hit[8:] <> '0000'
+  ELSE true END),
+near AS (SELECT *, translate(substring(t, CAST(greatest(0, s - {NEAR}) + 1 AS BIGINT), CAST(least(s, {NEAR}) AS BIGINT)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM checked),
+scored AS (SELECT *, least(100, CASE kind {" ".join(f"WHEN '{k}' THEN {POINTS[k]} + CASE WHEN regexp_matches(w, '{WORDS[k]}') THEN {WORD_POINTS} ELSE 0 END" for k in KINDS)} END) AS p FROM near),
+kept AS (SELECT * FROM scored a WHERE k < {BASE} OR (p >= {LEAST} AND NOT EXISTS (SELECT 1 FROM scored b WHERE b.doc_id = a.doc_id AND b.k < {BASE} AND b.s < a.e AND a.s < b.e)))
+SELECT d.doc_id, {", ".join(f"count(*) FILTER (WHERE k = {i}) AS n_{kind}" for i, kind in enumerate(KINDS[:BASE]))},
+       sha256(coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (WHERE k < {BASE}), '')) AS base_sha256,
+       coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k), '') AS spans, coalesce(string_agg(CAST(p AS VARCHAR), ',' ORDER BY s, k), '') AS points
+FROM docs d LEFT JOIN kept ON kept.doc_id = d.doc_id GROUP BY d.doc_id"""
+
+
+@query("op13_personal_data", PII_SQL)
+def op13(spark, root):
+    found = find_spans(table(spark, root, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*KINDS[:BASE]))
+
+    def told(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, KINDS[:BASE]), F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"),
+                        F.array_join(F.transform("spans", lambda s: s["points"].cast("string")), ",").alias("points"))
+
+
+def damage(rows):
+    """Rows of `conversations` damaged by the crc32 of `conv_id:turn`, modulo 20: 0 drops, 1 empties, 2 removes sentence ends, 3 repeats, 4 makes it the user's. Nulls are one space."""
+    def known(name):
+        return F.coalesce(F.col(name).cast("string"), F.lit(" "))
+
+    code = F.crc32(F.concat(known("conv_id"), F.lit(":"), known("turn"))) % 20
+    dealt = rows.select("conv_id", "turn", known("role").alias("role"), known("text").alias("text"), code.alias("code")).where("code <> 0")
+    text = F.when(F.col("code") == 1, "").when(F.col("code") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    times = F.sequence(F.lit(1), F.when(F.col("code") == 3, 2).otherwise(1))
+    return dealt.select("conv_id", "turn", F.when(F.col("code") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), F.explode(times).alias("time")).drop("time")
+
+
+STEPS = ", ".join(f"('{sign}', {i}, {j}, {cost}, '{str(edits).translate(AUDIT)}')" for sign in SYMBOLS for i, row in symbol(sign).items() for j, (cost, edits) in row.items())
+ENDS = ", ".join(f"({i}, {cost}, '{edits.translate(AUDIT)}')" for i, (cost, edits) in LAST.items())
+REPAIR_SQL = r"""
+WITH RECURSIVE keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+coded AS (SELECT *, """ + CRC32.format("k") + r""" % 20 AS d FROM keyed),
+damaged AS (SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role, CASE d WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+                   unnest(range(CASE WHEN d = 3 THEN 2 ELSE 1 END)) AS time FROM coded WHERE d <> 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n FROM damaged),
+numbered AS (SELECT *, left(role, 1) AS initial, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) AS nth, regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS bare FROM ranked),
+faults AS (SELECT *, lag(initial) OVER (PARTITION BY conv_id ORDER BY n) AS prev, CASE WHEN bare = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault FROM numbered),
+signs AS (SELECT *, CASE WHEN fault IN ('blank', 'duplicate') THEN 'x' WHEN fault = 'truncated' THEN upper(l) ELSE l END AS sign FROM (SELECT *, CASE WHEN initial IN ('s', 'u', 'a') THEN initial ELSE 'o' END AS l FROM faults) x),
+steps AS (SELECT * FROM (VALUES """ + STEPS + r""") v(sign, i, j, more, edits)), ends AS (SELECT * FROM (VALUES """ + ENDS + r""") v(i, more, edits)),
+walk AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS n, 0 AS state, {'cost': CAST(0 AS BIGINT), 'audit': ''} AS best FROM signs
+  UNION ALL
+  SELECT w.conv_id, w.n + 1, s.j, min({'cost': CAST(w.best.cost + s.more AS BIGINT), 'audit': w.best.audit || s.edits})
+  FROM walk w JOIN signs r ON r.conv_id = w.conv_id AND r.n = w.n + 1 JOIN steps s ON s.sign = r.sign AND s.i = w.state GROUP BY w.conv_id, w.n, s.j),
+told AS (SELECT conv_id, max(n) AS n, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+                count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE prev || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM signs GROUP BY conv_id),
+done AS (SELECT w.conv_id, min({'cost': CAST(w.best.cost + e.more AS BIGINT), 'audit': w.best.audit || e.edits}) AS best FROM walk w JOIN told t ON t.conv_id = w.conv_id AND t.n = w.n JOIN ends e ON e.i = w.state GROUP BY w.conv_id),
+letters AS (SELECT conv_id, unnest(range(1, length(best.audit) + 1)) AS p, unnest(string_split(best.audit, '')) AS c FROM done WHERE best.audit <> ''),
+placed AS (SELECT *, sum(CASE WHEN c <> 'I' THEN 1 ELSE 0 END) OVER w AS n, sum(CASE WHEN c <> 'D' THEN 1 ELSE 0 END) OVER w AS o FROM letters WINDOW w AS (PARTITION BY conv_id ORDER BY p)),
+with_rows AS (SELECT p.*, s.role, s.text, max(CASE WHEN o = 1 AND c = 'K' AND initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY p.conv_id) AS sys FROM placed p LEFT JOIN signs s ON s.conv_id = p.conv_id AND s.n = p.n),
+texts AS (SELECT conv_id, sha256(string_agg(CASE WHEN c = 'K' THEN role WHEN (o - sys) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN c = 'I' THEN '' ELSE text END, chr(10) ORDER BY p)) AS digest
+          FROM with_rows WHERE c <> 'D' GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(d.best.cost, 0) AS cost, coalesce(d.best.audit, '') AS audit, coalesce(digest, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN told t ON t.conv_id = c.conv_id LEFT JOIN done d ON d.conv_id = c.conv_id LEFT JOIN texts x ON x.conv_id = c.conv_id"""
+
+
+@query("op11_structure_repair", REPAIR_SQL)
+def op11(spark, root):
+    rows = table(spark, root, "conversations")
+    done = repair(damage(rows))
+    every = rows.select("conv_id").distinct()
+    told = every.join(done.summary, F.col("conv_id").eqNullSafe(F.col("conv")), "left").drop("conv")
+    told = told.join(digests(done.turns), F.col("conv_id").eqNullSafe(F.col("conv")), "left")
+    counts = [F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return told.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+TRIE_SQL = r"""
+WITH rows_ AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, turn FROM conversations WHERE conv_id IS NOT NULL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n FROM rows_),
+ids AS (SELECT conv_id, conv_id - conv_id % 20 AS base, """ + CRC32.format("CAST(conv_id AS VARCHAR)") + r""" % 4 AS h FROM (SELECT DISTINCT conv_id FROM rows_) x),
+rebuilt AS (SELECT i.conv_id, r.n, role, text FROM ids i JOIN ranked r ON r.conv_id = i.base AND r.n <= i.h UNION ALL SELECT i.conv_id, r.n, role, text FROM ids i JOIN ranked r ON r.conv_id = i.conv_id AND r.n > i.h),
+turns AS (SELECT conv_id, role, text, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words, row_number() OVER (PARTITION BY conv_id ORDER BY n) AS depth FROM rebuilt),
+paths AS (SELECT conv_id, depth, words, list(sha256(role || chr(0) || text)) OVER (PARTITION BY conv_id ORDER BY depth) AS p FROM turns UNION ALL SELECT conv_id, 0, 0, [] FROM ids),
+lengths AS (SELECT conv_id, max(depth) AS last FROM paths GROUP BY conv_id),
+nodes AS (SELECT p, depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE depth = last) AS ends
+          FROM paths JOIN lengths USING (conv_id) GROUP BY p, depth),
+linked AS (SELECT n.*, u.conv_id AS parent_conv_id, (SELECT count(*) FROM nodes c WHERE c.depth = n.depth + 1 AND c.p[:n.depth] = n.p) AS n_children
+           FROM nodes n LEFT JOIN nodes u ON n.depth > 0 AND u.depth = n.depth - 1 AND u.p = n.p[:n.depth - 1]),
+above AS (SELECT p[:d] AS top, d, n_children, (n_convs - 1) * words AS saved FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM linked) x)
+SELECT l.conv_id, CAST(l.depth AS BIGINT) AS depth, l.parent_conv_id, l.n_convs, l.n_children, count(*) FILTER (WHERE a.n_children = 0) AS n_leaves, CAST(sum(a.saved) AS BIGINT) AS saved_tokens,
+       sha256(coalesce(any_value(l.ends), '')) AS ends_sha256
+FROM linked l JOIN above a ON a.d = l.depth AND a.top = l.p GROUP BY l.conv_id, l.depth, l.parent_conv_id, l.n_convs, l.n_children"""
+
+
+def rebuilt(rows):
+    """(conv, turn, role, text): the first h turns of conversation c - c % 20, then the own turns of c after its first h; h is the crc32 of the number c, modulo 4."""
+    turns = number_rows(in_order(rows.where("conv_id IS NOT NULL"), "conv_id", "turn", "role", "text", ""), ["conv"], ["row"], "turn_no", [["part"]])
+    h = (F.crc32(F.col("conv").cast("string")) % 4).alias("h")
+    own = turns.select("conv", "turn_no", "role", "text").where(F.col("turn_no") >= h)
+    heads = turns.where("conv % 20 = 0 AND turn_no < 3").select(F.col("conv").alias("base"), "turn_no", "role", "text")
+    lent = rows.where("conv_id IS NOT NULL").select(F.col("conv_id").alias("conv")).distinct().select("conv", (F.col("conv") - F.col("conv") % 20).alias("base"), h).join(heads, "base").where("turn_no < h")
+    return own.union(lent.select("conv", "turn_no", "role", "text"))
+
+
+@query("op12_prefix_trie", TRIE_SQL)
+def op12(spark, root):
+    rows = table(spark, root, "conversations").select("conv_id", "turn", "role", "text")
+    ids = rows.where("conv_id IS NOT NULL").select(F.col("conv_id").cast("long").alias("conv")).distinct()
+    return prefix_trie(rebuilt(rows), "conv", "turn_no", convs=ids)
