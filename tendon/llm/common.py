@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,11 +25,52 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+#: Scratch tables that this process has written and not removed.
+_MADE: list[str] = []
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder that `sweep` may remove."""
+    path = scratch(spark, name)
+    _MADE.append(path)
+    return path
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder as Parquet and read it back."""
-    path = scratch(df.sparkSession, name)
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Remove scratch tables that nothing will read again."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        if path in _MADE:
+            _MADE.remove(path)
+
+
+#: Scratch tables that the last stage of a job made; its result may still read them.
+_LAST: list[str] = []
+
+
+def stage(fn):
+    """A stage (spark, docs, sf_dir) of a job, which first removes the scratch tables made inside the stage before it, as that one's result is written by now. What `docs` reads stays."""
+    @wraps(fn)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if _LAST:
+            read = {part for f in docs.inputFiles() for part in f.split("/")[-4:]}
+            remove(spark, *[p for p in _LAST if p.rstrip("/").rsplit("/", 1)[-1] not in read])
+        before = len(_MADE)
+        out = fn(spark, docs, sf_dir)
+        _LAST[:] = _MADE[before:]
+        return out
+
+    return run
 
 
 def counted(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

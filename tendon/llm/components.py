@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import cut
+from .common import remove, saved
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -28,15 +28,16 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternating star contractions: about log(n) rounds, each a few shuffles of the links, whose number never grows.
     Minima are taken map-side, and the joins on a hub are split by adaptive execution. Each round is written to
-    the shared folder.
+    the shared folder, and the round before it removed.
     """
-    links = cut(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    links = saved(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     before = None
     while True:
         state = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
             break
         before = state
-        links = cut(_small_star(_large_star(links)).where("u <> v").distinct())
+        old, links = links, saved(_small_star(_large_star(links)).where("u <> v").distinct(), "links")
+        remove(links.sparkSession, old.scratch)
     return links.select(F.col("u").alias("node"), F.col("v").alias("label")).union(
         links.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

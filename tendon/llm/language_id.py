@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 WIDTHS = (2, 3, 4)
@@ -132,18 +132,22 @@ def held_out(id_col: str = "doc_id"):
 def fit(docs: DataFrame, id_col: str = "doc_id", per_language: int = PER_LANGUAGE) -> Network | None:
     """Train on one passage of each of about `per_language` documents a language (fewer, if there are not so many).
 
-    Documents are drawn by a hash of their id, and the passage starts at a hashed place of the whole text, so the sample is the same however the table is
-    split. Its size is bounded by languages x per_language x PASSAGE characters. None if nothing is labelled.
+    Documents are drawn by a hash of id and text, rows that are equal in both as one, and the passage starts at a hashed place of the whole text, so the sample is
+    the same however the table is split. Of each language the first `per_language` by that hash are kept, in Spark, so at most
+    languages x per_language passages of PASSAGE characters reach the driver, whatever ids and repeats the table has. None if nothing is labelled.
     """
-    rows = learning_rows(docs, id_col)
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # a row per language
+    one = F.xxhash64(F.lit(17), F.col(id_col), F.col("text"))
+    rows = learning_rows(docs, id_col).withColumn("__one", one)
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").agg(F.approx_count_distinct("__one")).collect()}  # a row per language
     if not counts:
         return None
-    draw = F.pmod(F.xxhash64(F.lit(17), id_col), F.lit(1 << 30)) / float(1 << 30)
-    share = F.element_at(F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, per_language / n))]), F.col("lang"))
-    start = F.pmod(F.xxhash64(F.lit(23), id_col), F.greatest(F.length("text") - PASSAGE, F.lit(1))) + 1
-    sample = (rows.where(draw < share).select("lang", draw.alias("d"), F.col("text").substr(start.cast("int"), F.lit(PASSAGE)).alias("t")).toPandas()
-              .sort_values(["lang", "d", "t"], kind="stable"))
+    draw = F.pmod("__one", F.lit(1 << 30)) / float(1 << 30)
+    share = F.element_at(F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, 1.5 * per_language / max(1, n)))]), F.col("lang"))
+    start = F.pmod(F.xxhash64(F.lit(23), F.col(id_col), F.col("text")), F.greatest(F.length("text") - PASSAGE, F.lit(1))) + 1
+    drawn = rows.where(draw < share).select("lang", "__one", F.col("text").substr(start.cast("int"), F.lit(PASSAGE)).alias("t"))
+    drawn = drawn.groupBy("lang", "__one").agg(F.min("t").alias("t"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("__one", F.lit(1 << 30)), "__one"))
+    sample = drawn.withColumn("place", first).where(F.col("place") <= per_language).select("lang", "place", "t").toPandas().sort_values(["lang", "place"], kind="stable")
     sample = sample[sample["t"].str.contains(_LETTER)]
     if not len(sample):
         return None

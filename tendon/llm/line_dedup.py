@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -10,8 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import scratch
-from .common import with_groups, without
+from .common import BROADCAST_ROWS, scratch_path, with_groups, without
 from .cuckoo import Cuckoo
 
 _GAPS = b" \t\n\x0b\x0c\r"
@@ -52,6 +52,16 @@ def line_keys(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFr
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, k1 long, k2 long, n long")
 
 
+@dataclass
+class Load:
+    """What one insertion wrote: its counts, those of its keys that the store held before (None: none), and its filters in 2^bits shards."""
+
+    counts: str
+    held: str | None
+    filters: str
+    bits: int
+
+
 class LineStore:
     """Lines of a growing corpus, from which documents can be deleted again.
 
@@ -60,56 +70,72 @@ class LineStore:
     * references: signed rows (k1, k2, doc_id, n). A deletion writes the negative of what it takes back.
     * counts: signed rows (k1, k2, docs, lines), additive per key: the exact reference counts.
     * suspects: keys that at some time were in two documents.
-    * filters: one cuckoo filter per shard of the keys, of all keys that some document holds.
+    * filters: for every insertion cuckoo filters of the keys that were new in it, one per shard of these keys, made to their number.
 
-    An insertion counts its own keys, asks the filters which of them the store may hold already, and looks only those up in
-    the exact counts. Keys that are new, or only seemed known, enter the filters. A deletion takes keys whose count falls to zero out of the filters.
+    An insertion counts its own keys, asks the filters of all insertions before which of them the store may hold already, and looks only those up in
+    the exact counts. Keys that are new, or only seemed known, get filters of their own, so a filter is never full and never made anew, and the number of shards
+    follows the size of each insertion. A deletion takes keys whose count falls to zero out of the filter of the insertion in which they were last new.
     So line dedup after any insertions and deletions is that of the documents then held.
     Rows of a hot line are spread by document first and counted map-side, so it is one row per task at the shuffle by key.
     """
 
-    def __init__(self, spark: SparkSession, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text", least: int = 10, path: str | None = None):
+    def __init__(self, spark: SparkSession, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", least: int = 10, path: str | None = None):
         self.spark, self.shards, self.id_col, self.text_col, self.least = spark, shards, id_col, text_col, least
-        self.path = path or scratch(spark, "lines")
+        self.path = path or scratch_path(spark, "lines")
         self.references: list[str] = []
         self.counts: list[str] = []
         self.suspects: list[str] = []
-        self.filters: str | None = None
+        self.loads: list[Load] = []
         self.deleted = False
         self._step = 0
 
     def _write(self, df: DataFrame, kind: str) -> str:
         self._step += 1
-        self._last = f"{self.path}/{kind}-{self._step}"
-        df.write.parquet(self._last)
-        return self._last
+        path = f"{self.path}/{kind}-{self._step}"
+        df.write.parquet(path)
+        return path
 
     def _read(self, paths: list[str] | str) -> DataFrame:
         return self.spark.read.parquet(*([paths] if isinstance(paths, str) else paths))
 
-    def _shard(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("shard", F.pmod("k1", F.lit(self.shards)))
+    def _few(self, path: str) -> DataFrame:
+        """A written table, for a broadcast if its counted rows are few enough."""
+        df = self._read(path)
+        return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
     def insert(self, docs: DataFrame) -> None:
         """Add documents. Rows with the same id are one document; an id that is held already must be deleted first. Rows without an id are left alone."""
         new = line_keys(docs.where(F.col(self.id_col).isNotNull()), self.id_col, self.text_col, self.least)
         new = self._write(new.groupBy(*KEY, "doc_id").agg(F.sum("n").alias("n")), "references")
         counted = self._write(self._read(new).groupBy(*KEY).agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("lines")), "counts")
-        if self.shards is None:
-            self.shards = max(16, self._read(counted).count() // SHARD_KEYS)
-        keys = self._shard(self._read(counted))
-        suspects = keys.where("docs > 1").select(*KEY)
-        fresh = keys.select("shard", *KEY)
-        if self.filters:
-            maybe = keys.select("shard", *KEY).groupBy("shard").cogroup(self._read(self.filters).groupBy("shard")).applyInPandas(_probe, "k1 long, k2 long")
-            held = self._read(self.counts).join(maybe, KEY, "left_semi").groupBy(*KEY).agg(F.sum("docs").alias("docs")).where("docs > 0").select(*KEY)
-            held = self._read(self._write(held, "held"))
-            suspects = suspects.union(held).distinct()
-            fresh = fresh.join(held, KEY, "left_anti")
+        keys = self._read(counted)
+        bits = max(self.shards - 1, keys.count() // SHARD_KEYS).bit_length()
+        suspects, fresh, held = keys.where("docs > 1").select(*KEY), keys.select(*KEY), None
+        if self.loads:
+            maybe = self._few(self._write(self.maybe(keys, bits), "maybe"))
+            known = self._read(self.counts).join(maybe, KEY, "left_semi").groupBy(*KEY).agg(F.sum("docs").alias("docs")).where("docs > 0").select(*KEY)
+            held = self._write(known, "held")
+            suspects = suspects.union(self._read(held)).distinct()
+            fresh = fresh.join(self._few(held), KEY, "left_anti")
+        filters = self._write(_shard(fresh, bits).groupBy("shard").applyInPandas(_build, "shard long, data binary"), "filters")
         self.references.append(new)
         self.counts.append(counted)
-        self._change_filters(fresh, _insert)
         self.suspects.append(self._write(suspects, "suspects"))
+        self.loads.append(Load(counted, held, filters, bits))
+
+    def maybe(self, keys: DataFrame, bits: int = 0) -> DataFrame:
+        """Those of `keys` (k1, k2) that some filter may hold: all that are held, and few others.
+
+        Insertions with equal shards are asked together. Where `keys` need finer shards than a filter has, the filter goes to all its finer shards.
+        """
+        found = None
+        for own in sorted({x.bits for x in self.loads}):
+            fine = max(own, bits)
+            old = self._read([x.filters for x in self.loads if x.bits == own])
+            old = old.selectExpr(f"explode(transform(sequence(0, {(1 << fine - own) - 1}), i -> shard + i * {1 << own}L)) AS shard", "data")
+            part = _shard(keys.select(*KEY), fine).groupBy("shard").cogroup(old.groupBy("shard")).applyInPandas(_probe, "k1 long, k2 long")
+            found = part if found is None else found.union(part)
+        return found.distinct()
 
     def delete(self, ids: DataFrame) -> None:
         """Take back the documents whose ids stand in the first column of `ids`; ids that are not held are passed over."""
@@ -120,20 +146,19 @@ class LineStore:
         self.counts.append(counted)
         self.deleted = True
         left = self._read(self.counts).join(self._read(counted).select(*KEY), KEY, "left_semi").groupBy(*KEY).agg(F.sum("docs").alias("docs"))
-        self._change_filters(self._shard(left.where("docs = 0")), _remove)
-
-    def _change_filters(self, keys: DataFrame, how) -> None:
-        """Give every shard of `keys` its filter with these keys put in or taken out; a filter that is full is made anew from the exact counts."""
-        keys = keys.select("shard", *KEY)
-        old = self._read(self.filters) if self.filters else keys.select("shard", F.lit(b"").alias("data")).limit(0)
-        changed = self._read(self._write(keys.groupBy("shard").cogroup(old.groupBy("shard")).applyInPandas(how, "shard long, data binary"), "changed"))
-        full = changed.where("data IS NULL").select("shard")
-        if full.isEmpty():
-            self.filters = self._last
+        zero = self._few(self._write(left.where("docs = 0").select(*KEY), "zero"))
+        new_in = None  # the last insertion in which a key was new
+        for i, load in enumerate(self.loads):
+            rows = self._read(load.counts).select(*KEY).join(zero, KEY, "left_semi")
+            rows = (rows.join(self._read(load.held), KEY, "left_anti") if load.held else rows).withColumn("load", F.lit(i))
+            new_in = rows if new_in is None else new_in.union(rows)
+        if new_in is None:
             return
-        held = self._shard(self._read(self.counts)).join(full, "shard", "left_semi").groupBy("shard", *KEY).agg(F.sum("docs").alias("docs")).where("docs > 0")
-        made = held.groupBy("shard").applyInPandas(_build, "shard long, data binary")
-        self.filters = self._write(changed.where("data IS NOT NULL").union(made), "filters")
+        out = self._read(self._write(new_in.groupBy(*KEY).agg(F.max("load").alias("load")), "out"))
+        for r in out.groupBy("load").count().collect():  # one row per insertion
+            load = self.loads[r.load]
+            changed = _shard(out.where(F.col("load") == r.load), load.bits).groupBy("shard").cogroup(self._read(load.filters).groupBy("shard")).applyInPandas(_remove, "shard long, data binary")
+            load.filters = self._write(changed, "filters")
 
     def live(self) -> DataFrame:
         """(k1, k2, doc_id, n) of the documents now held."""
@@ -141,13 +166,23 @@ class LineStore:
         return all_.groupBy(*KEY, "doc_id").agg(F.sum("n").alias("n")).where("n > 0") if self.deleted else all_.select(*KEY, "doc_id", "n")
 
     def drops(self) -> DataFrame:
-        """(doc_id, keys): for each document the keys whose lines it loses to one with a smaller id."""
-        suspects = self._read(self.suspects).distinct()
+        """(doc_id, keys): for each document the keys whose lines it loses to one with a smaller id.
+
+        Suspects whose exact count is over one are shared; only references to these are kept, and only they are searched for the smallest id.
+        """
+        suspects = self._few(self._write(self._read(self.suspects).distinct(), "suspects"))
+        shared = self._read(self.counts).join(suspects, KEY, "left_semi").groupBy(*KEY).agg(F.sum("docs").alias("docs")).where("docs > 1")
+        shared = self._read(self._write(shared, "shared"))
         rows = self.live().select(*KEY, "doc_id")
-        shared = rows.groupBy(*KEY).agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("docs")).where("docs > 1")
-        shared = self._read(self._write(shared.join(suspects, KEY, "left_semi"), "shared"))
-        return (with_groups(rows, shared, KEY, ["first"], "docs", rows.count(), "doc_id").where("doc_id > first").groupBy("doc_id")
-                .agg(F.collect_list(F.struct(*KEY)).alias("keys")))  # at most the lines of one document
+        total = rows.count()
+        small = shared.count() <= BROADCAST_ROWS
+        met = rows.join(F.broadcast(shared), KEY) if small else with_groups(rows, shared, KEY, ["docs"], "docs", total, "doc_id").where("docs IS NOT NULL")
+        met = self._read(self._write(met.select(*KEY, "doc_id", "docs"), "met"))
+        first = met.groupBy(*KEY).agg(F.min("doc_id").alias("first"), F.max("docs").alias("docs"))
+        first = self._read(self._write(first, "first"))
+        rows = met.select(*KEY, "doc_id")
+        told = rows.join(F.broadcast(first), KEY) if small else with_groups(rows, first, KEY, ["first"], "docs", total, "doc_id")
+        return told.where("doc_id > first").groupBy("doc_id").agg(F.collect_list(F.struct(*KEY)).alias("keys"))  # at most the lines of one document
 
     def dedup(self, docs: DataFrame) -> DataFrame:
         """`docs` (documents of the store) with kept_text, n_lines and n_dropped.
@@ -183,32 +218,27 @@ class LineStore:
         return joined.mapInArrow(run, ", ".join([*fields, "kept_text string", "n_lines long", "n_dropped long"]))
 
 
-def _probe(keys: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
-    if not len(keys) or not len(old):
-        return pd.DataFrame({"k1": [], "k2": []}).astype("int64")
-    hit = Cuckoo.load(old["data"].iloc[0]).might_hold(keys["k2"].to_numpy())
-    return keys.loc[hit, ["k1", "k2"]]
+def _shard(keys: DataFrame, bits: int) -> DataFrame:
+    return keys.select(F.pmod("k1", F.lit(1 << bits)).alias("shard"), *KEY)
 
 
-def _insert(key, keys: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
-    """The shard's filter with `keys`; no data if it is too full for them."""
-    hashes = keys["k2"].to_numpy()
-    if not len(old):
-        return pd.DataFrame({"shard": [key[0]], "data": [Cuckoo.of(hashes).dump()]})
-    filter_ = Cuckoo.load(old["data"].iloc[0])
-    fits = not len(hashes) or filter_.insert(hashes)
-    return pd.DataFrame({"shard": [key[0]], "data": [filter_.dump() if fits else None]})
+def _probe(keys: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
+    hit = np.zeros(len(keys), bool)
+    for data in old["data"]:
+        hit |= Cuckoo.load(data).might_hold(keys["k2"].to_numpy())
+    return keys.loc[hit, ["k1", "k2"]]
 
 
-def _remove(key, keys: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
-    if not len(old):
-        return pd.DataFrame({"shard": [], "data": []})
-    filter_ = Cuckoo.load(old["data"].iloc[0])
-    filter_.remove(keys["k2"].to_numpy())
-    return pd.DataFrame({"shard": [key[0]], "data": [filter_.dump()]})
+def _remove(key: tuple, keys: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
+    made = []
+    for data in old["data"]:
+        filter_ = Cuckoo.load(data)
+        filter_.remove(keys["k2"].to_numpy())
+        made.append(filter_.dump())
+    return pd.DataFrame({"shard": [key[0]] * len(made), "data": made})
 
 
-def _build(key, keys: pd.DataFrame) -> pd.DataFrame:
+def _build(key: tuple, keys: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"shard": [key[0]], "data": [Cuckoo.of(keys["k2"].to_numpy()).dump()]})
 
 

@@ -40,11 +40,14 @@ def budgets(leaves: DataFrame, weights: DataFrame, total: int, epochs: int) -> D
     """Budget of every leaf.
 
     leaves: domain, lang, source, tokens. weights: level ('domain', 'lang' or 'source'), name, weight (long); a name that is not
-    listed weighs 1, one of weight 0 gets nothing. A leaf takes its tokens `epochs` times at most, a node what its leaves take. The
+    listed weighs 1, one of weight 0 gets nothing, and what lies below it counts for no node above. A leaf takes its tokens `epochs` times at most, a node what its leaves take. The
     total is shared among domains, a domain's budget among its languages, a language's among its sources, so
     a shortage goes to siblings first and reaches the level above only when all of them are full.
     """
-    tree = counted(leaves.selectExpr(*LEVELS, "tokens", f"tokens * {epochs} AS cap"))
+    tree = leaves.selectExpr(*LEVELS, "tokens", f"tokens * {epochs} AS cap")
+    for level in LEVELS:
+        tree = tree.join(weights.where((F.col("level") == level) & (F.col("weight") == 0)).select(F.col("name").alias(level)), level, "left_anti")
+    tree = counted(tree.select(*LEVELS, "tokens", "cap"))
     out = None
     for depth, level in enumerate(LEVELS):
         above, path = list(LEVELS[:depth]), list(LEVELS[:depth + 1])

@@ -107,13 +107,14 @@ WITH rows_ AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '')
                       coalesce(list_extract(['web', 'books', 'code', 'forums'], TRY_CAST(regexp_extract(source, '([0-9]+)$', 1) AS INT) % 4 + 1), 'other') AS domain FROM documents),
 weights AS (SELECT * FROM (VALUES """ + ", ".join(str(w) for w in MIXTURE) + r""") v(level, name, weight)),
 leaves AS (SELECT domain, lang, source, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(tokens) * 2 AS BIGINT) AS cap FROM rows_ GROUP BY ALL),
-langs AS (SELECT domain, lang, CAST(sum(cap) AS BIGINT) AS cap FROM leaves GROUP BY ALL),
-domains AS (SELECT domain, CAST(sum(cap) AS BIGINT) AS cap FROM leaves GROUP BY ALL),""" + _shared(
+live AS (SELECT * FROM leaves l WHERE NOT EXISTS (SELECT 1 FROM weights v WHERE v.weight = 0 AND (v.level, v.name) IN (('domain', l.domain), ('lang', l.lang), ('source', l.source)))),
+langs AS (SELECT domain, lang, CAST(sum(cap) AS BIGINT) AS cap FROM live GROUP BY ALL),
+domains AS (SELECT domain, CAST(sum(cap) AS BIGINT) AS cap FROM live GROUP BY ALL),""" + _shared(
     "d", "SELECT n.domain, cap, coalesce(weight, 1) AS weight, (SELECT CAST(sum(tokens) AS BIGINT) FROM leaves) AS budget FROM domains n "
          "LEFT JOIN weights v ON v.level = 'domain' AND v.name = n.domain", "", "domain") + "," + _shared(
     "l", "SELECT n.domain, n.lang, n.cap, coalesce(v.weight, 1) AS weight, d.budget FROM langs n JOIN d ON d.domain = n.domain "
          "LEFT JOIN weights v ON v.level = 'lang' AND v.name = n.lang", "domain", "lang") + "," + _shared(
-    "s", "SELECT n.domain, n.lang, n.source, n.cap, n.tokens, 1 AS weight, l.budget FROM leaves n JOIN l ON l.domain = n.domain AND l.lang = n.lang", "domain lang", "source") + r""",
+    "s", "SELECT n.domain, n.lang, n.source, n.cap, n.tokens, 1 AS weight, l.budget FROM live n JOIN l ON l.domain = n.domain AND l.lang = n.lang", "domain lang", "source") + r""",
 keyed AS (SELECT r.*, CASE WHEN s.tokens > 0 THEN budget // s.tokens ELSE 0 END AS whole, CASE WHEN s.tokens > 0 THEN budget % s.tokens ELSE 0 END AS rest
           FROM rows_ r JOIN s ON r.domain = s.domain AND r.lang = s.lang AND r.source = s.source),
 placed AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('42:' || whole || ':' || doc_id), tokens ROWS UNBOUNDED PRECEDING) AS until FROM keyed),
