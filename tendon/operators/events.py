@@ -6,23 +6,52 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import clamp01
+from ..runtime import cut
 from . import sequences as S
 from . import steps
 from .folds import blended, by_row, chunked_fold
 from .joins import small
-from .ordered import running, scan
+from .jumps import CHUNK_ROWS, first_reaching, orbit
+from .ordered import index, number_rows, running, scan
 
 
-def debounce(events: DataFrame, keys, chunk: str, gap, releases=steps.RELEASES, older=False, t_type="bigint") -> DataFrame:
-    """Columns name and t are read; kept events are returned."""
-    run = by_row(steps.debounce(gap, releases, older), ("t", "name"))
-    return chunked_fold(events.select(*keys, chunk, "t", "name"), keys, ["t", "name"], chunk, run, None, f"t {t_type}, name string")
+def debounce(events: DataFrame, keys, chunk: str, gap, releases=steps.RELEASES, older=False, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Kept events, by `steps.debounce`. Columns name and t are read; `chunk` follows t.
 
-
-def merge_prompts(prompts: DataFrame, keys, chunk: str, minimum: float) -> DataFrame:
-    """Following prompts joined until their length reaches the minimum; the rest is kept. Reads n, len, text, start, end."""
-    run = by_row(steps.merge_prompts(minimum), ("n", "first"))
-    tag = chunked_fold(prompts.select(*keys, chunk, "n", "len"), keys, ["n"], chunk, run, [0, 0], "n bigint, first bigint")
+    After a kept event the next is the first one `gap` later, or a release of another name before it (with `older`, after a release also the first event that is none).
+    """
+    keys, releases = list(keys), list(releases)
+    d = number_rows(events.select(*keys, chunk, "t", "name"), keys, ["t", "name"], "n", [[chunk]])
+    if gap <= 0:
+        return d.select(*keys, "t", "name")
+    n = F.col("n")
+    after = {f"__r{i}": running("first_after", F.when(F.col("name") == r, n)) for i, r in enumerate(releases)}
+    if older:
+        after["__other"] = running("first_after", F.when(~F.coalesce(F.col("name").isin(*releases), F.lit(False)), n))
+    d = scan(d, keys, ["n"], after, [[chunk]]) if after else d
+    d = cut(d)
+    d = first_reaching(d, keys, "t", "n", F.col("t") + gap, gap * 256.0, "__late")
+    near = [F.when(F.coalesce(F.col("name") != r, F.lit(True)), F.col(f"__r{i}")) for i, r in enumerate(releases)]
+    if older:
+        near.append(F.when(F.col("name").isin(*releases), F.col("__other")))
+    found = [F.col("__late"), *near]
+    d = d.withColumn("next", F.least(*found) if len(found) > 1 else found[0])
+    return orbit(d.select(*keys, "n", "next", "t", "name"), keys, chunk_rows).where("kept").select(*keys, "t", "name")
+
+
+def merge_prompts(prompts: DataFrame, keys, chunk: str, minimum: float, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Following prompts joined until their length reaches the minimum; the rest is kept. Reads n, len (not negative), text, start, end; `chunk` follows n.
+
+    A merged prompt that begins at a row ends where the running length has grown by the minimum, so the next one begins behind that row. A row without length at its head stands alone.
+    """
+    keys = list(keys)
+    d = scan(prompts.select(*keys, chunk, F.col("n").alias("__own"), "len"), keys, ["__own"], {"n": index(), "__sum": running("sum", "len")}, [[chunk]])
+    d = cut(d.select(*keys, chunk, "__own", "n", "len", "__sum", (F.col("__sum") - F.col("len") + minimum).alias("__until")))
+    d = first_reaching(d, keys, "__sum", "n", F.col("__until"), max(1.0, float(minimum)) * 256.0, "__last")
+    last = F.when(F.col("len") == 0, F.col("n")).otherwise(F.greatest("__last", "n"))  # a minimum of zero is reached at once
+    d = d.withColumn("next", F.when((F.col("len") == 0) | F.col("__last").isNotNull(), last + 1))
+    marked = orbit(d.select(*keys, "n", "next", chunk, "__own"), keys, chunk_rows)
+    tag = scan(marked, keys, ["n"], {"first": running("last", F.when(F.col("kept"), F.col("__own")))}, [[chunk]]).select(*keys, F.col("__own").alias("n"), "first")
     d = prompts.join(tag, [*keys, "n"])
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda s: s["text"]), "")
     return d.groupBy(*keys, "first").agg(text.alias("text"), F.min("start").alias("start"), F.max_by("end", "n").alias("end"), F.sum("len").alias("len"))

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import filters as K
-from .folds import chunked_fold, grouped_rows
+from .affine import filtered
+from .folds import grouped_rows
 from .ordered import exact_quantiles
 from .joins import small
 from .sequences import halo
@@ -19,18 +20,11 @@ from .windows import hop_windows
 
 
 def causal_filter(df: DataFrame, keys, n: str, chunk: str, channels, rate: float, low=20.0, high=90.0, use_notch=False) -> DataFrame:
-    """Band-pass (order 4) and optional 50 Hz notch; the filter state is carried from chunk to chunk."""
+    """Band-pass (order 4) and optional 50 Hz notch; the filter state is carried from chunk to chunk as an affine map."""
     sos = K.bandpass(4, low, high, float(rate))
     if use_notch:
         sos = np.concatenate([sos, K.notch(50.0, 30.0, float(rate))])
-    channels = list(channels)
-
-    def run(state, pdf):
-        y, exit_state = K.apply(sos, pdf[channels].to_numpy(), state)
-        return exit_state.tolist(), pd.DataFrame({n: pdf[n].to_numpy(), **{c: y[:, i] for i, c in enumerate(channels)}})
-
-    return chunked_fold(df.select(*keys, chunk, n, *channels), keys, [n], chunk, run, None,
-                        f"{n} bigint, " + ", ".join(f"{c} double" for c in channels))
+    return filtered(df, keys, n, chunk, channels, sos)
 
 
 def overlap_map(df: DataFrame, keys, n: str, channels, rows: int, before: int, after: int, fn, schema: str) -> DataFrame:

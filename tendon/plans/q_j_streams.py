@@ -6,16 +6,16 @@ from pyspark.sql import functions as F
 from ..functions import labels as N
 from ..functions.columns import argmax, r6
 from ..functions.decoder import greedy_decoder
+from ..operators import events as E
 from ..operators import onset, steps
 from ..operators import quality as Q
 from ..operators import readiness as G
 from ..operators import reports as R
 from ..operators import windows as W
-from ..operators.folds import by_row, chunked_fold
 from ..operators.ordered import block, exact_quantiles, micros
 from ..runtime import scratch
 from ..streaming import stateful as Z
-from ..streaming.estimator import SCHEMA, estimator
+from ..streaming.estimator import SCHEMA, estimates, estimator
 from .q_b_ordered import BLK
 from .q_f_folds import HOUR, NAME_SQL, NAMES, fold_sql
 from .q_g_signal import CH, long_trials
@@ -88,7 +88,7 @@ WITH e AS (SELECT user_id, event_id id, epoch_us(ts)//1000 - CASE WHEN event_id%
 SELECT user_id, t, id FROM (SELECT *, max(t) OVER (PARTITION BY user_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) m FROM e) WHERE m IS NULL OR t>m""")
 def t04(spark, root):
     e = table(spark, root, "events").select("user_id", F.col("event_id").alias("id"), (F.floor(micros("ts") / 1000) - F.when(F.col("event_id") % 13 == 0, 7_200_000 * 3).otherwise(0)).alias("t"))
-    r = Z.Replay(spark, e, "late", "id")  # arrival order is the id
+    r = Z.Replay(spark, e, "late", "id", keys=["user_id"])  # arrival order is the id
     return Z.to_table(Z.accepted(r.stream, ["user_id"]), "t04", r)
 
 
@@ -108,18 +108,18 @@ RUN = estimator(tiny_model, CH, CH[:3], emg_scale=50.0)
 
 @query("t05_state_estimates")
 def t05(spark, root):
-    return chunked_fold(device_rows(spark, root), ["trial"], ["t"], "blk", RUN, None, SCHEMA)
+    return estimates(device_rows(spark, root), ["trial"], "blk", tiny_model, CH, CH[:3], emg_scale=50.0)
 
 
 @query("t05_state_estimates_stream")
 def t05s(spark, root):
-    r = Z.Replay(spark, device_rows(spark, root), "devices", "t")
+    r = Z.Replay(spark, device_rows(spark, root), "devices", "t", keys=["trial"])
     return Z.to_table(Z.stateful(r.stream, ["trial"], ["t"], RUN, None, SCHEMA), "t05", r)
 
 
 def named_replay(spark, root):
     d = samples(spark, root).select("trial_id", N.lookup(NAMES, F.col("event_type")).alias("name"), micros("ts").alias("t"))
-    return Z.Replay(spark, d, "named", "t", "micros")
+    return Z.Replay(spark, d, "named", "t", "micros", keys=["trial_id"])
 
 
 @query("t07_debounce_stream")
@@ -141,21 +141,21 @@ ORACLES["t11_press_release_stream"] = ORACLES["t11_press_release"]
 @query("t06_phases_stream", sql=ORACLES["t06_phases"])
 def t06s(spark, root):
     from .q_f_folds import label_frames
-    r = Z.Replay(spark, label_frames(spark, root).drop("blk"), "labels", "n")
+    r = Z.Replay(spark, label_frames(spark, root).drop("blk"), "labels", "n", keys=["trial"])
     return Z.to_table(Z.phases(r.stream, ["trial_id"]), "phases", r)
 
 
 @query("t08_gesture_events_stream", sql=ORACLES["t08_gesture_events"])
 def t08s(spark, root):
     from .q_f_folds import control_frames
-    r = Z.Replay(spark, control_frames(spark, root).drop("slot"), "frames", "t")
+    r = Z.Replay(spark, control_frames(spark, root).drop("slot"), "frames", "t", keys=["user_id"])
     return Z.to_table(Z.gestures(r.stream, ["user_id"], 14_400_000), "gestures", r)
 
 
 @query("t09_timeout_stream")
 def t09s(spark, root):
     from .q_f_folds import control_frames
-    r = Z.Replay(spark, control_frames(spark, root).drop("slot"), "timeout", "t")
+    r = Z.Replay(spark, control_frames(spark, root).drop("slot"), "timeout", "t", keys=["user_id"])
     return Z.to_table(Z.gestures_with_timeout(r.stream, ["user_id"], 28_800_000), "timeouts", r)
 
 
@@ -163,7 +163,7 @@ def t09s(spark, root):
 def t10s(spark, root):
     k, n = F.col("k"), F.col("n")
     d = samples(spark, root).select("trial_id", "n", (k / 100.0).alias("index_press"), ((k * 7) % 100 / 100.0).alias("index_release"), ((k * 13 + n) % 100 / 100.0).alias("thumb_up"))
-    r = Z.Replay(spark, d, "probs", "n")
+    r = Z.Replay(spark, d, "probs", "n", keys=["trial_id"])
     return Z.to_table(Z.threshold_events(r.stream, ["trial_id"], ("index_press", "index_release", "thumb_up"), (0.55, 0.55, 0.55), 3), "t10", r)
 
 
@@ -173,7 +173,7 @@ def t10s(spark, root):
 def t14(spark, root):
     w = W.window_agg(samples(spark, root).select("trial_id", "n", "t_ms", "c0"), ["trial_id"], [F.max("t_ms").alias("t"), Q.rolling_reasons(("c0",), 60.0).alias("reasons")], size=8, hop=4)
     bad = w.where("reasons LIKE '%clipping%'").select("trial_id", "t", F.lit("alert").alias("name"), F.floor(F.col("t") / 1_000_000).alias("slot"))
-    return chunked_fold(bad, ["trial_id"], ["t"], "slot", by_row(steps.debounce(60, ()), ("t", "name")), None, "t bigint, name string").select("trial_id", "t")
+    return E.debounce(bad, ["trial_id"], "slot", 60, ()).select("trial_id", "t")
 
 
 CAL_SQL = """WITH f AS (SELECT trial_id, median(v)/16 s FROM (SELECT trial_id, unnest([abs(c0),abs(c1)]) v FROM samples WHERE n<20) GROUP BY 1)
@@ -192,7 +192,7 @@ def t15(spark, root):
 @query("t15_calibrate_run_stream", views="samples", sql=CAL_SQL)
 def t15s(spark, root):
     d = samples(spark, root).select("trial_id", "n", "c0", "c1")
-    r = Z.Replay(spark, d, "cal", "n")
+    r = Z.Replay(spark, d, "cal", "n", keys=["trial_id"])
     return Z.to_table(Z.calibrate_run(r.stream, ["trial_id"], 20, ("c0", "c1")), "t15", r).select("trial_id", "n", r6("c0", "c0"), r6("c1", "c1"))
 
 

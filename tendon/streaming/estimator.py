@@ -1,16 +1,23 @@
-"""Live state estimate per device: filter, window, quality, score, phases, lag in one chunk fold.
+"""State estimate per device: filter, window, quality, score, phases, lag.
 
-The same `run` serves the stream (state store) and the batch twin (chunked
-fold), so both give the same rows.
+A stream runs them row by row in `estimator`, whose state lies in the state store. Over a table `estimates` gives the same rows as DataFrame jobs: the
+filter is an affine scan, windows come from blocks with a halo, phases and onsets follow from the windows; only the model and what it reads is Python.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions import filters as K
-from ..operators import steps
+from ..operators import events, steps
+from ..operators.affine import filtered
+from ..operators.ordered import number_rows, running, scan
+from ..operators.signal_jobs import overlap_map
+from ..operators.transforms import finite
+from ..runtime import cut
 
 SCHEMA = "t bigint, direction int, gesture int, arm_phase int, hand_phase int, lag bigint, activation double, motion double, emg_quality double, imu_quality double"
 NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
@@ -25,12 +32,24 @@ def _quality(emg, imu, size):
     return e, i
 
 
+def unit(v) -> float:
+    return float(min(1.0, max(0.0, v)))
+
+
+def score_window(model, raw, clean, imu, size, minimum_quality, emg_scale) -> tuple:
+    """(direction, gesture, activation, motion, EMG quality, IMU quality) of one window; a head without quality is unknown."""
+    fe, fi = clean / emg_scale, np.nan_to_num(imu, nan=0.0, posinf=0.0, neginf=0.0)
+    qe, qi = _quality(raw, imu, size)
+    d, _, g, _ = model(fe, fi)
+    return (d if qi >= minimum_quality else -1, g if qe >= minimum_quality else -1, unit(np.median(np.sqrt((fe ** 2).mean(axis=0)))),
+            unit(np.sqrt((fi ** 2).sum(axis=1).mean())), unit(qe), unit(qi))
+
+
 def estimator(model, emg_columns, imu_columns, rate=200.0, size=40, hop=8, low=20.0, high=90.0, minimum_quality=0.5, lag_limit=600, emg_scale=1.0):
     """`model(emg window, imu window) -> (direction, q, gesture, q)`. Rows: t (must grow) and the channels."""
     sos = K.bandpass(4, low, high, float(rate))
     arm, hand = steps.phase_tracker(), steps.phase_tracker()
     emg_columns, imu_columns = list(emg_columns), list(imu_columns)
-    unit = lambda v: float(min(1.0, max(0.0, v)))
 
     def run(state, pdf):
         s = state or {"zi": None, "last": -1, "buf": [], "since": 0, "arm": [0, 0, 0, 0], "hand": [0, 0, 0, 0], "onset": [None, None]}
@@ -51,11 +70,7 @@ def estimator(model, emg_columns, imu_columns, rate=200.0, size=40, hop=8, low=2
                 since = 0
                 w = rows[before + i + 1 - size:before + i + 1]
                 c = emg.shape[1]
-                raw, fe, fi = w[:, :c], w[:, c:2 * c] / emg_scale, np.nan_to_num(w[:, 2 * c:], nan=0.0, posinf=0.0, neginf=0.0)
-                qe, qi = _quality(raw, w[:, 2 * c:], size)
-                d, _, g, _ = model(fe, fi)
-                d = d if qi >= minimum_quality else -1
-                g = g if qe >= minimum_quality else -1
+                d, g, act, mov, qe, qi = score_window(model, w[:, :c], w[:, c:2 * c], w[:, 2 * c:], size, minimum_quality, emg_scale)
                 s["arm"], [(_, ds, dp)] = arm(s["arm"], {"n": 0, "label": d})
                 s["hand"], [(_, gs, gp)] = hand(s["hand"], {"n": 0, "label": g})
                 on = s["onset"]
@@ -63,10 +78,40 @@ def estimator(model, emg_columns, imu_columns, rate=200.0, size=40, hop=8, low=2
                 on[1] = int(t[i]) if gp == steps.ONSET else on[1]
                 gap = None if None in on else on[1] - on[0]
                 gap = gap if gap is not None and abs(gap) <= lag_limit else None
-                act = unit(np.median(np.sqrt((fe ** 2).mean(axis=0))))
-                mov = unit(np.sqrt((fi ** 2).sum(axis=1).mean()))
-                out.append((int(t[i]), ds, gs, dp, gp, gap, act, mov, unit(qe), unit(qi)))
+                out.append((int(t[i]), ds, gs, dp, gp, gap, act, mov, qe, qi))
             s.update(zi=zi.tolist(), last=int(t[-1]), since=since, buf=[[None if not np.isfinite(v) else v for v in r] for r in rows[-(size - 1):]])
         return s, pd.DataFrame(out, columns=NAMES)
 
     return run
+
+
+def estimates(df: DataFrame, keys, chunk: str, model, emg_columns, imu_columns, rate=200.0, size=40, hop=8, low=20.0, high=90.0, minimum_quality=0.5, lag_limit=600, emg_scale=1.0,
+              block_rows=65_536) -> DataFrame:
+    """The rows that `estimator` would give over each key of a table. Reads t and the channels; `chunk` follows t. Windows end at row `size` and every `hop` rows after it."""
+    keys, emg, imu = list(keys), list(emg_columns), list(imu_columns)
+    channels = list(dict.fromkeys([*emg, *imu]))
+    d = scan(df.select(*keys, chunk, "t", *channels), keys, ["t"], {"__t": running("lag", "t")}, [[chunk]]).where(F.col("t") > F.coalesce("__t", F.lit(-1)))
+    d = number_rows(d.drop("__t"), keys, ["t"], "n", [[chunk]]).withColumn("blk", F.floor(F.col("n") / block_rows))
+    d = d.select(*keys, "blk", "n", F.col("t").cast("double").alias("t"), *[F.col(c).cast("double").alias(c) for c in channels], *[F.when(finite(F.col(c)), F.col(c)).otherwise(0.0).cast("double").alias(f"{c}_in") for c in emg])
+    d = filtered(d, keys, "n", "blk", [f"{c}_in" for c in emg], K.bandpass(4, low, high, float(rate)), ["t", *channels], "_clean")
+    columns = ["t", *channels, *[f"{c}_in_clean" for c in emg]]
+    raw, seen = [1 + channels.index(c) for c in emg], [1 + channels.index(c) for c in imu]
+    clean = slice(1 + len(channels), None)
+
+    def windows(n, x):
+        made = []
+        for i in np.flatnonzero((n >= size - 1) & ((n - (size - 1)) % hop == 0)):
+            if i + 1 >= size:
+                w = x[i + 1 - size:i + 1]
+                made.append((int(n[i]), int(x[i, 0]), *score_window(model, w[:, raw], w[:, clean], w[:, seen], size, minimum_quality, emg_scale)))
+        return pd.DataFrame(made, columns=["n", "t", "d", "g", "activation", "motion", "emg_quality", "imu_quality"]).astype({c: "int64" for c in ("n", "t", "d", "g")})
+
+    w = cut(overlap_map(d, keys, "n", columns, block_rows, size - 1, 0, windows, "n bigint, t bigint, d bigint, g bigint, activation double, motion double, emg_quality double, imu_quality double"))
+    w = w.withColumn("slot", F.floor(F.col("n") / block_rows))
+    for name, label in (("arm", "d"), ("hand", "g")):
+        p = events.phases(w.select(*keys, "slot", "n", F.col(label).alias("label")), keys, "slot")
+        w = w.join(p.select(*keys, "n", F.col("stable").alias(f"{name}_label"), F.col("phase").alias(f"{name}_phase")), [*keys, "n"])
+    onset = {f"{name}_at": running("last", F.when(F.col(f"{name}_phase") == steps.ONSET, F.col("t"))) for name in ("arm", "hand")}
+    w = scan(w, keys, ["n"], onset, [["slot"]]).withColumn("lag", F.col("hand_at") - F.col("arm_at"))
+    return w.select(*keys, "t", F.col("arm_label").cast("int").alias("direction"), F.col("hand_label").cast("int").alias("gesture"), F.col("arm_phase").cast("int").alias("arm_phase"),
+                    F.col("hand_phase").cast("int").alias("hand_phase"), F.when(F.abs("lag") <= lag_limit, F.col("lag")).alias("lag"), "activation", "motion", "emg_quality", "imu_quality")

@@ -1,26 +1,29 @@
 """State machines and sinks on Structured Streaming.
 
-A stream runs the same step functions as the batch operators. State is one JSON
-string per key in the state store; rows of a micro-batch are ordered inside
-their key before the fold.
+A stream runs the same step functions as the batch operators. The machine's state is one JSON string per key in the state
+store; rows that wait for the watermark lie beside it in small blocks keyed by event time, so no state value grows with the table.
 """
 
 from __future__ import annotations
 
 import json
-import pickle
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from ..operators import steps
 from ..operators.folds import by_row
 from ..runtime import cut, scratch
 
+#: Rows of one block of waiting rows, and event-time slots into which the lateness of a stream is cut.
+BLOCK_ROWS, SLOTS = 1024, 16
+#: Rows of one key that a slice of a replayed table may bring.
+SLICE_ROWS = 20_000
 
 AT = "__us"  # event time of a row in microseconds
 
@@ -31,70 +34,156 @@ def timed(stream: DataFrame, column: str, late: int, unit: str = "millis", shift
     A stream's watermark begins at 1970, and rows up to it count as late: `shift` is added to counters that begin at zero or below.
     """
     at = {"millis": F.timestamp_millis, "micros": F.timestamp_micros}[unit](F.col(column).cast("long") + shift)
-    return stream.withColumn("__at", at).withColumn(AT, F.unix_micros("__at")).withWatermark("__at", f"{late} {'milliseconds' if unit == 'millis' else 'microseconds'}")
+    out = stream.withColumn("__at", at).withColumn(AT, F.unix_micros("__at")).withWatermark("__at", f"{late} {'milliseconds' if unit == 'millis' else 'microseconds'}")
+    out.slot_us = max(1, late * (1000 if unit == "millis" else 1) // SLOTS)
+    return out
+
+
+def _packed(rows: pd.DataFrame) -> bytes:
+    """Rows as Arrow, in order, which a later schema check can read again."""
+    table = pa.Table.from_pandas(rows, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as w:
+        w.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(data).read_all().to_pandas()
+
+
+class Machine(StatefulProcessor):
+    """Folds the rows of a key in event-time order once the watermark has passed them.
+
+    State of a key: `machine`, one value of the machine's state, the index of the blocks that wait, the timer, and up to BLOCK_ROWS waiting rows; `waiting`, a map from
+    (slot of event time, block number) to as many rows. Rows beyond BLOCK_ROWS go to the map; a batch only adds blocks there and a passed watermark only takes whole
+    slots out (rows of the slot that it cuts stay), so every value is bounded, however many rows wait. An event-time timer stands at the
+    first row that waits, or where `idle` asks to be woken.
+    """
+
+    def __init__(self, columns, keys, order, run: Callable, start, names, idle: Callable | None, slot: int):
+        self.columns = list(columns)
+        self.keys, self.order, self.run, self.start, self.names, self.idle, self.slot = list(keys), list(order), run, json.dumps(start), list(names), idle, slot
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.machine = handle.getValueState("machine", "state string, blocks string, number bigint, timer bigint, recent binary")
+        self.waiting = handle.getMapState("waiting", "slot bigint, block bigint", "rows binary")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        if any(pd.isna(k) for k in key):  # a row without key only moves the watermark
+            return
+        yield from self._fold(key, rows, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        yield from self._fold(key, (), timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+
+    def close(self) -> None:
+        pass
+
+    def _fold(self, key, rows, mark_ms: int, expired: int | None = None) -> Iterator[pd.DataFrame]:
+        mark = mark_ms * 1000
+        state, blocks, number, timer, recent = self.machine.get() or (self.start, "[]", 0, None, None)
+        blocks, now, timer = [tuple(b) for b in json.loads(blocks)], json.loads(state), None if timer == expired else timer
+        recent = _unpacked(bytes(recent)) if recent else None
+        for pdf in rows:
+            pdf.columns = self.columns
+            recent = pdf if recent is None else pd.concat([recent, pdf], ignore_index=True)
+            if len(recent) > BLOCK_ROWS:
+                for slot, part in recent.groupby(recent[AT] // self.slot):
+                    for at in range(0, len(part), BLOCK_ROWS):
+                        self.waiting.updateValue((int(slot), number), (_packed(part.iloc[at:at + BLOCK_ROWS]),))
+                        blocks.append((int(slot), number))
+                        number += 1
+                recent = None
+        due = [b for b in sorted(blocks) if b[0] * self.slot <= mark]
+        blocks = [b for b in blocks if b[0] * self.slot > mark]
+        while due or recent is not None and len(recent) and recent[AT].min() <= mark:
+            parts, upto = [], due[0][0] if due else None
+            while due and (due[0][0] == upto or sum(map(len, parts)) < BLOCK_ROWS):  # whole slots, about a block of rows at a time
+                upto = due[0][0]
+                parts.append(_unpacked(bytes(self.waiting.getValue(due[0])[0])))
+                self.waiting.removeKey(due.pop(0))
+            if recent is not None:
+                own = recent[AT] < (upto + 1) * self.slot if due else recent[AT] <= mark
+                parts.append(recent[own])
+                recent = recent[~own]
+            pdf = pd.concat(parts, ignore_index=True)
+            ready, rest = pdf[pdf[AT] <= mark], pdf[pdf[AT] > mark]
+            for at in range(0, len(rest), BLOCK_ROWS):
+                part = rest.iloc[at:at + BLOCK_ROWS]
+                self.waiting.updateValue((int(mark // self.slot), number), (_packed(part),))
+                blocks.append((int(mark // self.slot), number))
+                number += 1
+            if len(ready):
+                now, out = self.run(now, ready.sort_values(self.order, kind="stable").reset_index(drop=True))
+                yield self._rows(key, out)
+        recent = None if recent is None or not len(recent) else recent
+        waits = [max(s * self.slot, mark + 1) for s, _ in blocks] + ([int(recent[AT].min())] if recent is not None else [])
+        first = min(waits) if waits else None
+        if self.idle and first is None:
+            now, out, first = self.idle(now, mark)
+            if out:
+                yield self._rows(key, pd.DataFrame(out, columns=self.names))
+        if first is not None:
+            wake = max(-(-first // 1000), mark_ms + 1)
+            if wake != timer:
+                self.handle.registerTimer(wake)
+                timer = wake
+        self.machine.update((json.dumps(now), json.dumps(blocks), number, timer, None if recent is None else _packed(recent)))
+
+    def _rows(self, key, out: pd.DataFrame) -> pd.DataFrame:
+        out = out[self.names].astype(object).where(out[self.names].notna(), None)
+        for i, c in enumerate(self.keys):
+            out.insert(i, c, key[i])
+        return out
+
+
+#: Where Spark keeps states made of several variables.
+PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def stateful(stream: DataFrame, keys, order, run: Callable, start, schema: str, idle: Callable | None = None) -> DataFrame:
     """Fold a stream (made by `timed`) per key with `run(state, rows) -> (state, output rows)`.
 
     Rows wait in the state until the watermark has passed them and are then folded in event-time order, so neither the order of
-    files nor the cut into micro-batches shows in the result. The state holds the machine's state and the rows of one key that are
-    younger than the watermark. `idle(state, watermark) -> (state, output rows, next deadline)` is asked when no row waits (times in microseconds).
+    files nor the cut into micro-batches shows in the result. The state holds the machine's state and, in blocks, the rows of one key that are
+    younger than the watermark. `idle(state, watermark) -> (state, output rows, next deadline)` is asked when no row waits (times in microseconds). `order` must begin
+    with the event time or follow it: rows of different times are folded in the order of these.
     """
-    keys, order = list(keys), list(order)
+    keys = list(keys)
+    stream.sparkSession.conf.set(*PROVIDER)
     names = [f.name for f in T.StructType.fromDDL(schema).fields]
     kinds = ", ".join(f"`{c}` {stream.schema[c].dataType.simpleString()}" for c in keys)
-    blank = json.dumps(start)
-
-    def step(key, parts, state):
-        now, held = state.get if state.exists else (blank, None)
-        frames = [pickle.loads(held)] if held else []
-        if not state.hasTimedOut:
-            frames += list(parts)
-        pdf = pd.concat(frames, ignore_index=True) if frames else None
-        mark = state.getCurrentWatermarkMs() * 1000
-        made, deadline, named = [], None, not any(pd.isna(k) for k in key)  # a row without key only moves the watermark
-        if pdf is not None:
-            due = pdf[AT] <= mark
-            ready, pdf = pdf[due], pdf[~due]
-            if len(ready) and named:
-                fresh, out = run(json.loads(now), ready.sort_values(order, kind="stable").reset_index(drop=True))
-                now = json.dumps(fresh)
-                made.append(out)
-            if len(pdf):
-                deadline = int(pdf[AT].min())
-        if idle and deadline is None and named:
-            fresh, out, deadline = idle(json.loads(now), mark)
-            now = json.dumps(fresh)
-            made.append(pd.DataFrame(out, columns=names))
-        state.update((now, pickle.dumps(pdf) if pdf is not None and len(pdf) else None))
-        if deadline is not None:
-            state.setTimeoutTimestamp(max(-(-deadline // 1000), mark // 1000 + 1))
-        for out in made:
-            out = out[names].astype(object).where(out[names].notna(), None)
-            for i, c in enumerate(keys):
-                out.insert(i, c, key[i])
-            yield out
-
-    return stream.groupBy(*keys).applyInPandasWithState(step, f"{kinds}, {schema}", "state string, held binary", "append", GroupStateTimeout.EventTimeTimeout)
+    machine = Machine(stream.columns, keys, order, run, start, names, idle, getattr(stream, "slot_us", 1_000_000))
+    plain = stream.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(stream.columns)])  # names that any row type can hold
+    return plain.groupBy(*[f"c{stream.columns.index(k)}" for k in keys]).transformWithStateInPandas(machine, f"{kinds}, {schema}", "append", "eventTime")
 
 
 class Replay:
     """A table as a stream of files in the shared folder.
 
-    The table is written once, in `slices` of event time; the slices are moved into the stream's folder one after the other. Rows
+    The table is written once, in slices of event time; the slices are moved into the stream's folder one after the other. Rows
     are in no order inside a slice, so they come at most one slice late, and the watermark follows by that much.
+    There are so many slices that none brings more than `slice_rows` rows of one key (of `keys`; without them, of all), unless they share one time.
     """
 
-    def __init__(self, spark, d: DataFrame, name: str, order: str, unit: str = "millis", slices: int = 4, files: int | None = None):
+    def __init__(self, spark, d: DataFrame, name: str, order: str, unit: str = "millis", slices: int = 4, files: int | None = None, keys=(), slice_rows: int = SLICE_ROWS):
         self.spark, self.order, self.path, self.staged = spark, order, scratch(spark, name), scratch(spark, f"{name}-staged")
         d = cut(d)
         low, high = d.agg(F.min(order), F.max(order)).first()
         self.low, self.high = (low, high) if low is not None else (0, 0)
-        width = max(1, -(-(self.high - self.low + 1) // slices))
+        span = self.high - self.low + 1
+        while True:
+            width = max(1, -(-span // slices))
+            slot = F.floor((F.col(order) - self.low) / width)
+            most = d.groupBy(*keys, slot.alias("__slice")).count().agg(F.max("count")).first()[0] or 0
+            if most <= slice_rows or width == 1:
+                break
+            slices *= max(2, min(16, -(-most // slice_rows)))
         self.late = width + 1
-        self.slices = slices
-        d.withColumn("__slice", F.floor((F.col(order) - self.low) / width)).write.partitionBy("__slice").parquet(self.staged)
+        self.slices = -(-span // width)
+        d.withColumn("__slice", slot).write.partitionBy("__slice").parquet(self.staged)
         self._fs().mkdirs(self._at(self.path))
         source = spark.readStream.schema(d.schema)
         self.stream = timed((source.option("maxFilesPerTrigger", files) if files else source).parquet(self.path), order, self.late, unit, max(0, 1000 - self.low))
@@ -112,7 +201,7 @@ class Replay:
             folder = self._at(f"{self.staged}/__slice={k}")
             if self._fs().exists(folder):
                 for f in self._fs().listStatus(folder):
-                    self._fs().rename(f.getPath(), self._at(f"{self.path}/{k:03d}-{f.getPath().getName()}"))
+                    self._fs().rename(f.getPath(), self._at(f"{self.path}/{k:06d}-{f.getPath().getName()}"))
                 query.processAllAvailable()
         for k in (4, 8):
             end = self.spark.range(1).select(*[F.lit(self.high + k * self.late + 10_000_000_000 if f.name == self.order else None).cast(f.dataType).alias(f.name) for f in self.columns])
