@@ -172,31 +172,37 @@ def place_events(scores: DataFrame, events: DataFrame, key: str, delays: tuple[i
 
 
 def align_sessions(frames: DataFrame, events: DataFrame, key: str, offsets=(-10, 10), delays=(4, 60), first_delay=22, gap=2,
-                   tolerance=0, limit=50) -> DataFrame:
+                   tolerance=0, limit=50, settle=2, reference: DataFrame | None = None, reach=5) -> DataFrame:
     """All sessions at once: templates, scores and placement repeated for each session until its delays stop moving.
 
-    A session whose delays moved by at most `tolerance` is done and leaves the rounds, so a slow one holds back no other. `converged` is
-    false for sessions that still moved after `limit` rounds; their last placement is returned. Only the delay per event is
-    carried between rounds; it is written to the shared folder, so the plan stays short and survives lost executors.
-    Returns (session, event_id, class, cue, delay, score, confidence columns, converged).
+    A session whose delays moved by at most `tolerance` has converged; it takes up to `settle` more rounds, until nothing moves, and leaves, so a slow one holds
+    back no other. `converged` is false for sessions that still moved by more after `limit` rounds; their last placement is returned. Only the delay per event and the
+    settled rounds per session are carried between rounds; they are written to the shared folder, so the plan stays short and survives lost executors.
+    Alignment within a session leaves a common shift of a class open. With `reference` (class, o, x), such as `reference_templates`, every session's final templates are
+    shifted against it by up to `reach` frames, and `recentred` is the delay after that shift; without it, or for a class that it lacks, the shift is 0.
+    Returns (session, event_id, class, cue, delay, score, confidence columns, converged, shift, recentred).
     """
     frames = cut(frames.select(key, "frame", "x"))
     events = cut(events.select(key, "event_id", "class", "cue"))
     width = offsets[1] - offsets[0] + 1
     delay = events.select(key, "event_id", F.lit(first_delay).alias("delay"))
     open_events, open_frames, done = events, frames, []
+    settled_rounds = events.select(key).distinct().withColumn("settled", F.lit(0))
     for i in range(limit):
         centers = open_events.join(delay, [key, "event_id"]).withColumn("center", F.col("cue") + F.col("delay"))
         tpl = centre_templates(fit_templates(open_frames, centers, key, offsets), [key, "class"])
         scores = cut(score_own_session(open_events, open_frames, tpl, key, width, delays))
         fresh = cut(place_events(scores, open_events, key, delays, gap))
         moved = cut(fresh.join(delay.withColumnRenamed("delay", "old"), [key, "event_id"]).groupBy(key)
-                    .agg((F.max(F.abs(F.col("delay") - F.col("old"))) > tolerance).alias("open")))
+                    .agg(F.max(F.abs(F.col("delay") - F.col("old"))).alias("by")).join(settled_rounds, key)
+                    .select(key, "by", F.when((F.col("settled") > 0) | (F.col("by") <= tolerance), F.col("settled") + 1).otherwise(0).alias("settled"))
+                    .select(key, "settled", ((F.col("by") > 0) & (F.col("settled") <= settle)).alias("open"), (F.col("settled") > 0).alias("converged")))
         last = i == limit - 1
-        settled = moved if last else moved.where("NOT open")
+        settled = (moved if last else moved.where("NOT open")).select(key, "converged")
         took = scores.groupBy(key, "event_id").agg(F.map_from_entries(F.collect_list(F.struct("delay", "score"))).alias("m"))
-        done.append(fresh.join(small(settled), key).join(took, [key, "event_id"], "left").withColumn("converged", ~F.col("open")).drop("open"))
+        done.append(fresh.join(small(settled), key).join(took, [key, "event_id"], "left"))
         still = moved.where("open").select(key)
+        settled_rounds = moved.where("open").select(key, "settled")
         if last or still.isEmpty():
             break
         open_events = cut(open_events.join(small(still), key, "left_semi"))
@@ -204,7 +210,27 @@ def align_sessions(frames: DataFrame, events: DataFrame, key: str, offsets=(-10,
         delay = fresh.join(small(still), key, "left_semi")
     d = events.join(reduce(DataFrame.unionByName, done), [key, "event_id"]).withColumn(
         "scores", F.transform(F.sequence(F.lit(delays[0]), F.lit(delays[1])), lambda x: F.coalesce(F.try_element_at("m", x), F.lit(-1.0))))
-    return peak_quality(d, "scores").drop("m", "scores")
+    d = cut(peak_quality(d, "scores").drop("m", "scores"))
+    if reference is None:
+        return d.withColumn("shift", F.lit(0)).withColumn("recentred", F.col("delay"))
+    own = final_templates(frames, d, key, offsets)
+    shifts = recenter(own, reference, [key], "class", reach).select(key, "class", F.col("shift").cast("int").alias("shift"))
+    d = d.join(small(shifts), [key, "class"], "left").withColumn("shift", F.coalesce("shift", F.lit(0)))
+    return d.withColumn("recentred", F.col("delay") + F.col("shift"))
+
+
+def final_templates(frames: DataFrame, placed: DataFrame, key: str, offsets) -> DataFrame:
+    """(session, class, o, x): the centred templates at the events' final places."""
+    centers = placed.select(key, "event_id", "class", (F.col("cue") + F.col("delay")).alias("center"))
+    return centre_templates(fit_templates(frames, centers, key, offsets), [key, "class"]).select(key, "class", "o", F.col("tpl").alias("x"))
+
+
+def reference_templates(templates: DataFrame, key: str, minimum=2) -> DataFrame:
+    """(class, o, x): mean over sessions of their templates; a class with fewer sessions than `minimum` is left out."""
+    mean = templates.groupBy("class", "o").agg(vector_to_array(Summarizer.mean(array_to_vector("x"))).alias("x"), F.countDistinct(key).alias("n"))
+    return mean.where(F.col("n") >= minimum).select("class", "o", "x")
+
+
 
 
 def score_own_session(events, frames, templates, key, width, delays) -> DataFrame:

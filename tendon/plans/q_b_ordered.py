@@ -158,9 +158,9 @@ def w18(spark, root):
 
 
 @query("w20_sample_index", views="packets", sql="""
-SELECT session_no, event_id, row_number() OVER (PARTITION BY session_no ORDER BY event_id)-1 AS sample_index FROM packets WHERE packet_seq%9<>0""")
+SELECT session_no, event_id, row_number() OVER (PARTITION BY session_no ORDER BY event_id)-1 AS sample_index FROM packets""")
 def w20(spark, root):
-    p = packets(spark, root).where("packet_seq % 9 <> 0").withColumn("slot", F.floor(F.col("event_id") / 65_536))
+    p = packets(spark, root).withColumn("slot", F.floor(F.col("event_id") / 65_536))
     return S.numbered(p, ["session_no"], ["event_id"], "sample_index", [["slot"]]).select("session_no", "event_id", "sample_index")
 
 

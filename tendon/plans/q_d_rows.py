@@ -79,14 +79,14 @@ def p05(spark, root):
 
 @query("p06_window_eligibility", views="samples win", sql="""
 WITH v AS (SELECT trial_id, j, k%7-1 lab, count(*) c FROM win WHERE k%7-1>=0 GROUP BY 1,2,3), m AS (SELECT trial_id, j, lab FROM (SELECT *, row_number() OVER (PARTITION BY trial_id,j ORDER BY c DESC, lab) r FROM v) WHERE r=1),
-a AS (SELECT trial_id, j, avg((k>=5)::INT) st, avg(1-(k%10)/30.0) q, avg((k<3)::INT) ms, bool_and(k<>99) tv, avg((k<>3)::INT) iv FROM win WHERE trial_id%11<>0 GROUP BY 1,2)
-SELECT a.trial_id, a.j, CAST(lab AS INT) AS label FROM a JOIN m USING (trial_id,j) WHERE st>=0.9 AND q>=0.8 AND ms<=0.1 AND tv AND iv>=0.9""")
+a AS (SELECT trial_id, j, avg((k>=5)::INT) st, avg(1-(k%10)/30.0) q, avg((k<3)::INT) ms, bool_and(k<>99) tv, avg((k<>3)::INT) iv FROM win GROUP BY 1,2)
+SELECT a.trial_id, a.j, a.trial_id%11<>0 AS gate, CAST(lab AS INT) AS label FROM a JOIN m USING (trial_id,j) WHERE st>=0.9 AND q>=0.8 AND ms<=0.1 AND tv AND iv>=0.9""")
 def p06(spark, root):
-    s = samples(spark, root).where("trial_id % 11 <> 0").select(  # trial gate before windowing
+    s = samples(spark, root).select(
         "trial_id", "n", (F.col("k") >= 5).alias("stable"), (1 - (F.col("k") % 10) / 30.0).alias("quality"),
         (F.col("k") < 3).alias("missing"), (F.col("k") != 99).alias("time_ok"), (F.col("k") != 3).alias("imu_ok"), (F.col("k") % 7 - 1).alias("label"))
     w = W.window_agg(s, ["trial_id"], [W.label_mode("label").alias("label"), *W.eligible("stable", "quality", "missing", "time_ok", "imu_ok")], size=8, hop=4)
-    return w.where("ok_stable AND ok_quality AND ok_missing AND ok_time AND ok_imu AND label >= 0").select("trial_id", "j", "label")
+    return w.where("ok_stable AND ok_quality AND ok_missing AND ok_time AND ok_imu AND label >= 0").select("trial_id", "j", (F.col("trial_id") % 11 != 0).alias("gate"), "label")
 
 
 # (source, rate, commercial use allowed, channel policy)

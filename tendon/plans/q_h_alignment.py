@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import r6, total
 from ..operators import events as E
+from ..operators import heads as H
 from ..operators import matching as X
 from ..operators import models as D
 from ..operators import signal_jobs as J
@@ -36,12 +37,12 @@ def a39(spark, root):
 
 @query("a40_event_average", sql="""
 WITH f AS (SELECT vec_id%4 s, vec_id//4 fr, label, embedding FROM embeddings), r AS (SELECT s, min(fr) lo, max(fr) hi FROM f GROUP BY 1),
-e AS (SELECT f.s, label c, fr FROM f JOIN r USING (s) WHERE label<4 AND fr-2>=lo AND fr+2<=hi), n AS (SELECT s, c FROM e GROUP BY 1,2 HAVING count(*)>=3),
+e AS (SELECT f.s, label c, fr FROM f JOIN r USING (s) WHERE fr-2>=lo AND fr+2<=hi), n AS (SELECT s, c FROM e GROUP BY 1,2 HAVING count(*)>=3),
 x AS (SELECT e.s, e.c, o.o, unnest(range(0,64)) i, unnest(g.embedding)::DOUBLE v FROM e JOIN n USING (s,c), range(-2,3) o(o), f g WHERE g.s=e.s AND g.fr=e.fr+o.o)
 SELECT s AS session, c AS class, CAST(o AS INT) AS o, i AS pos, round(avg(v),6) AS value FROM x GROUP BY 1,2,3,4""")
 def a40a(spark, root):
     f = feature_frames(spark, root)
-    ev = f.where("label < 4").select("session", F.col("label").alias("class"), F.col("frame").alias("center"))
+    ev = f.select("session", F.col("label").alias("class"), F.col("frame").alias("center"))
     d = T.event_average(f, ev, "session", (-2, 2))
     return d.select("session", "class", "o", F.posexplode("tpl").alias("pos", "v")).select("session", "class", "o", F.col("pos").cast("bigint").alias("pos"), r6("v", "value"))
 
@@ -49,7 +50,7 @@ def a40a(spark, root):
 @query("a40_response_templates")
 def a40b(spark, root):
     f = feature_frames(spark, root)
-    ev = f.where("label < 4").select("session", F.col("label").alias("class"), F.col("frame").alias("center"))
+    ev = f.select("session", F.col("label").alias("class"), F.col("frame").alias("center"))
     d = T.fit_templates(f, ev, "session", (-2, 2))
     return d.select("session", "class", "o", r6(total(F.col("tpl")), "total"))
 
@@ -71,7 +72,7 @@ def w22(spark, root):
 
 def cue_events(spark, root):
     f = feature_frames(spark, root)
-    return f, f.where("label < 3").select("session", F.col("frame").alias("event_id"), F.col("label").alias("class"), F.col("frame").alias("cue"))
+    return f, f.select("session", F.col("frame").alias("event_id"), F.col("label").alias("class"), F.col("frame").alias("cue"))
 
 
 @query("f06_event_placement")
@@ -79,13 +80,13 @@ def f06(spark, root):
     f, ev = cue_events(spark, root)
     tpl = T.centre_templates(T.fit_templates(f, ev.withColumn("center", F.col("cue") + 2), "session", (-1, 1)), ["session", "class"])
     sc = T.score_own_session(ev, f, tpl, "session", 3, (1, 5))
-    return T.place_events(sc, ev, "session", (1, 5), 2)
+    return T.place_events(sc, ev, "session", (1, 5), 1)
 
 
 @query("f08_session_alignment")
 def f08(spark, root):
     f, ev = cue_events(spark, root)
-    d = T.align_sessions(f, ev, "session", offsets=(-1, 1), delays=(1, 5), first_delay=2, gap=2)
+    d = T.align_sessions(f, ev, "session", offsets=(-1, 1), delays=(1, 5), first_delay=2, gap=1)
     return d.select("session", "event_id", "class", "delay", r6("best", "score"), r6("confidence", "confidence"), "boundary", "reasons", "converged")
 
 
@@ -130,7 +131,23 @@ def pred_conf(spark, root):
     return p.groupBy("truth", "pred").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("a42_threshold_sweep")
+SWEEP_FREE = "list_sort(list_filter(list_transform(range(1, len(x.tr)+1), lambda i: {'d': abs(x.t-x.tr[i]), 'i': i}), lambda s: s.d<=2 AND NOT list_contains(a.used, s.i)))[1]"
+
+
+@query("a42_threshold_sweep", views="samples", sql="""
+WITH pr AS (SELECT trial_id, n, unnest(['index_press','index_release','thumb_up']) cls, unnest([k/100.0, ((k*7)%100)/100.0, ((k*13+n)%100)/100.0]) p FROM samples),
+w AS (SELECT *, lag(p) OVER (PARTITION BY trial_id, cls ORDER BY n) q FROM pr), th AS (SELECT unnest([0.1,0.15,0.2,0.25,0.3,0.35,0.4,0.45,0.5,0.55,0.6,0.65,0.7,0.75,0.8,0.85,0.9]::DOUBLE[]) t),
+pd AS (SELECT trial_id, cls, t AS th, n FROM w, th WHERE t<=p AND (q IS NULL OR t>q)), go AS (SELECT trial_id, CASE WHEN k%2=0 THEN 'index_press' ELSE 'thumb_up' END cls, n FROM samples WHERE k%9=0),
+tr AS (SELECT trial_id, cls, list(n ORDER BY n) tr FROM go GROUP BY 1,2),
+li AS (SELECT p.trial_id, p.cls, p.th, list({'t': p.n, 'tr': coalesce(tr.tr, CAST([] AS BIGINT[])), 'used': CAST([] AS BIGINT[]), 'out': CAST([] AS BIGINT[])} ORDER BY p.n) l
+ FROM pd p LEFT JOIN tr ON tr.trial_id=p.trial_id AND tr.cls=p.cls GROUP BY 1,2,3),
+fo AS (SELECT cls, th, list_reduce(l, lambda a, x: {'t': x.t, 'tr': x.tr, 'used': CASE WHEN FREE IS NULL THEN a.used ELSE list_append(a.used, FREE.i) END,
+  'out': list_append(a.out, x.tr[FREE.i])}, {'t': NULL, 'tr': NULL, 'used': CAST([] AS BIGINT[]), 'out': CAST([] AS BIGINT[])}) r FROM li),
+m AS (SELECT cls, th, count(q) tp, count(*)-count(q) fp FROM (SELECT cls, th, unnest(r.out) q FROM fo) x GROUP BY 1,2),
+n AS (SELECT cls, th.t AS th, c FROM (SELECT cls, count(*) c FROM go GROUP BY 1) g, th),
+f AS (SELECT coalesce(m.cls,n.cls) cls, coalesce(m.th,n.th) th, coalesce(tp,0) tp, coalesce(fp,0) fp, coalesce(c,0)-coalesce(tp,0) fn FROM m FULL JOIN n ON m.cls=n.cls AND m.th=n.th),
+v AS (SELECT *, round(2*tp/greatest(1e-12, 2*tp+fp+fn)::DOUBLE, 12) f1 FROM f)
+SELECT cls, round(th,6) AS threshold, round(f1,6) AS f1 FROM (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY f1 DESC, th) r FROM v) x WHERE r=1""".replace("FREE", f"({SWEEP_FREE})"))
 def a42(spark, root):
     fr = class_frames(spark, root).select("trial_id", "cls", "n", "p")
     truth = samples(spark, root).where("k % 9 = 0").select("trial_id", F.when(F.col("k") % 2 == 0, "index_press").otherwise("thumb_up").alias("cls"), F.col("n").alias("t"))
@@ -182,6 +199,32 @@ def a55(spark, root):
     return out
 
 
+@query("a55_kernel_heads")
+def a55k(spark, root):
+    """The kernel machine and the linear discriminants of both heads, trained on sessions 1 and 2, on session 4."""
+    e = table(spark, root, "embeddings").select("vec_id", "label", (F.col("label") % 4).alias("hand"), F.slice("embedding", 1, 32).alias("imu"), F.slice("embedding", 33, 32).alias("emg"))
+    out = None
+    for head, feat, lab in (("direction", "imu", "label"), ("gesture", "emg", "hand")):
+        train, test = e.where("vec_id % 4 < 2"), e.where("vec_id % 4 = 3")
+        for kind, m in (("kernel", H.fit_kernel_head(train, feat, lab, lift=H.Fourier(128, 0.05))), ("discriminant", H.fit_discriminant(train, feat, lab))):
+            d = m.logits(test, feat, "z").withColumn("guess", F.array_position("z", F.array_max("z")) - 1)
+            a = d.groupBy(F.col(lab).alias("label")).agg(r6(F.avg((F.col("guess") == F.col(lab)).cast("double")), "accuracy")).withColumns({"head": F.lit(head), "kind": F.lit(kind)})
+            out = a if out is None else out.unionByName(a)
+    return out
+
+
+@query("a55_discriminant_moments", sql="""
+WITH e AS (SELECT vec_id, label, unnest(range(1,17)) i, unnest(embedding[1:16])::DOUBLE x FROM embeddings), m AS (SELECT label, i, avg(x) m, count(*) n FROM e GROUP BY 1,2),
+c AS (SELECT e.vec_id, e.i, x-m AS y FROM e JOIN m ON m.label=e.label AND m.i=e.i), f AS (SELECT count(*)-count(DISTINCT label) f FROM embeddings)
+SELECT 'mean' AS part, CAST(label AS INT) AS a, CAST(i-1 AS INT) AS b, round(m,6) AS value FROM m
+UNION ALL SELECT 'covariance', CAST(p.i-1 AS INT), CAST(q.i-1 AS INT), round(sum(p.y*q.y)/any_value(f),6) FROM c p JOIN c q ON p.vec_id=q.vec_id, f GROUP BY p.i, q.i""")
+def a55m(spark, root):
+    e = table(spark, root, "embeddings").select("label", F.slice("embedding", 1, 16).alias("x"))
+    means, cov = H.moments(e, "x", "label")
+    own = means.select(F.lit("mean").alias("part"), F.col("label").cast("int").alias("a"), F.posexplode("mean").alias("b", "value"))
+    return own.select("part", "a", "b", r6("value", "value")).unionByName(cov.select(F.lit("covariance").alias("part"), F.col("i").alias("a"), F.col("j").alias("b"), r6("value", "value")))
+
+
 @query("a56_session_bias")
 def a56(spark, root):
     e = logits(spark, root).select((F.col("vec_id") % 4).alias("session"), "z", "label")
