@@ -60,7 +60,7 @@ def format_chats(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
     do not survive a round trip of their own are escaped, then, should a difference remain, all turns; escaped text holds
     no control string, so the last form always comes back. A form that did not would stop the query.
 
-    Null roles and texts count as empty. Turns go by number (null first), ties by role and text; repeated rows are turns of their own. A
+    Very long texts are written and parsed whole. Null roles and texts count as empty. Turns go by number (null first), ties by role and text; repeated rows are turns of their own. A
     null conversation id is a conversation. An empty table gives no rows. Other columns are not looked at.
     A conversation is one string in the result, so its turns meet in one row; nothing else is gathered.
     """

@@ -55,7 +55,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     (64 MB), which bounds what is broadcast; a fuller filter lets more rows through and the result
     stays exact.
 
-    An empty table gives no rows. Rows that repeat the smallest id of their group are all kept; a
+    Very long texts are hashed whole. An empty table gives no rows. Rows that repeat the smallest id of their group are all kept; a
     null id is never the smallest unless its whole group has none, and then keep_id is null.
     Input columns called like a result give way to it.
     """

@@ -89,7 +89,7 @@ def scan(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col
     Verification: exact containment over the whole text, for the templates retrieved.
 
     Templates are a list of notices, broadcast only if they are few. Texts do not meet one another, so no
-    key is shared by many rows; nothing is shuffled but the rows that matched. Null, empty and short texts match nothing, nor do templates of fewer than WORDS words.
+    key is shared by many rows; nothing is shuffled but the rows that matched. Very long texts are scanned whole. Null, empty and short texts match nothing, nor do templates of fewer than WORDS words.
     Rows that repeat an id or text are scanned each for itself; an empty table gives no rows. Other columns are not looked at.
     """
     known = _shingled(templates, text_of()).withColumn("__set", F.array_distinct("__shingles"))

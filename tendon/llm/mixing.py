@@ -75,7 +75,7 @@ def mix(docs: DataFrame, weights: DataFrame, domain: Column, total: Column | Non
     first digits of the key name a slice, sums per slice find the one in which the rest runs out, and only that slice's
     rows are put in order; all other rows pass without a shuffle, so a leaf with a third of all rows is no single task.
 
-    Null or empty texts have no tokens and are taken when their place in the order lies inside the prefix. Rows that repeat
+    Very long texts are counted whole; one that does not fit what is left of a prefix ends it. Null or empty texts have no tokens and are taken when their place in the order lies inside the prefix. Rows that repeat
     an id are counted each for itself. An empty table gives no rows. Input columns called like a result give way to it.
     """
     names = without(docs, *OUT)

@@ -149,7 +149,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Equal fingerprints are grouped first, so a group of copies is one entry of the index however many rows it has. Links and
     components are made of distinct fingerprints only.
 
-    An empty table gives no rows; rows that repeat an id each get their own row; a null id is never the smallest, and
+    Very long texts are read whole, block by block. An empty table gives no rows; rows that repeat an id each get their own row; a null id is never the smallest, and
     component_id is null where a component has no other. Other columns are not looked at.
     """
     each = saved(fingerprints(docs, id_col, text_col, width, seed), "fingerprints")
