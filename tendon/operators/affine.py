@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..functions import filters as K
+from ..runtime import laid
 
 
 def transition(sos: np.ndarray) -> np.ndarray:
@@ -38,9 +39,6 @@ def filtered(df: DataFrame, keys, order: str, chunk: str, columns, sos: np.ndarr
     at = ", ".join(f"`{c}` {kinds[c]}" for c in where)
     shape = (len(sos), 2, len(columns))
 
-    def laid(d: DataFrame) -> DataFrame:
-        return d.repartition(*where).sortWithinPartitions(*where, order)
-
     def ends(parts):
         now = None  # key, rows, state
         for pdf, found in _pieces(parts, where):
@@ -76,7 +74,7 @@ def filtered(df: DataFrame, keys, order: str, chunk: str, columns, sos: np.ndarr
                 now = key, state
             yield pdf[[*keys, order, *others]].assign(**{f"{c}{suffix}": out[:, i] for i, c in enumerate(columns)})
 
-    rows = laid(df.select(*where, order, *columns)).mapInPandas(ends, f"{at}, __rows bigint, __end array<double>")
+    rows = laid(df.select(*where, order, *columns), where, [order]).mapInPandas(ends, f"{at}, __rows bigint, __end array<double>")
     entries = rows.groupBy(*keys).applyInPandas(chain, f"{at}, __entry array<double>")  # one row per chunk
     out = ", ".join([*[f"`{c}` {kinds[c]}" for c in [*keys, order, *others]], *[f"`{c}{suffix}` double" for c in columns]])
-    return laid(df.select(*where, order, *dict.fromkeys([*columns, *others])).join(entries, where)).mapInPandas(fill, out)
+    return laid(df.select(*where, order, *dict.fromkeys([*columns, *others])).join(entries, where), where, [order]).mapInPandas(fill, out)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..runtime import cut
+from ..runtime import cut, laid
 
 
 class RowFold:
@@ -68,7 +68,7 @@ def grouped_rows(df: DataFrame, where, order, fn: Callable, names, schema: str)
         if held:
             yield _clean(fn(held), names)
 
-    return df.repartition(*where).sortWithinPartitions(*where, *order).mapInPandas(run, schema)
+    return laid(df, where, order).mapInPandas(run, schema)
 
 
 def chunked_fold(df: DataFrame, keys, order, chunk: str, run: Callable, start, schema: str) -> DataFrame:
@@ -114,9 +114,8 @@ def chunked_fold(df: DataFrame, keys, order, chunk: str, run: Callable, start, s
                     made.extend((*key[:-1], *(o[i] for i in pick)) for o in out)
                 yield _clean(made, [*keys, *names])
 
-        laid = lambda d: d.repartition(*where).sortWithinPartitions(*where, *order)
-        ends = lambda d: laid(d).mapInPandas(ends_of, end_schema)
-        emit = lambda d: laid(d).mapInPandas(rows_of, out_schema)
+        ends = lambda d: laid(d, where, order).mapInPandas(ends_of, end_schema)
+        emit = lambda d: laid(d, where, order).mapInPandas(rows_of, out_schema)
     else:
         def fold(pdf: pd.DataFrame):
             return run(json.loads(pdf["__entry"].iloc[0]), pdf.sort_values(order, kind="stable"))
@@ -213,8 +212,7 @@ def blended(df: DataFrame, keys, order: str, chunk: str, columns, weight: float)
 
     names = [*where, "__rows", *[f"__{k}{i}" for k in ("first", "end") for i in range(len(columns))]]
     at = ", ".join(f"`{c}` {kinds[c]}" for c in where)
-    laid = lambda d: d.repartition(*where).sortWithinPartitions(*where, order)
-    rows = laid(df.select(*where, order, *columns)).mapInPandas(ends, f"{at}, __rows bigint, {numbers}")
+    rows = laid(df.select(*where, order, *columns), where, [order]).mapInPandas(ends, f"{at}, __rows bigint, {numbers}")
     entries = rows.groupBy(*keys).applyInPandas(chain, f"{at}, __entry array<double>")
     out = ", ".join([*[f"`{c}` {kinds[c]}" for c in df.columns], *[f"`{c}_mean` double" for c in columns]])
-    return laid(df.join(entries, where).select(*df.columns, "__entry")).mapInPandas(fill, out)
+    return laid(df.join(entries, where).select(*df.columns, "__entry"), where, [order]).mapInPandas(fill, out)

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import cut
+from ..runtime import cut, laid
 from .ordered import running, scan
 
 CHUNK_ROWS = 65_536
@@ -97,10 +97,10 @@ def orbit(df: DataFrame, keys, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     target = F.floor(F.col("next") / chunk_rows)
     entries = rows.where(target > F.col("chunk")).select(*keys, target.alias("chunk"), F.col("next").alias("n")).union(rows.where("n = 0").select(*where, "n")).distinct()
 
-    def laid(marks: DataFrame, columns) -> DataFrame:
+    def marked(marks: DataFrame, columns) -> DataFrame:
         own = rows.select(*where, "n", "next", F.lit(1).alias("__row"), *columns)
         asked = marks.select(*where, "n", F.lit(-1).cast("bigint").alias("next"), F.lit(0).alias("__row"), *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in columns])
-        return own.unionByName(asked).repartition(*where).sortWithinPartitions(*where, "n", "__row")
+        return laid(own.unionByName(asked), where, ["n", "__row"])
 
     def ends(parts):
         for key, pdf in _chunks(parts, where):
@@ -126,7 +126,7 @@ def orbit(df: DataFrame, keys, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
             asked, own = pdf.loc[pdf["__row"] == 0, "n"].to_numpy(), pdf[pdf["__row"] == 1].reset_index(drop=True)
             yield own[[*keys, "n", *others]].assign(kept=reached(own, asked))
 
-    found = laid(entries, []).mapInPandas(ends, f"{at}, entry bigint, exit bigint")
+    found = marked(entries, []).mapInPandas(ends, f"{at}, entry bigint, exit bigint")
     starts = found.groupBy(*keys).applyInPandas(chain, f"{at}, n bigint")  # one row per entry of a chunk
     out = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in [*keys, "n", *others])
-    return laid(starts, others).mapInPandas(fill, f"{out}, kept boolean")
+    return marked(starts, others).mapInPandas(fill, f"{out}, kept boolean")
