@@ -26,6 +26,13 @@ def ordered_values(value, order="n") -> Column:
                        lambda s: s["v"])
 
 
+def ordered_mean(value, order="n") -> Column:
+    """Mean of a bounded group, summed in row order (aggregate): unlike `avg`, its last bits do not depend on where the rows come from, so a mean on a threshold falls on one side."""
+    def mean(values):
+        return F.when(F.size(values) > 0, F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(values))
+    return let(F.filter(ordered_values(col(value).cast("double"), order), lambda x: x.isNotNull()), mean)
+
+
 def label_mode(label) -> Column:
     """Most frequent non-negative label, smallest on ties, -1 if none (aggregate over a bounded group)."""
     def pick(labels):
@@ -36,12 +43,12 @@ def label_mode(label) -> Column:
 
 
 def eligible(stable="stable", quality=None, missing="missing", time_ok=None, imu_ok=None,
-             stable_share=0.9, min_quality=0.8, max_missing=0.1) -> list[Column]:
+             stable_share=0.9, min_quality=0.8, max_missing=0.1, order="n") -> list[Column]:
     """Aggregates `ok_*` whose conjunction is window eligibility."""
     share = lambda c: F.avg(col(c).cast("double"))
     out = [(share(stable) >= stable_share).alias("ok_stable"), (share(missing) <= max_missing).alias("ok_missing")]
     if quality is not None:
-        out.append((F.avg(quality) >= min_quality).alias("ok_quality"))
+        out.append((ordered_mean(quality, order) >= min_quality).alias("ok_quality"))
     if time_ok is not None:
         out.append(F.bool_and(time_ok).alias("ok_time"))
     if imu_ok is not None:
