@@ -124,8 +124,8 @@ SELECT trial_id, j, 8 + CASE WHEN bool_and(k<>99) THEN 1 ELSE 0 END + CASE WHEN
  bool_and(k<>99) AND avg(c0)>0 AND avg(c3)>0 AS valid FROM win GROUP BY 1,2""")
 def p09(spark, root):
     w = W.window_agg(samples(spark, root).select("trial_id", "n", "k", "c0", "c3"), ["trial_id"], [N.quality_flags({
-        "calibrated": F.lit(True), "timestamp_valid": F.bool_and(F.col("k") != 99), "emg_valid": F.avg("c0") > 0,
-        "imu_valid": F.avg("c3") > 0, "interpolated_imu": F.bool_or(F.col("k") == 3), "bad_channels": F.min("k") < 2}).alias("flags")], size=8, hop=4)
+        "calibrated": F.lit(True), "timestamp_valid": F.bool_and(F.col("k") != 99), "emg_valid": W.ordered_mean("c0") > 0,
+        "imu_valid": W.ordered_mean("c3") > 0, "interpolated_imu": F.bool_or(F.col("k") == 3), "bad_channels": F.min("k") < 2}).alias("flags")], size=8, hop=4)
     return w.select("trial_id", "j", "flags", N.flags_valid("flags").alias("valid"))
 
 
