@@ -141,7 +141,7 @@ ORACLES["t11_press_release_stream"] = ORACLES["t11_press_release"]
 @query("t06_phases_stream", sql=ORACLES["t06_phases"])
 def t06s(spark, root):
     from .q_f_folds import label_frames
-    r = Z.Replay(spark, label_frames(spark, root).drop("blk"), "labels", "n", keys=["trial"])
+    r = Z.Replay(spark, label_frames(spark, root).drop("blk"), "labels", "n", keys=["trial_id"])
     return Z.to_table(Z.phases(r.stream, ["trial_id"]), "phases", r)
 
 
