@@ -1,8 +1,13 @@
 """Stream queries next to their SQL."""
 
+import pandas as pd
 from oracle_check import compare, duck
+from test_live_state import Clock, Handle
 
+from tendon.operators import steps
+from tendon.operators.folds import by_row
 from tendon.plans import ORACLES, QUERIES
+from tendon.streaming import stateful as Z
 
 ROOT = "/root/testdata/sf0.001"
 
@@ -11,3 +16,26 @@ def test_phases_stream_equals_its_sql(spark):
     problem, rows, _, _ = compare(spark, duck(ROOT), "t06_phases_stream", QUERIES["t06_phases_stream"], ORACLES["t06_phases_stream"], ROOT)
     assert not problem
     assert rows > 0
+
+
+def test_a_replaced_timer_does_no_work():
+    machine = Z.Machine(["k", "t", "id", Z.AT], ["k"], ["t"], by_row(steps.drop_late(True), ("t", "id")), None, ["t", "id"], None, 1_000)
+    handle = Handle()
+    machine.init(handle)
+    rows = lambda *ts: iter([pd.DataFrame([(1, t, t, t * 1000) for t in ts], columns=["a", "b", "c", "d"])])
+    assert not [*machine.handleInputRows((1,), rows(50), Clock(10))]
+    assert not [*machine.handleInputRows((1,), rows(30), Clock(10))]
+    assert handle.timers == {30, 50}
+    out = [tuple(r) for f in machine.handleExpiredTimer((1,), Clock(60), Clock(30)) for r in f.to_numpy()]
+    assert out == [(1, 30, 30), (1, 50, 50)]
+    assert not [*machine.handleInputRows((1,), rows(90), Clock(60))]
+    held = handle.value.v
+    assert not [*machine.handleExpiredTimer((1,), Clock(60), Clock(50))]
+    assert handle.value.v is held  # nothing was read, packed or written again
+
+
+def test_waiting_rows_come_back_as_they_were():
+    rows = pd.DataFrame({"a": [1, 2, 3], "s": ["x", None, "z"], "b": [True, False, True], "x": [0.5, float("nan"), 1.0], "e": [None, None, None], "at": pd.to_datetime([1, 2, 3], unit="us")})
+    back = Z._unpacked(Z._packed(rows))
+    assert [[None if pd.isna(v) else v for v in r] for r in back.to_numpy()] == [[None if pd.isna(v) else v for v in r] for r in rows.to_numpy()]
+    assert back["s"][1] is None and back["e"][0] is None
