@@ -34,47 +34,56 @@ def first_reaching(df: DataFrame, keys, value: str, n: str, target: Column, slot
     return df.join(told.where("__side = 0").select(*keys, F.col("__n").alias(n), name), [*keys, n])
 
 
-def _chunks(parts: Iterator[pd.DataFrame], where: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
-    """Whole chunks of sorted frames; a chunk has a bounded number of rows."""
-    held, at = [], None
+def _frames(parts: Iterator[pd.DataFrame], where: list[str]) -> Iterator[pd.DataFrame]:
+    """Frames of whole chunks from sorted frames; a chunk has a bounded number of rows."""
+    held = []
     for pdf in parts:
         if not len(pdf):
             continue
-        cuts = np.flatnonzero((pdf[where] != pdf[where].shift()).any(axis=1).to_numpy())
-        for lo, hi in zip(cuts, [*cuts[1:], len(pdf)], strict=True):
-            key = tuple(pdf[c].iat[lo] for c in where)
-            if key != at and held:
-                yield at, pd.concat(held, ignore_index=True)
-                held = []
-            at = key
-            held.append(pdf.iloc[lo:hi])
+        if held and (held[-1][where].iloc[-1] != pdf[where].iloc[0]).any():
+            yield pd.concat(held, ignore_index=True)
+            held = []
+        others = np.flatnonzero((pdf[where] != pdf[where].iloc[-1]).any(axis=1).to_numpy())
+        at = others[-1] + 1 if len(others) else 0
+        if at:
+            yield pd.concat([*held, pdf.iloc[:at]], ignore_index=True)
+            held = []
+        held.append(pdf.iloc[at:])
     if held:
-        yield at, pd.concat(held, ignore_index=True)
+        yield pd.concat(held, ignore_index=True)
 
 
-def _inside(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first n, place that each row points to inside the chunk or -1, n that it points to or -1) of a chunk's rows, dense in n."""
-    n, to = rows["n"].to_numpy(), rows["next"].to_numpy()
-    place = np.where((to >= 0) & (to <= n[-1]), to - n[0], -1)
-    return n, place, to
+def _inside(rows: pd.DataFrame, where: list[str]) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, pd.DataFrame, np.ndarray]:
+    """(rows of whole chunks, n that each points to, place of that in the same chunk or -1, questions, their places or -1 where the key has no such row), all chunks at once."""
+    number = (rows[where] != rows[where].shift()).any(axis=1).to_numpy().cumsum() - 1
+    real = rows["__row"].to_numpy() == 1
+    own, asked, n = rows[real], rows[~real], rows["n"].to_numpy()
+    first, size = np.zeros(number[-1] + 1, np.int64), np.bincount(number[real], minlength=number[-1] + 1)
+    start = size.cumsum() - size
+    at = np.flatnonzero(real)[start[size > 0]]
+    first[size > 0] = n[at]
 
+    def place(to, of):
+        to = np.asarray(to, np.int64)
+        return np.where((to >= first[of]) & (to < first[of] + size[of]), start[of] + to - first[of], -1)
 
-def exits(rows: pd.DataFrame, entries: np.ndarray) -> np.ndarray:
-    """Where the pointers of a chunk lead from each entry: the first n beyond the chunk, -1 for none. By doubling: jumps of 1, 2, 4, ... rows at once."""
-    n, place, to = _inside(rows)
-    last, jump = np.arange(len(n)), place
+    to = own["next"].to_numpy()
+    return own, to, place(to, number[real]), asked, place(asked["n"], number[~real])
+
+
+def exits(to: np.ndarray, place: np.ndarray, entries: np.ndarray) -> np.ndarray:
+    """Where the pointers of chunks lead from each entry: the first n beyond the chunk, -1 for none. By doubling: jumps of 1, 2, 4, ... rows at once."""
+    last, jump = np.arange(len(place)), place
     while (jump >= 0).any():
         last = np.where(jump >= 0, last[jump], last)
         jump = np.where(jump >= 0, jump[jump], -1)
-    return to[last[entries - n[0]]]
+    return to[last[entries]]
 
 
-def reached(rows: pd.DataFrame, entries: np.ndarray) -> np.ndarray:
-    """Whether the pointers of a chunk reach each row from one of `entries`, by doubling."""
-    n, place, _ = _inside(rows)
-    hit = np.zeros(len(n), bool)
-    hit[entries - n[0]] = True
-    jump = place
+def reached(place: np.ndarray, entries: np.ndarray) -> np.ndarray:
+    """Whether the pointers of chunks reach each row from one of `entries`, by doubling."""
+    hit, jump = np.zeros(len(place), bool), place
+    hit[entries] = True
     while (jump >= 0).any():
         to = jump[hit]
         hit[to[to >= 0]] = True
@@ -103,30 +112,30 @@ def orbit(df: DataFrame, keys, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
         return laid(own.unionByName(asked), where, ["n", "__row"])
 
     def ends(parts):
-        for key, pdf in _chunks(parts, where):
-            asked, own = pdf.loc[pdf["__row"] == 0, "n"].to_numpy(), pdf[pdf["__row"] == 1]
-            asked = asked[asked <= own["n"].max()] if len(own) else asked[:0]  # a pointer may lead beyond the last row
+        for rows in _frames(parts, where):
+            _, to, place, asked, entries = _inside(rows, where)
+            asked = asked[entries >= 0]  # a pointer may lead beyond the last row
             if len(asked):
-                yield pd.DataFrame({**{c: [v] * len(asked) for c, v in zip(where, key, strict=True)}, "entry": asked, "exit": exits(own, asked)})
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        to = dict(zip(pdf["entry"], zip(pdf["exit"], pdf["chunk"], strict=True), strict=True))
-        now, found = 0, []
-        while now in to:
-            exit_, chunk = to[now]
-            found.append((chunk, now))
-            now = exit_
-        out = pd.DataFrame(found, columns=["chunk", "n"])
-        for c in keys:
-            out[c] = pdf[c].iat[0]
-        return out[[*where, "n"]]
+                yield asked[where].assign(entry=asked["n"], exit=exits(to, place, entries[entries >= 0]))
+
+    def chain(parts):
+        at, now = None, 0
+        for pdf in parts:  # one row per entry of a chunk, in order; an exit lies behind all entries of its chunk
+            made = []
+            for *key, chunk, entry, exit_ in pdf.itertuples(index=False, name=None):
+                if key != at:
+                    at, now = key, 0
+                if entry == now:
+                    made.append((*key, chunk, entry))
+                    now = exit_
+            yield pd.DataFrame(made, columns=[*where, "n"])
 
     def fill(parts):
-        for _, pdf in _chunks(parts, where):
-            asked, own = pdf.loc[pdf["__row"] == 0, "n"].to_numpy(), pdf[pdf["__row"] == 1].reset_index(drop=True)
-            yield own[[*keys, "n", *others]].assign(kept=reached(own, asked))
+        for rows in _frames(parts, where):
+            own, _, place, _, entries = _inside(rows, where)
+            yield own[[*keys, "n", *others]].assign(kept=reached(place, entries[entries >= 0]))
 
     found = marked(entries, []).mapInPandas(ends, f"{at}, entry bigint, exit bigint")
-    starts = found.groupBy(*keys).applyInPandas(chain, f"{at}, n bigint")  # one row per entry of a chunk
+    starts = laid(found.select(*where, "entry", "exit"), keys, ["entry"]).mapInPandas(chain, f"{at}, n bigint")
     out = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in [*keys, "n", *others])
     return marked(starts, others).mapInPandas(fill, f"{out}, kept boolean")
