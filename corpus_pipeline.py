@@ -22,6 +22,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Words of a shingle in the near-duplicate stage, and the Jaccard index, in hundredths, from which two documents are linked.
 SHINGLE = 5
 ALIKE = 80
+#: Bits in which fingerprints may differ for op 5 to link them.
+BITS = 2
+#: Rows of an Arrow batch. Batches hold whole texts, in Spark's memory outside the heap and in every Python worker at once, and workers keep what they once took.
+BATCH = 1000
 #: Share of the tokens at hand that the mixture asks for; each document is taken once at most.
 SHARE = 0.9
 
@@ -45,8 +49,11 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group linked by shingle sets that are alike."""
-    return keep_one(docs.select(*COLUMNS), width=SHINGLE, percent=ALIKE)
+    """One document, the one with the smallest id, of each group linked by shingle sets that are alike.
+
+    Op 5's fingerprints and index of byte positions give the first candidates, min-wise bands those that differ in more than BITS bits; exact sets verify all.
+    """
+    return keep_one(docs.select(*COLUMNS), width=SHINGLE, percent=ALIKE, bits=BITS)
 
 
 @stage
@@ -70,6 +77,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn; each result but the last is written to the shared folder and read back, and the one before it removed."""
     ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
     docs, old = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, step in STAGES[:-1]:
         docs = saved(step(spark, docs, sf_dir), name)

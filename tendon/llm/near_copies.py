@@ -1,8 +1,8 @@
-"""Near copies by the Jaccard index of their word shingles: min-wise bands find candidates, exact sets verify them."""
+"""Near copies by the Jaccard index of their word shingles: the fingerprints of op 5 find candidates, min-wise bands what these miss, and exact sets verify both."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from math import comb
 
@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from .common import counted, remove, saved
 from .components import components
-from .simhash import with_components
-from .words import shingles
+from . import simhash
+from .simhash import hashed, with_components
 
 #: Bands, and min-wise hashes in each. A pair at 0.8 shares a band with probability 1 - (1 - 0.8^5)^24 = 0.99993, one at 0.9 with 1 - 5e-10.
 BANDS, ROWS = 24, 5
@@ -28,9 +28,11 @@ TOGETHER = 256
 
 def shingle_set(text: bytes | None, width: int, seed: int = 42) -> np.ndarray:
     """Sorted XXH64 of the distinct shingles."""
-    import xxhash
-    digest = xxhash.xxh64_intdigest
-    parts = [np.unique(np.fromiter((digest(s, seed) for s in p), np.uint64, len(p))) for p in shingles(text or b"", width)]
+    return _distinct(hashed(text, width, seed))
+
+
+def _distinct(parts: Iterable[np.ndarray]) -> np.ndarray:
+    parts = [np.unique(h) for h in parts]
     return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
 
 
@@ -66,24 +68,26 @@ def _mark() -> Column:
 
 
 def _sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(__id, mark, fp, n, keys, sig) per row: mark is the text's MD5, fp stands for the set of shingles, n is its size; a text without words has fp 0 and no keys."""
+    """(__id, mark, print, fp, n, keys, sig) per row: mark is the text's MD5, print its fingerprint by op 5, fp stands for the set of shingles, n is its size; a text without words has fp 0 and no keys."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
         a, b = _factors()
         for batch in batches:
-            fps, sizes, keys, sigs = [], [], [], []
+            prints, fps, sizes, keys, sigs = [], [], [], [], []
             for t in batch.column(2).cast(pa.binary()):
-                s = shingle_set(t.as_py(), width)
+                parts = list(hashed(t.as_py(), width, 42))
+                prints.append(simhash.majority(parts))
+                s = _distinct(parts)
                 fps.append(xxhash.xxh64_intdigest(s.tobytes()) if len(s) else 0)
                 sizes.append(len(s))
                 k, sig = sketch(s, a, b) if len(s) else (np.empty(0, np.uint64), b"")
                 keys.append(k.view(np.int64))
                 sigs.append(sig)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()),
-                                              pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=["__id", "mark", "fp", "n", "keys", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(np.array(x, np.uint64).view(np.int64)) for x in (prints, fps)], pa.array(sizes, pa.int64()),
+                                              pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=["__id", "mark", "print", "fp", "n", "keys", "sig"])
 
     source = _texts(docs, id_col, text_col)
-    return source.mapInArrow(run, f"__id {source.schema['__id'].dataType.simpleString()}, mark string, fp long, n long, keys array<long>, sig binary")
+    return source.mapInArrow(run, f"__id {source.schema['__id'].dataType.simpleString()}, mark string, print long, fp long, n long, keys array<long>, sig binary")
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -228,10 +232,26 @@ def joined(labels: DataFrame | None, fresh: DataFrame) -> DataFrame:
     return saved(old.union(moved.join(labels, moved["node"] == labels["fp"], "left_anti")), "labels")
 
 
-def links(found: DataFrame, verify: Verifier, crowd: int = CROWD) -> DataFrame:
-    """Links (u, v) of all fingerprints whose sets reach the threshold and share a bucket of `found` (key, n, fp), each to the smallest of its component.
+def fingerprint_pairs(prints: DataFrame, bits: int) -> DataFrame:
+    """Pairs (u, v) of the sets in `prints` (print, fp) that op 5 links: those with one fingerprint, and one each of two fingerprints within `bits` bits."""
+    heads = saved(prints.groupBy("print").agg(F.min("fp").alias("v")), "heads")
+    same = prints.join(heads, "print").where("fp <> v").select(F.col("fp").alias("u"), "v")
+    near = simhash.links(heads.select(F.col("print").alias("fp")), bits)
+    ends = near.join(heads.select(F.col("print").alias("u"), F.col("v").alias("fu")), "u").join(heads.select(F.col("print").alias("v"), F.col("v").alias("fv")), "v")
+    return same.union(ends.where("fu <> fv").select("fu", "fv")).distinct()
+
 
-    First every fingerprint is compared with one hub, the one that most of its buckets name: a bucket names the member that shares buckets most often, so the text that copies were made from, where
+def unjoined(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Those of `pairs` (u, v) that lie in different components of `labels`."""
+    known = labels.withColumnsRenamed({"fp": "u", "label": "lu"})
+    ends = pairs.join(known, "u", "left").join(known.withColumnsRenamed({"u": "v", "lu": "lv"}), "v", "left")
+    return ends.where("coalesce(lu, u) <> coalesce(lv, v)").select("u", "v")
+
+
+def links(linked: DataFrame, found: DataFrame, verify: Verifier, crowd: int = CROWD) -> DataFrame:
+    """Links (u, v) of all sets that reach the threshold and are a pair of `linked` (u, v) or share a bucket of `found` (key, n, fp), each to the smallest of its component.
+
+    First the pairs that op 5 links by its fingerprints are verified. Then every fingerprint is compared with one hub, the one that most of its buckets name: a bucket names the member that shares buckets most often, so the text that copies were made from, where
     it is there. Then only pairs of different components count: all of them
     in small buckets, in crowded ones those with one more member. At last the members of crowded buckets that still differ are compared
     where they share a rare shingle, so nothing is lost.
@@ -242,7 +262,8 @@ def links(found: DataFrame, verify: Verifier, crowd: int = CROWD) -> DataFrame:
     heads = ranked.groupBy("key").agg(F.max_by(F.struct("fp", "n"), F.struct("degree", "fp")).alias("h")).select("key", F.col("h.fp").alias("hub"), F.col("h.n").alias("hn"))
     near = f"100 * least(n, hn) >= {percent} * greatest(n, hn)"
     hubs = ranked.join(heads, "key").where("fp <> hub").where(near).groupBy("fp", "hub").agg(F.count(F.lit(1)).alias("c"))
-    labels = joined(None, verify.linked(hubs.groupBy("fp").agg(F.max_by("hub", F.struct("c", "hub")).alias("v")).select(F.col("fp").alias("u"), "v")))
+    labels = joined(None, verify.linked(linked))
+    labels = joined(labels, verify.linked(unjoined(hubs.groupBy("fp").agg(F.max_by("hub", F.struct("c", "hub")).alias("v")).select(F.col("fp").alias("u"), "v"), labels)))
     fits = f"label <> hl AND 100 * least(n, hn) >= {percent} * greatest(n, hn)"
 
     def apart(left: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -266,29 +287,35 @@ def links(found: DataFrame, verify: Verifier, crowd: int = CROWD) -> DataFrame:
     return labels.select(F.col("fp").alias("u"), F.col("label").alias("v"))
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, crowd: int = CROWD) -> DataFrame:
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, crowd: int = CROWD, bits: int = 2) -> DataFrame:
     """The id and component_id of every row of `docs`: rows are linked when the Jaccard index of their sets of shingles is `percent` hundredths or more.
 
     Words are split at ASCII white space, A-Z lower-cased, repeats left out; fewer than `width` words are one shingle; texts without words, or null, are equal to one another.
     component_id is the smallest id that a row can reach. Equal sets are one entry, however many rows have them.
 
+    Candidates are the pairs whose SimHash fingerprints op 5 links, at `bits` or fewer differing bits, through its index of byte positions. At 0.8 two fingerprints mostly differ in more bits,
+    so min-wise bands look for what is left between the components made so far. Exact sets decide in both cases.
+
     Very long texts are read whole, block by block; a comparison holds the sets of two texts. A null id is never the smallest, and component_id is null where
     a component has no other. Rows that repeat an id, or repeat altogether, each get a row. An empty table gives no rows. Other columns are not looked at.
-    The texts of `docs` are read twice: once for the sketches, once, written out, for the fingerprints that share a bucket with another.
+    The texts of `docs` are read twice: once for the sketches, once, written out, for the sets that are a candidate with another.
     """
     spark = docs.sparkSession
     each = saved(_sketches(docs, id_col, text_col, width), "sketches")
     fps = each.groupBy("fp").agg(F.min("__id").alias("least"), F.count(F.lit(1)).alias("rows"), F.min(F.struct("mark", "__id")).alias("one"), *[F.first(c).alias(c) for c in ("n", "keys", "sig")])
     fps = saved(fps, "fingerprints")
     rows = saved(each.select("__id", "fp"), "rows")
+    prints = saved(each.where("n > 0").select("print", "fp").distinct(), "prints")
     remove(spark, each.scratch)
+    near = saved(fingerprint_pairs(prints, bits), "near")
     postings = fps.select(F.explode("keys").alias("key"), "n", "fp").repartition("key").sortWithinPartitions("key", "n", "fp")
     found = saved(postings.mapInArrow(_open, "key long, n long, fp long"), "buckets")
-    wanted = counted(fps.join(found.select("fp").distinct(), "fp", "left_semi").select("fp", F.col("one.mark").alias("__mark"), F.col("one.__id").alias("__one")))
+    named = found.select("fp").union(near.select("u")).union(near.select("v")).distinct()
+    wanted = counted(fps.join(named, "fp", "left_semi").select("fp", F.col("one.mark").alias("__mark"), F.col("one.__id").alias("__one")))
     same = (F.col("mark") == F.col("__mark")) & F.col("__id").eqNullSafe(F.col("__one"))
     texts = _texts(docs, id_col, text_col).join(wanted, same).select("fp", "t").mapInArrow(_once, "fp long, t string")
     verify = Verifier(fps.select("fp", "sig"), saved(texts, "texts"), width, percent)
-    return with_components(rows, fps.select("fp", "least", "rows"), links(found, verify, crowd)).select(F.col("__id").alias(id_col), "component_id")
+    return with_components(rows, fps.select("fp", "least", "rows"), links(near, found, verify, crowd)).select(F.col("__id").alias(id_col), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -20,18 +20,28 @@ BYTES = 8
 CROWD = 64
 
 
-def fingerprint(text: bytes | None, width: int, seed: int) -> int:
-    """Bit i is 1 if it is set in over half of the shingles' XXH64; zero without words."""
+def hashed(text: bytes | None, width: int, seed: int) -> Iterator[np.ndarray]:
+    """XXH64 of the shingles, repeats included, block by block."""
     import xxhash
     digest = xxhash.xxh64_intdigest
-    total, tally = 0, np.zeros(64, np.int64)
     for part in shingles(text or b"", width):
-        h = np.fromiter((digest(s, seed) for s in part), np.uint64, len(part))
+        yield np.fromiter((digest(s, seed) for s in part), np.uint64, len(part))
+
+
+def majority(parts: Iterable[np.ndarray]) -> int:
+    """Bit i is 1 if it is set in over half of the hashes; zero without any."""
+    total, tally = 0, np.zeros(64, np.int64)
+    for h in parts:
         tally += np.unpackbits(h.view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
-        total += len(part)
+        total += len(h)
     return int(np.packbits(2 * tally > total, bitorder="little").view("<u8")[0]) if total else 0
 
 
+def fingerprint(text: bytes | None, width: int, seed: int) -> int:
+    """Bit i is 1 if it is set in over half of the shingles' XXH64; zero without words."""
+    return majority(hashed(text, width, seed))
+
+
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int, seed: int) -> DataFrame:
     """(__id, fp) per row; fp is the signed reading of the 64 bits."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

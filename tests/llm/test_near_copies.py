@@ -73,3 +73,27 @@ def test_crowded_buckets_lose_nothing(spark, planted, crowd):
     docs = spark.createDataFrame([(i, t, "en", "src1", 0) for i, t in few.items()], SCHEMA)
     got = {r.doc_id: r.component_id for r in near_copies.groups(docs, crowd=crowd).collect()}
     assert got == least_of(few)[0]
+
+
+def test_fingerprints_of_op5_find_candidates(spark, planted, monkeypatch):
+    """Without any band, the pairs within two bits are found and verified."""
+    from tendon.llm import near_copies
+    from tendon.llm.simhash import fingerprint
+    monkeypatch.setattr(near_copies, "_open", lambda batches: (b.select(["key", "n", "fp"]).slice(0, 0) for b in batches))
+    prints = {i: fingerprint((t or "").encode(), 5, 42) for i, t in planted.items()}
+    sets, root = {i: shingles(t) for i, t in planted.items()}, {i: i for i in planted}
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+    linked = 0
+    for i, j in combinations(sorted(planted), 2):
+        both = len(sets[i] & sets[j])
+        if sets[i] == sets[j] or (prints[i] ^ prints[j]).bit_count() <= 2 and both * 10 >= 8 * len(sets[i] | sets[j]):
+            linked += sets[i] != sets[j]
+            i, j = sorted((top(i), top(j)))
+            root[j] = i
+    docs = spark.createDataFrame([(i, t, "en", "src1", 0) for i, t in planted.items()], SCHEMA)
+    got = {r.doc_id: r.component_id for r in near_copies.groups(docs).collect()}
+    assert linked > 10
+    assert got == {i: top(i) for i in planted}
