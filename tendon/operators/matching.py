@@ -122,22 +122,70 @@ def mean_fnr(conf: DataFrame) -> DataFrame:
     return per.agg(F.coalesce(F.avg("e"), F.lit(0.0)).alias("mean_fnr"))
 
 
+#: Cells of one diagonal of the edit tables that are worked together.
+CELLS = 32_768
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.int32)
+
+
+def _trimmed(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both without what they begin and end with in common; that changes no cheapest edit's cost."""
+    n = min(len(x), len(y))
+    other = np.flatnonzero(x[:n] != y[:n])
+    at = int(other[0]) if len(other) else n
+    x, y, n = x[at:], y[at:], n - at
+    other = np.flatnonzero(x[len(x) - n:][::-1] != y[len(y) - n:][::-1])
+    end = int(other[0]) if len(other) else n
+    return x[:len(x) - end], y[:len(y) - end]
+
+
+def _edit_costs(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
+    """(edits, gaps) of a shortest edit with the fewest gaps for each pair, all tables at once, diagonal by diagonal."""
+    xs, ys = np.array([len(x) for x, _ in pairs]), np.array([len(y) for _, y in pairs])
+    n, m = int(xs.max()), int(ys.max())
+    big = n + m + 1
+    kind = np.int32 if (big + 1) * big < 1 << 31 else np.int64
+    a, b = np.full((n, len(pairs)), -1, np.int32), np.full((m, len(pairs)), -2, np.int32)
+    for p, (x, y) in enumerate(pairs):
+        a[:len(x), p], b[:len(y), p] = x, y
+    b = b[::-1]  # along a diagonal one text runs up, the other down
+    last, now, new = (np.zeros((n + 1, len(pairs)), kind) for _ in range(3))  # row i holds (i, k - i)
+    ready = {k: np.flatnonzero(xs + ys == k) for k in set((xs + ys).tolist())}
+    cost = np.zeros(len(pairs), np.int64)
+    for k in range(1, n + m + 1):
+        lo, hi = max(1, k - m), min(n, k - 1)
+        if k <= m:
+            new[0] = k * (big + 1)
+        if k <= n:
+            new[k] = k * (big + 1)
+        if lo <= hi:
+            out = new[lo:hi + 1]
+            np.minimum(now[lo:hi + 1], now[lo - 1:hi], out=out)
+            out += big + 1  # one edit, one gap
+            change = (a[lo - 1:hi] != b[m - k + lo:m - k + hi + 1]).astype(kind)
+            change *= big
+            change += last[lo - 1:hi]
+            np.minimum(out, change, out=out)
+        if k in ready:
+            cost[ready[k]] = new[xs[ready[k]], ready[k]]
+        last, now, new = now, new, last
+    return [divmod(int(c), big) for c in cost]
+
+
 @F.pandas_udf(T.StructType([T.StructField(c, T.LongType()) for c in ("insertions", "deletions", "replacements")]))
 def edit_split(pred: pd.Series, target: pd.Series) -> pd.DataFrame:
-    """Insertions, deletions and replacements of a shortest edit with the fewest gaps."""
-    out = []
-    for a, b in zip(pred, target):
-        x, y = np.array(list(a)), np.array(list(b))
-        big = len(x) + len(y) + 1
-        j = np.arange(len(y) + 1) * (big + 1)  # one insertion: one edit, one gap
-        row = j.copy()
-        for c in x:
-            nxt = row + big + 1
-            nxt[1:] = np.minimum(nxt[1:], row[:-1] + big * (y != c))
-            row = np.minimum.accumulate(nxt - j) + j
-        edits, gaps = divmod(int(row[-1]), big)
-        ins = (gaps + len(y) - len(x)) // 2
-        out.append((ins, gaps - ins, edits - gaps))
+    """Insertions, deletions and replacements of a shortest edit with the fewest gaps. Null where a text is null."""
+    out: list[tuple] = [(None, None, None)] * len(pred)
+    left = {i: _trimmed(_codes(a), _codes(b)) for i, (a, b) in enumerate(zip(pred, target)) if a is not None and b is not None}
+    order = sorted(left, key=lambda i: (len(left[i][0]), len(left[i][1])), reverse=True)  # alike in length, the longest first
+    while order:
+        many = max(1, CELLS // (len(left[order[0]][0]) + 1))
+        own, order = order[:many], order[many:]
+        for i, (edits, gaps) in zip(own, _edit_costs([left[i] for i in own])):
+            ins = (gaps + len(left[i][1]) - len(left[i][0])) // 2
+            out[i] = (ins, gaps - ins, edits - gaps)
     return pd.DataFrame(out, columns=["insertions", "deletions", "replacements"])
 
 

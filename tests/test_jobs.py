@@ -185,6 +185,29 @@ def test_edit_split_sums_to_levenshtein(spark):
         assert r.e["insertions"] + r.e["deletions"] + r.e["replacements"] == r.l and r.e["insertions"] - r.e["deletions"] == len(r.b) - len(r.a)
 
 
+def test_edit_split_of_many_lengths(spark):
+    """Every pair of a batch as by the plain table; nulls give nulls. Before, a null text ended the job."""
+    def plain(a, b):
+        row = [(j, j) for j in range(len(b) + 1)]
+        for i, c in enumerate(a, 1):
+            new = [(i, i)]
+            for j, d in enumerate(b, 1):
+                new.append(min((row[j][0] + 1, row[j][1] + 1), (new[-1][0] + 1, new[-1][1] + 1), (row[j - 1][0] + (c != d), row[j - 1][1])))
+            row = new
+        return row[-1]
+    texts = ["", "a", "\U0001F600b", "abcabcabd" * 9, *("".join(RNG.choice(list("abc"), RNG.integers(0, 70))) for _ in range(30))]
+    pairs = [(a, b) for a in texts for b in texts[::3]]
+    rows = spark.createDataFrame([*pairs, (None, "a"), ("a", None)], "a string, b string").coalesce(1).select("a", "b", matching.edit_split("a", "b").alias("e")).collect()
+    assert len(rows) == len(pairs) + 2
+    for r in rows:
+        if r.a is None or r.b is None:
+            assert tuple(r.e) == (None, None, None)
+            continue
+        edits, gaps = plain(r.a, r.b)
+        ins = (gaps + len(r.b) - len(r.a)) // 2
+        assert tuple(r.e) == (ins, gaps - ins, edits - gaps)
+
+
 def test_activity_detects_a_burst(spark):
     x = np.full(400, 0.1)
     x[::2] += 0.01
