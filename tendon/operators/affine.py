@@ -7,14 +7,13 @@ the number of chunks and however slowly the filter forgets.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..functions import filters as K
 from ..runtime import laid
+from .folds import pieces
 
 
 def transition(sos: np.ndarray) -> np.ndarray:
@@ -24,13 +23,6 @@ def transition(sos: np.ndarray) -> np.ndarray:
     return after.reshape(size, size)
 
 
-def _pieces(parts: Iterator[pd.DataFrame], where: list[str]) -> Iterator[tuple[pd.DataFrame, list[tuple[tuple, slice]]]]:
-    """(frame, (key, rows of one chunk in this frame)), in order."""
-    for pdf in parts:
-        at = np.flatnonzero((pdf[where] != pdf[where].shift()).any(axis=1).to_numpy())
-        yield pdf, [(tuple(pdf[c].iat[lo] for c in where), slice(lo, hi)) for lo, hi in zip(at, [*at[1:], len(pdf)], strict=True)]
-
-
 def filtered(df: DataFrame, keys, order: str, chunk: str, columns, sos: np.ndarray, others=(), suffix: str = "") -> DataFrame:
     """`keys`, `order`, `others` as they are and the filtered `columns` (named with `suffix`): `sos` run over each key in `order` from a zero state. `chunk` follows `order`."""
     keys, columns, others = list(keys), list(columns), list(others)
@@ -41,7 +33,7 @@ def filtered(df: DataFrame, keys, order: str, chunk: str, columns, sos: np.ndarr
 
     def ends(parts):
         now = None  # key, rows, state
-        for pdf, found in _pieces(parts, where):
+        for pdf, found in pieces(parts, where):
             x, made = pdf[columns].to_numpy(dtype=float), []
             for key, rows in found:
                 if now is None or now[0] != key:
@@ -56,17 +48,20 @@ def filtered(df: DataFrame, keys, order: str, chunk: str, columns, sos: np.ndarr
 
     step = transition(sos)
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(chunk)
-        state, entry = np.zeros((len(step), len(columns))), []
-        for rows, end in zip(pdf["__rows"], pdf["__end"], strict=True):
-            entry.append(state.ravel())
-            state = np.linalg.matrix_power(step, int(rows)) @ state + np.asarray(end).reshape(state.shape)
-        return pdf[where].assign(__entry=entry)
+    def chain(parts):
+        at, state = None, None
+        for pdf in parts:
+            entry = []
+            for key, rows, end in zip(zip(*[pdf[c].tolist() for c in keys]), pdf["__rows"].tolist(), pdf["__end"], strict=True):
+                if key != at:
+                    at, state = key, np.zeros((len(step), len(columns)))
+                entry.append(state.ravel())
+                state = np.linalg.matrix_power(step, int(rows)) @ state + np.asarray(end).reshape(state.shape)
+            yield pdf[where].assign(__entry=entry)
 
     def fill(parts):
         now = None
-        for pdf, found in _pieces(parts, where):
+        for pdf, found in pieces(parts, where):
             x, out = pdf[columns].to_numpy(dtype=float), np.empty((len(pdf), len(columns)))
             for key, rows in found:
                 state = now[1] if now and now[0] == key else np.array(pdf["__entry"].iat[rows.start], dtype=float).reshape(shape)
@@ -75,6 +70,6 @@ def filtered(df: DataFrame, keys, order: str, chunk: str, columns, sos: np.ndarr
             yield pdf[[*keys, order, *others]].assign(**{f"{c}{suffix}": out[:, i] for i, c in enumerate(columns)})
 
     rows = laid(df.select(*where, order, *columns), where, [order]).mapInPandas(ends, f"{at}, __rows bigint, __end array<double>")
-    entries = rows.groupBy(*keys).applyInPandas(chain, f"{at}, __entry array<double>")  # one row per chunk
+    entries = laid(rows, keys, [chunk]).mapInPandas(chain, f"{at}, __entry array<double>")  # one row per chunk
     out = ", ".join([*[f"`{c}` {kinds[c]}" for c in [*keys, order, *others]], *[f"`{c}{suffix}` double" for c in columns]])
     return laid(df.select(*where, order, *dict.fromkeys([*columns, *others])).join(entries, where), where, [order]).mapInPandas(fill, out)

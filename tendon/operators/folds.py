@@ -31,7 +31,7 @@ class RowFold:
 
     def __call__(self, state, pdf):
         made = []
-        for row in pdf.to_dict("records"):
+        for row in records(pdf):
             state, out = self.step(state, row)
             made.extend(out)
         return state, pd.DataFrame(made, columns=self.names)
@@ -41,6 +41,20 @@ def by_row(step: Callable, names) -> RowFold:
     return RowFold(step, names)
 
 
+def records(pdf: pd.DataFrame):
+    """The rows as dicts of Python values."""
+    names = list(pdf.columns)
+    return (dict(zip(names, row)) for row in zip(*[pdf[c].tolist() for c in names]))
+
+
+def pieces(parts, where):
+    """(frame, (key, rows of one chunk in this frame)), in order."""
+    for pdf in parts:
+        at = np.flatnonzero((pdf[where] != pdf[where].shift()).any(axis=1).to_numpy())
+        keys = zip(*[pdf[c].iloc[at].tolist() for c in where])
+        yield pdf, [(key, slice(lo, hi)) for key, lo, hi in zip(keys, at, [*at[1:], len(pdf)])]
+
+
 def _clean(rows, columns) -> pd.DataFrame:
     out = pd.DataFrame(rows, columns=columns)
     return out.astype(object).where(out.notna(), None)
@@ -57,7 +71,7 @@ def grouped_rows(df: DataFrame, where, order, fn: Callable, names, schema: str)
         held, at = [], None
         for pdf in parts:
             made = []
-            for row in pdf.to_dict("records"):
+            for row in records(pdf):
                 key = tuple(row[c] for c in where)
                 if key != at and held:
                     made.extend(fn(held))
@@ -90,7 +104,7 @@ def chunked_fold(df: DataFrame, keys, order, chunk: str, run: Callable, start, s
             at, entry, state = None, None, None
             for pdf in parts:
                 made = []
-                for row in pdf.to_dict("records"):
+                for row in records(pdf):
                     key = tuple(row[c] for c in where)
                     if key != at:
                         if at is not None:
@@ -106,7 +120,7 @@ def chunked_fold(df: DataFrame, keys, order, chunk: str, run: Callable, start, s
             at, state = None, None
             for pdf in parts:
                 made = []
-                for row in pdf.to_dict("records"):
+                for row in records(pdf):
                     key = tuple(row[c] for c in where)
                     if key != at:
                         at, state = key, json.loads(row["__entry"])
@@ -162,12 +176,6 @@ def blended(df: DataFrame, keys, order: str, chunk: str, columns, weight: float)
     zero = np.zeros(len(columns))
     numbers = ", ".join(f"`__{kind}{i}` double" for kind in ("first", "end") for i in range(len(columns)))
 
-    def pieces(parts):
-        """(frame, key, rows of one chunk in this frame), in order."""
-        for pdf in parts:
-            at = (pdf[where] != pdf[where].shift()).any(axis=1).to_numpy().nonzero()[0]
-            yield pdf, [(tuple(pdf[c].iat[lo] for c in where), slice(lo, hi)) for lo, hi in zip(at, [*at[1:], len(pdf)])]
-
     def run(y, x):
         out = np.empty_like(x)
         for i, row in enumerate(x):
@@ -177,7 +185,7 @@ def blended(df: DataFrame, keys, order: str, chunk: str, columns, weight: float)
 
     def ends(parts):
         now = None
-        for pdf, found in pieces(parts):
+        for pdf, found in pieces(parts, where):
             made, x = [], pdf[columns].to_numpy(dtype=float)
             for key, rows in found:
                 if now is None or now[0] != key:
@@ -190,22 +198,26 @@ def blended(df: DataFrame, keys, order: str, chunk: str, columns, weight: float)
         if now:
             yield pd.DataFrame([(*now[0], now[1], *now[2], *now[3])], columns=names)
 
-    def chain(pdf):
-        pdf = pdf.sort_values(chunk)
-        first, end = (pdf[[f"__{k}{i}" for i in range(len(columns))]].to_numpy(dtype=float) for k in ("first", "end"))
-        y, entry = first[0], []
-        for n, e in zip(pdf["__rows"], end):
-            entry.append(list(map(float, y)))
-            y = keep ** n * y + e
-        return pdf[where].assign(__entry=entry)
+    def chain(parts):
+        """The entry of every chunk; a sorted partition holds many keys, most of one chunk."""
+        at, y = None, None
+        for pdf in parts:
+            first, end = (pdf[[f"__{k}{i}" for i in range(len(columns))]].to_numpy(dtype=float) for k in ("first", "end"))
+            entry = []
+            for i, (key, n) in enumerate(zip(zip(*[pdf[c].tolist() for c in keys]), pdf["__rows"].tolist())):
+                if key != at:
+                    at, y = key, first[i]
+                entry.append(y.tolist())
+                y = keep ** n * y + end[i]
+            yield pdf[where].assign(__entry=entry)
 
     def fill(parts):
         now = None
-        for pdf, found in pieces(parts):
-            x = pdf[columns].to_numpy(dtype=float)
+        for pdf, found in pieces(parts, where):
+            x, entry = pdf[columns].to_numpy(dtype=float), pdf["__entry"].to_numpy()
             out = np.empty_like(x)
             for key, rows in found:
-                y = now[1] if now and now[0] == key else np.array(pdf["__entry"].iat[rows.start])
+                y = now[1] if now and now[0] == key else np.array(entry[rows.start])
                 out[rows] = run(y, x[rows])
                 now = key, out[rows.stop - 1]
             yield pdf.drop(columns="__entry").assign(**{f"{c}_mean": out[:, i] for i, c in enumerate(columns)})
@@ -213,6 +225,6 @@ def blended(df: DataFrame, keys, order: str, chunk: str, columns, weight: float)
     names = [*where, "__rows", *[f"__{k}{i}" for k in ("first", "end") for i in range(len(columns))]]
     at = ", ".join(f"`{c}` {kinds[c]}" for c in where)
     rows = laid(df.select(*where, order, *columns), where, [order]).mapInPandas(ends, f"{at}, __rows bigint, {numbers}")
-    entries = rows.groupBy(*keys).applyInPandas(chain, f"{at}, __entry array<double>")
+    entries = laid(rows, keys, [chunk]).mapInPandas(chain, f"{at}, __entry array<double>")
     out = ", ".join([*[f"`{c}` {kinds[c]}" for c in df.columns], *[f"`{c}_mean` double" for c in columns]])
     return laid(df.join(entries, where).select(*df.columns, "__entry"), where, [order]).mapInPandas(fill, out)
