@@ -205,15 +205,29 @@ def sweep(frames: DataFrame, truth: DataFrame, key: str, cls: str, n: str, p: st
     truth: (key, cls, t). The frames are scanned once for all thresholds.
     """
     from .events import match_counts, match_events
-    d = frames.withColumn("__slot", F.floor(F.col(n) / chunk_rows))
-    d = scan(d, [key, cls], [n], {"__was": running("lag", p)}, [["__slot"]])
+    # frames and truths in one order: the frame before, and the nearest truths on both sides
+    side = truth.select(key, cls, F.col("t").alias(n), F.lit(None).cast(frames.schema[p].dataType).alias(p), F.lit(0).alias("__side"))
+    d = frames.select(key, cls, n, p, F.lit(1).alias("__side")).unionByName(side).withColumn("__slot", F.floor(F.col(n) / chunk_rows))
+    at = F.when(F.col("__side") == 0, F.col(n))
+    d = scan(d, [key, cls], [n, "__side"], {"__was": running("last_before", F.when(F.col("__side") == 1, F.struct(F.col(p).alias("v")))),
+                                            "__left": running("last", at), "__right": running("first_from", at)}, [["__slot"]]).where("__side = 1")
     ts = F.array(*[F.lit(float(t)) for t in grid])
-    up = F.filter(ts, lambda t: (t <= F.col(p)) & (F.col("__was").isNull() | (t > F.col("__was"))))
-    pred = d.select(key, cls, F.col(n).alias("t"), F.explode(up).alias("threshold"))
-    goal = truth.select(key, cls, "t", F.explode(ts).alias("threshold"))
+    was = F.col("__was.v")
+    up = F.filter(ts, lambda t: (t <= F.col(p)) & (was.isNull() | (t > was)))
+    near = F.coalesce((F.col(n) - F.col("__left") <= tolerance) | (F.col("__right") - F.col(n) <= tolerance), F.lit(False))
+    pred = cut(d.select(key, cls, F.col(n).alias("t"), near.alias("near"), up.alias("up")).where(F.size("up") > 0))
+    steps_up = pred.select(key, cls, "t", "near", F.explode("up").alias("threshold"))
+    # a step without a truth in reach is a false positive whatever else happens; only the others are matched
     keys = [key, cls, "threshold"]
-    m = match_events(pred, goal, keys, "t", tolerance, F.floor(F.col("t") / chunk_rows))
-    return match_counts(m, pred, goal, keys).groupBy(cls, "threshold").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+    asked = steps_up.where("near").drop("near")
+    goal = truth.select(key, cls, "t", F.explode(ts).alias("threshold")).join(asked.select(*keys).distinct(), keys, "left_semi")
+    m = match_events(asked, goal, keys, "t", tolerance, F.floor(F.col("t") / chunk_rows))
+    per = match_counts(m, asked, goal, keys).groupBy(cls, "threshold").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"))
+    alone = steps_up.where("NOT near").groupBy(cls, "threshold").agg(F.lit(0).cast("long").alias("tp"), F.count(F.lit(1)).alias("fp"))
+    truths = truth.groupBy(cls).agg(F.count(F.lit(1)).alias("truths")).select(cls, F.explode(ts).alias("threshold"), "truths")
+    found = per.unionByName(alone).groupBy(cls, "threshold").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"))
+    both = truths.join(found, [cls, "threshold"], "full_outer").fillna(0, ["tp", "fp", "truths"])
+    return both.select(cls, "threshold", "tp", "fp", (F.col("truths") - F.col("tp")).alias("fn"))
 
 
 def best_thresholds(counts: DataFrame, cls: str) -> DataFrame:

@@ -116,6 +116,34 @@ def test_greedy_match_brute_force(spark):
             assert got[(key, t)] == (truth[near[1]] if hit else None)
 
 
+def test_sweep_equals_matching_every_threshold(spark, monkeypatch):
+    """Counts as by brute force, and only steps that have a truth in reach are folded; before, all were."""
+    from tendon.operators import matching
+    rng = np.random.default_rng(8)
+    f = pd.DataFrame([(k, c, n, float(rng.integers(0, 10)) / 10) for k in range(3) for c in ("a", "b") for n in range(120)], columns=["k", "c", "n", "p"])
+    g = pd.DataFrame([(k, "a", n) for k in range(3) for n in range(120) if rng.random() < 0.1] + [(0, "z", 5)], columns=["k", "c", "t"])
+    grid, want, folded = [0.2, 0.5, 0.8], {}, []
+    for c in ("a", "b", "z"):
+        for h in grid:
+            tp = fp = 0
+            for k in range(3):
+                left, was = sorted(g[(g.k == k) & (g.c == c)].t), None
+                for n, p in f[(f.k == k) & (f.c == c)][["n", "p"]].itertuples(index=False):
+                    if h <= p and (was is None or h > was):
+                        near = min(((abs(n - t), t) for t in left if abs(n - t) <= 2), default=None)
+                        tp, fp = tp + (near is not None), fp + (near is None)
+                        if near:
+                            left.remove(near[1])
+                    was = p
+            want[c, h] = (tp, fp, int((g.c == c).sum()) - tp)
+    plain = E.match_events
+    monkeypatch.setattr(E, "match_events", lambda pred, *a: folded.append(pred.count()) or plain(pred, *a))
+    rows = matching.sweep(spark.createDataFrame(f), spark.createDataFrame(g), "k", "c", "n", "p", grid, 2, chunk_rows=16).collect()
+    got = {(r.c, r.threshold): (r.tp, r.fp, r.fn) for r in rows}
+    assert got == want
+    assert 0 < folded[0] < sum(tp + fp for tp, fp, _ in want.values()) / 2
+
+
 def test_weights_and_halo(spark):
     from tendon.operators.windows import window_weights
     rows = [(1, "a")] * 2 + [(1, "b")] * 4 + [(2, "c")] * 4
