@@ -198,14 +198,18 @@ def blended(df: DataFrame, keys, order: str, chunk: str, columns, weight: float)
         if now:
             yield pd.DataFrame([(*now[0], now[1], *now[2], *now[3])], columns=names)
 
-    def chain(pdf):
-        pdf = pdf.sort_values(chunk)
-        first, end = (pdf[[f"__{k}{i}" for i in range(len(columns))]].to_numpy(dtype=float) for k in ("first", "end"))
-        y, entry = first[0], []
-        for n, e in zip(pdf["__rows"], end):
-            entry.append(list(map(float, y)))
-            y = keep ** n * y + e
-        return pdf[where].assign(__entry=entry)
+    def chain(parts):
+        """The entry of every chunk; a sorted partition holds many keys, most of one chunk."""
+        at, y = None, None
+        for pdf in parts:
+            first, end = (pdf[[f"__{k}{i}" for i in range(len(columns))]].to_numpy(dtype=float) for k in ("first", "end"))
+            entry = []
+            for i, (key, n) in enumerate(zip(zip(*[pdf[c].tolist() for c in keys]), pdf["__rows"].tolist())):
+                if key != at:
+                    at, y = key, first[i]
+                entry.append(y.tolist())
+                y = keep ** n * y + end[i]
+            yield pdf[where].assign(__entry=entry)
 
     def fill(parts):
         now = None
@@ -221,6 +225,6 @@ def blended(df: DataFrame, keys, order: str, chunk: str, columns, weight: float)
     names = [*where, "__rows", *[f"__{k}{i}" for k in ("first", "end") for i in range(len(columns))]]
     at = ", ".join(f"`{c}` {kinds[c]}" for c in where)
     rows = laid(df.select(*where, order, *columns), where, [order]).mapInPandas(ends, f"{at}, __rows bigint, {numbers}")
-    entries = rows.groupBy(*keys).applyInPandas(chain, f"{at}, __entry array<double>")
+    entries = laid(rows, keys, [chunk]).mapInPandas(chain, f"{at}, __entry array<double>")
     out = ", ".join([*[f"`{c}` {kinds[c]}" for c in df.columns], *[f"`{c}_mean` double" for c in columns]])
     return laid(df.join(entries, where).select(*df.columns, "__entry"), where, [order]).mapInPandas(fill, out)
