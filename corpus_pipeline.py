@@ -24,8 +24,6 @@ SHINGLE = 5
 ALIKE = 80
 #: Bits in which fingerprints may differ for op 5 to link them.
 BITS = 2
-#: Rows of an Arrow batch. Batches hold whole texts, in Spark's memory outside the heap and in every Python worker at once, and workers keep what they once took.
-BATCH = 1000
 #: Share of the tokens at hand that the mixture asks for; each document is taken once at most.
 SHARE = 0.9
 
@@ -77,7 +75,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn; each result but the last is written to the shared folder and read back, and the one before it removed."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
     docs, old = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, step in STAGES[:-1]:
         docs = saved(step(spark, docs, sf_dir), name)

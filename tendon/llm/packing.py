@@ -27,7 +27,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, path: str
                 ids = np.append(encode_array(text.as_py(), path), np.uint32(end_id)).astype("<u4")
                 for at in range(0, len(ids), capacity):
                     part = ids[at:at + capacity]
-                    rows.append((i, at, len(part), zlib.crc32(part.tobytes()), len(ids), part))
+                    rows.append((i, at, len(part), zlib.crc32(part.tobytes()), len(ids), part if with_ids else None))
             index, start, length, crc, total, parts = zip(*rows, strict=True) if rows else [()] * 6
             columns = [b.column(0).take(pa.array(index, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))]
             names = ["__id", "start", "length", "ids_crc32", "doc_tokens"]

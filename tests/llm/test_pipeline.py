@@ -84,3 +84,29 @@ def test_run_on_an_empty_table(spark, stages, tmp_path):
     import corpus_pipeline as c
     stages[0].limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert c.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_called_alone_read_small_batches(spark):
+    """Stages may be called without `run`; whole texts come in batches bounded by rows and bytes in any case."""
+    import pyarrow as pa
+    from tendon.llm.common import BATCH, stage
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64()), "bytes": pa.array([b.nbytes], pa.int64())})
+
+    @stage
+    def told(spark, docs, sf_dir):
+        return docs.mapInArrow(sizes, "n long, bytes long")
+
+    rows, most = BATCH.values()
+    for name in BATCH:
+        spark.conf.unset(name)
+    try:
+        for n, length in ((3 * rows, 10), (200, most // 40)):
+            got = told(spark, spark.range(0, n, 1, 1).select(F.expr(f"repeat('x', {length})").alias("text")), ROOT).collect()
+            assert sum(r.n for r in got) == n
+            assert max(r.n for r in got) <= rows and max(r.bytes for r in got) < 1.1 * most
+    finally:
+        for name in BATCH:
+            spark.conf.unset(name)
