@@ -7,10 +7,14 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LinearSVC, OneVsRest
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Rows of a task when a kernel machine is fitted, and machines that are fitted at once; each keeps its own blocks of the rows in memory, or on disk.
+TASK_ROWS = 25_000
+MACHINES = 8
+
 
 def moments(df: DataFrame, features: str, label: str) -> tuple[DataFrame, DataFrame]:
     """(label, n, mean array) per class and (i, j, value), the covariance inside classes, over rows minus classes.
@@ -82,17 +86,20 @@ class Fourier:
     gamma: float = 0.5
     seed: int = 3
 
+    def of(self, x: pd.Series) -> np.ndarray:
+        """The features of a batch of rows, [rows, size]."""
+        a = np.stack(x.to_numpy()).astype(float)
+        rng = np.random.default_rng(self.seed)
+        w = rng.normal(scale=np.sqrt(2 * self.gamma), size=(a.shape[1], self.size))
+        return np.cos(a @ w + rng.uniform(0, 2 * np.pi, self.size)) * np.sqrt(2.0 / self.size)
+
     def map(self, df: DataFrame, features: str, out: str) -> DataFrame:
         """`df` with `out`, an array of `size` features; batches of rows, no shuffle."""
-        size, gamma, seed = self.size, self.gamma, self.seed
+        of = self.of
 
         @F.pandas_udf("array<double>")
         def lifted(x: pd.Series) -> pd.Series:
-            a = np.stack(x.to_numpy()).astype(float)
-            rng = np.random.default_rng(seed)
-            w = rng.normal(scale=np.sqrt(2 * gamma), size=(a.shape[1], size))
-            z = np.cos(a @ w + rng.uniform(0, 2 * np.pi, size)) * np.sqrt(2.0 / size)
-            return pd.Series(list(z))
+            return pd.Series(list(of(x)))
 
         return df.withColumn(out, lifted(F.transform(features, lambda v: v.cast("double"))))
 
@@ -105,13 +112,30 @@ class KernelHead:
     model: object
 
     def logits(self, df: DataFrame, features: str, out: str) -> DataFrame:
-        d = self.lift.map(df, features, "__lift").withColumn("__v", array_to_vector("__lift"))
-        return self.model.transform(d).withColumn(out, vector_to_array("rawPrediction")).drop("__lift", "__v", "rawPrediction", "__guess")
+        """`df` with the machines' margins as an array: lifted and weighed in one call a batch, not by one Python function per class."""
+        of, weights = self.lift.of, np.stack([m.coefficients.toArray() for m in self.model.models])
+        offset = np.array([m.intercept for m in self.model.models])
+
+        @F.pandas_udf("array<double>")
+        def margins(x: pd.Series) -> pd.Series:
+            return pd.Series(list(of(x) @ weights.T + offset))
+
+        return df.withColumn(out, margins(F.transform(features, lambda v: v.cast("double"))))
+
+
+def dealt(df: DataFrame, rows: int = TASK_ROWS) -> DataFrame:
+    """`df` in partitions of about `rows` rows, so that the tasks of a pass follow the rows, not the files."""
+    parts = max(1, -(-df.count() // rows))
+    return df.coalesce(parts) if df.rdd.getNumPartitions() >= parts else df.repartition(parts)
 
 
 def fit_kernel_head(df: DataFrame, features: str, label: str, weight: str | None = None, lift: Fourier | None = None, iterations: int = 50, penalty: float = 1e-4) -> KernelHead:
-    """A support vector machine with a Gaussian kernel, by random Fourier features and one linear machine per class (labels 0, 1, ...)."""
+    """A support vector machine with a Gaussian kernel, by random Fourier features and one linear machine per class (labels 0, 1, ...).
+
+    A machine takes two passes or more per iteration, each a short job, so their number and not the rows set the time: MACHINES are fitted at once, over partitions that follow the rows.
+    """
     lift = lift or Fourier()
-    d = lift.map(df, features, "__lift").select(array_to_vector("__lift").alias("__v"), F.col(label).cast("double").alias("label"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w"))
+    source = dealt(df.select(features, label, *([weight] if weight else [])))
+    d = lift.map(source, features, "__lift").select(array_to_vector("__lift").alias("__v"), F.col(label).cast("double").alias("label"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w"))
     svm = LinearSVC(featuresCol="__v", maxIter=iterations, regParam=penalty)
-    return KernelHead(lift, OneVsRest(classifier=svm, featuresCol="__v", labelCol="label", weightCol="w", predictionCol="__guess").fit(d))
+    return KernelHead(lift, OneVsRest(classifier=svm, featuresCol="__v", labelCol="label", weightCol="w", predictionCol="__guess", parallelism=MACHINES).fit(d))

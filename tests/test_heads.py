@@ -62,6 +62,35 @@ def test_kernel_head_splits_a_ring(spark):
     assert np.abs(a @ a.T - near).max() < 0.12
 
 
+def test_kernel_head_reads_many_small_files_in_few_tasks_and_equals_the_plain_machines(spark, tmp_path):
+    from pyspark.ml.classification import LinearSVC, OneVsRest
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    y = RNG.integers(0, 3, 300)
+    table(spark, RNG.normal(size=(300, 4)) + y[:, None], y).repartition(20).write.parquet(f"{tmp_path}/files")
+    d = spark.read.parquet(f"{tmp_path}/files")
+    assert d.rdd.getNumPartitions() > 4
+    lift, sc = heads.Fourier(16, 0.2), spark.sparkContext
+    sc.setJobGroup("kernel", "fit")
+    try:
+        head = heads.fit_kernel_head(d, "x", "y", lift=lift, iterations=8)
+    finally:
+        sc.setJobGroup("other", "")
+    told = sc.statusTracker()
+    stages = [told.getStageInfo(i) for j in told.getJobIdsForGroup("kernel") for i in told.getJobInfo(j).stageIds]
+    most = sorted((i.numTasks for i in stages if i), reverse=True)
+    assert len(most) > 20 and sum(n > 4 for n in most) <= 3  # no pass of a machine; only the rows are counted and read so
+    v = lift.map(d, "x", "f").select("id", array_to_vector("f").alias("v"), F.col("y").cast("double").alias("label"), F.lit(1.0).alias("w"))
+    plain = OneVsRest(classifier=LinearSVC(featuresCol="v", maxIter=8, regParam=1e-4), featuresCol="v", weightCol="w").fit(v)
+    for one, other in zip(head.model.models, plain.models, strict=True):
+        np.testing.assert_allclose(one.coefficients.toArray(), other.coefficients.toArray(), atol=1e-6)
+    got = head.logits(d, "x", "z")
+    assert got.columns == [*d.columns, "z"]
+    assert got._jdf.queryExecution().executedPlan().toString().count("EvalPython") == 1
+    want = {r.id: r.z for r in plain.transform(v).select("id", vector_to_array("rawPrediction").alias("z")).collect()}
+    for r in got.collect():
+        np.testing.assert_allclose(r.z, want[r.id], atol=1e-5)
+
+
 def test_common_shift_of_a_session_is_taken_out(spark):
     """Two sessions with other delays; within a session the templates cannot tell by how much all events are late, the reference can."""
     shape = {c: RNG.normal(size=(21, 6)) * np.hanning(21)[:, None] for c in "ab"}
