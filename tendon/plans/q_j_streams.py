@@ -118,7 +118,7 @@ def t05s(spark, root):
 
 
 def named_replay(spark, root):
-    d = samples(spark, root).select("trial_id", N.lookup(NAMES, F.col("event_type")).alias("name"), micros("ts").alias("t"))
+    d = table(spark, root, "events").select(F.col("user_id").alias("trial_id"), N.lookup(NAMES, F.col("event_type")).alias("name"), micros("ts").alias("t"))  # as `samples`, without its index
     return Z.Replay(spark, d, "named", "t", "micros", keys=["trial_id"])
 
 

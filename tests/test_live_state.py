@@ -105,3 +105,32 @@ def test_slices_follow_the_largest_key(spark):
     most = spark.read.parquet(r.staged).groupBy("k", "__slice").count().agg({"count": "max"}).first()[0]
     assert most <= 50
     assert Z.Replay(spark, d.limit(0), "s", "t", keys=["k"]).slices >= 1
+
+
+def test_short_keys_share_states(spark):
+    """Hundreds of short keys are a few calls of Python, and every key still has its own machine."""
+    import random
+
+    from pyspark.sql import functions as F
+    rng = random.Random(5)
+    big = 2**53  # neighbours that no double tells apart
+    rows = [(big + k, 10 * t + k % 7, rng.choice(["index_press", "index_release", "middle_press", "middle_release", "thumb_up"])) for k in range(300) for t in range(rng.randrange(1, 30))]
+    d = spark.createDataFrame([*rows, (None, 55, "index_press")], "k bigint, t bigint, name string")
+    r = Z.Replay(spark, d, "short", "t", keys=["k"])
+    assert r.stream.groups == Z.GROUPS  # before, 301 states were called in every slice
+    want, step = [], steps.press_release(15)
+    for k in range(300):
+        state = None
+        for _, t, name in sorted(x for x in rows if x[0] == big + k):
+            state, out = step(state, {"t": t, "name": name})
+            want += [(big + k, *o) for o in out]
+    made = Z.to_table(Z.press_release(r.stream, ["k"], 15), "short", r)
+    assert sorted(map(str, map(tuple, made.collect()))) == sorted(map(str, want))
+    r = Z.Replay(spark, d, "apart", "t", keys=["k"])
+    r.stream.groups = None  # a state a key: a row without key spoils none of those that come with it
+    assert sorted(map(str, map(tuple, Z.to_table(Z.press_release(r.stream, ["k"], 15), "apart", r).collect()))) == sorted(map(str, want))
+    c = spark.range(300 * 8).select((F.col("id") % 300 + big).alias("k"), F.floor(F.col("id") / 300).alias("n"), (F.col("id") % 11 + 1.0).alias("x"))
+    r = Z.Replay(spark, c, "fits", "n", keys=["k"])
+    got = {(a, b): x for a, b, x in Z.to_table(Z.calibrate_run(r.stream, ["k"], 3, ["x"]), "fits", r).collect()}
+    of = {(row.k, row.n): row.x for row in c.collect()}
+    assert got == pytest.approx({(k, n): x / (sorted(of[k, i] for i in range(3))[1] / 16) for (k, n), x in of.items() if n >= 3})
