@@ -113,7 +113,7 @@ def t05(spark, root):
 
 @query("t05_state_estimates_stream")
 def t05s(spark, root):
-    r = Z.Replay(spark, device_rows(spark, root), "devices", "t", keys=["trial"])
+    r = Z.Replay(spark, device_rows(spark, root).drop("blk"), "devices", "t", keys=["trial"])
     return Z.to_table(Z.stateful(r.stream, ["trial"], ["t"], RUN, None, SCHEMA), "t05", r)
 
 

@@ -24,25 +24,33 @@ NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
 def _quality(emg, imu, size):
+    """Of stacked windows: share of finite values that also move, and of axes that are finite throughout."""
     fin_e, fin_i = np.isfinite(emg), np.isfinite(imu)
-    moving = np.nan_to_num(emg).std(axis=0) > 1e-10
-    share = min(1.0, len(emg) / size)
-    e = float((fin_e.mean(axis=0) * moving).mean() * share)
-    i = float((fin_i.mean(axis=0) * fin_i.all(axis=0)).mean() * share)
-    return e, i
+    moving = np.nan_to_num(emg).std(axis=1) > 1e-10
+    share = min(1.0, emg.shape[1] / size)
+    return (fin_e.mean(axis=1) * moving).mean(axis=1) * share, (fin_i.mean(axis=1) * fin_i.all(axis=1)).mean(axis=1) * share
 
 
-def unit(v) -> float:
-    return float(min(1.0, max(0.0, v)))
+def unit(v) -> np.ndarray:
+    """Within [0, 1]; what is no number is 0."""
+    return np.where(v > 0.0, np.minimum(v, 1.0), 0.0)
 
 
-def score_window(model, raw, clean, imu, size, minimum_quality, emg_scale) -> tuple:
-    """(direction, gesture, activation, motion, EMG quality, IMU quality) of one window; a head without quality is unknown."""
-    fe, fi = clean / emg_scale, np.nan_to_num(imu, nan=0.0, posinf=0.0, neginf=0.0)
-    qe, qi = _quality(raw, imu, size)
-    d, _, g, _ = model(fe, fi)
-    return (d if qi >= minimum_quality else -1, g if qe >= minimum_quality else -1, unit(np.median(np.sqrt((fe ** 2).mean(axis=0)))),
-            unit(np.sqrt((fi ** 2).sum(axis=1).mean())), unit(qe), unit(qi))
+def score_windows(model, rows, ends, raw, clean, imu, size, minimum_quality, emg_scale, most=1024) -> list[tuple]:
+    """(direction, gesture, activation, motion, EMG quality, IMU quality) of the windows of `size` rows that end at the row numbers `ends`; a head without quality is unknown.
+
+    `raw`, `clean` and `imu` name columns of `rows`. Up to `most` windows are worked on together; only the model sees them one by one.
+    """
+    made = []
+    for at in range(0, len(ends), most):
+        w = rows[(np.asarray(ends[at:at + most]) + (1 - size))[:, None] + np.arange(size)]
+        fe, fi = w[:, :, clean] / emg_scale, np.nan_to_num(w[:, :, imu], nan=0.0, posinf=0.0, neginf=0.0)
+        qe, qi = _quality(w[:, :, raw], w[:, :, imu], size)
+        heads = [model(e, i) for e, i in zip(fe, fi)]
+        columns = (unit(np.median(np.sqrt((fe ** 2).mean(axis=1)), axis=1)), unit(np.sqrt((fi ** 2).sum(axis=2).mean(axis=1))), unit(qe), unit(qi))
+        made += [(d if i >= minimum_quality else -1, g if e >= minimum_quality else -1, *x)
+                 for (d, _, g, _), e, i, *x in zip(heads, qe.tolist(), qi.tolist(), *[c.tolist() for c in columns], strict=True)]
+    return made
 
 
 def estimator(model, emg_columns, imu_columns, rate=200.0, size=40, hop=8, low=20.0, high=90.0, minimum_quality=0.5, lag_limit=600, emg_scale=1.0):
@@ -62,15 +70,11 @@ def estimator(model, emg_columns, imu_columns, rate=200.0, size=40, hop=8, low=2
             clean, zi = K.apply(sos, np.nan_to_num(emg, nan=0.0, posinf=0.0, neginf=0.0), s["zi"])
             old = np.array(s["buf"], dtype=float).reshape(-1, 2 * emg.shape[1] + imu.shape[1])
             rows = np.vstack([old, np.hstack([emg, clean, imu])])
-            since, before = s["since"], len(old)
-            for i in range(len(t)):
-                since += 1
-                if before + i + 1 < size or since < hop:
-                    continue
-                since = 0
-                w = rows[before + i + 1 - size:before + i + 1]
-                c = emg.shape[1]
-                d, g, act, mov, qe, qi = score_window(model, w[:, :c], w[:, c:2 * c], w[:, 2 * c:], size, minimum_quality, emg_scale)
+            c, before = emg.shape[1], len(old)
+            ends = np.arange(max(hop - s["since"], size - before, 1) - 1, len(t), hop)  # a window ends `hop` rows after the last one, once there are `size` rows
+            since = int(len(t) - 1 - ends[-1]) if len(ends) else s["since"] + len(t)
+            scores = score_windows(model, rows, before + ends, slice(0, c), slice(c, 2 * c), slice(2 * c, None), size, minimum_quality, emg_scale)
+            for i, (d, g, act, mov, qe, qi) in zip(ends.tolist(), scores, strict=True):
                 s["arm"], [(_, ds, dp)] = arm(s["arm"], {"n": 0, "label": d})
                 s["hand"], [(_, gs, gp)] = hand(s["hand"], {"n": 0, "label": g})
                 on = s["onset"]
@@ -79,7 +83,7 @@ def estimator(model, emg_columns, imu_columns, rate=200.0, size=40, hop=8, low=2
                 gap = None if None in on else on[1] - on[0]
                 gap = gap if gap is not None and abs(gap) <= lag_limit else None
                 out.append((int(t[i]), ds, gs, dp, gp, gap, act, mov, qe, qi))
-            s.update(zi=zi.tolist(), last=int(t[-1]), since=since, buf=[[None if not np.isfinite(v) else v for v in r] for r in rows[-(size - 1):]])
+            s.update(zi=zi.tolist(), last=int(t[-1]), since=since, buf=np.where(np.isfinite(tail := rows[-(size - 1):]), tail, None).tolist())
         return s, pd.DataFrame(out, columns=NAMES)
 
     return run
@@ -99,11 +103,10 @@ def estimates(df: DataFrame, keys, chunk: str, model, emg_columns, imu_columns,
     clean = slice(1 + len(channels), None)
 
     def windows(n, x):
-        made = []
-        for i in np.flatnonzero((n >= size - 1) & ((n - (size - 1)) % hop == 0)):
-            if i + 1 >= size:
-                w = x[i + 1 - size:i + 1]
-                made.append((int(n[i]), int(x[i, 0]), *score_window(model, w[:, raw], w[:, clean], w[:, seen], size, minimum_quality, emg_scale)))
+        ends = np.flatnonzero((n >= size - 1) & ((n - (size - 1)) % hop == 0))
+        ends = ends[ends + 1 >= size]
+        scores = score_windows(model, x, ends, raw, clean, seen, size, minimum_quality, emg_scale)
+        made = [(int(n[i]), int(x[i, 0]), *row) for i, row in zip(ends, scores, strict=True)]
         return pd.DataFrame(made, columns=["n", "t", "d", "g", "activation", "motion", "emg_quality", "imu_quality"]).astype({c: "int64" for c in ("n", "t", "d", "g")})
 
     w = cut(overlap_map(d, keys, "n", columns, block_rows, size - 1, 0, windows, "n bigint, t bigint, d bigint, g bigint, activation double, motion double, emg_quality double, imu_quality double"))

@@ -39,3 +39,54 @@ def test_waiting_rows_come_back_as_they_were():
     back = Z._unpacked(Z._packed(rows))
     assert [[None if pd.isna(v) else v for v in r] for r in back.to_numpy()] == [[None if pd.isna(v) else v for v in r] for r in rows.to_numpy()]
     assert back["s"][1] is None and back["e"][0] is None
+
+
+def test_few_keys_open_few_stores(spark):
+    """A replay of a hot key has many micro-batches, so each must be cheap: one a slice, and no more stores than states need."""
+    import glob
+    import uuid
+
+    from tendon.runtime import shared_dir
+    d = spark.range(3_000).selectExpr("id % 3 as k", "id * 5 as t", "'thumb_up' as name").repartition(12)
+    before = spark.conf.get(Z.STORES)
+    spark.conf.set(Z.STORES, "24")
+    try:
+        r = Z.Replay(spark, d, "few", "t", keys=["k"], slice_rows=100)
+        slices = [f for f in glob.glob(f"{r.staged}/__slice=*")]
+        assert 10 <= len(slices) == r.slices <= 12  # before, 16: slices were doubled until they were small enough
+        assert all(len(glob.glob(f"{f}/*.parquet")) == 1 for f in slices)  # before, up to 12 files, moved one after the other, were several micro-batches
+        name = f"few-{uuid.uuid4().hex}"
+        got = Z.to_table(Z.debounced(r.stream, ["k"], 10), name, r)
+        assert got.count() == 3_000
+        ckpt, = glob.glob(f"{shared_dir(spark)}/{name}-ckpt-*")
+        assert len([f for f in glob.glob(f"{ckpt}/state/0/*") if f.rsplit("/", 1)[-1].isdigit()]) == 8  # before, 24 in every batch
+        assert len(glob.glob(f"{ckpt}/commits/[0-9]*")) == r.slices + 2
+        assert spark.conf.get(Z.STORES) == "24"
+    finally:
+        spark.conf.set(Z.STORES, before)
+
+
+def test_windows_scored_together_equal_one_by_one():
+    import numpy as np
+
+    from tendon.plans.q_j_streams import tiny_model
+    from tendon.streaming.estimator import score_windows
+    rng = np.random.default_rng(6)
+    rows = rng.normal(scale=30, size=(400, 11))
+    rows[:, 0][100:160] = 7.0  # a channel that stands still
+    rows[rng.random(rows.shape) < 0.003] = np.nan
+    rows[rng.random(rows.shape) < 0.001] = np.inf
+    rows[:, 4:8] = np.nan_to_num(rows[:, 4:8], nan=0.0, posinf=0.0)
+    unit = lambda v: float(min(1.0, max(0.0, v)))
+
+    def one(end):
+        w = rows[end - 39:end + 1]
+        fe, fi = w[:, 4:8] / 50.0, np.nan_to_num(w[:, 8:], nan=0.0, posinf=0.0, neginf=0.0)
+        fin_e, fin_i = np.isfinite(w[:, :4]), np.isfinite(w[:, 8:])
+        qe = float((fin_e.mean(axis=0) * (np.nan_to_num(w[:, :4]).std(axis=0) > 1e-10)).mean())
+        qi = float((fin_i.mean(axis=0) * fin_i.all(axis=0)).mean())
+        d, _, g, _ = tiny_model(fe, fi)
+        return (d if qi >= 0.5 else -1, g if qe >= 0.5 else -1, unit(np.median(np.sqrt((fe ** 2).mean(axis=0)))), unit(np.sqrt((fi ** 2).sum(axis=1).mean())), unit(qe), unit(qi))
+
+    ends = np.arange(39, 400, 7)
+    assert score_windows(tiny_model, rows, ends, slice(0, 4), slice(4, 8), slice(8, None), 40, 0.5, 50.0, most=10) == [one(e) for e in ends]
